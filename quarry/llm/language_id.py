@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import ship
+
 from .common import crc_mod, hide_null, map_batches, show_null, table
 
 BUCKETS = 1 << 16
@@ -142,23 +144,27 @@ def infer(grams: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: fl
     return shares
 
 
+def mixtures(texts: pd.Series, langs: list[str], p: np.ndarray, penalty: float, rounds: int) -> list[tuple[str, float, dict[str, float]]]:
+    """(language of the largest share, that share, the shares above 0) of each text."""
+    grams = [gram_counts(t, len(p)) for t in texts]
+    out: list[tuple[str, float, dict[str, float]]] = [(UNDETERMINED, 0.0, {})] * len(grams)
+    known = [i for i, g in enumerate(grams) if len(g[0]) and langs]
+    if known:
+        for i, s in zip(known, infer([grams[i] for i in known], p, penalty, rounds), strict=True):
+            out[i] = (langs[int(s.argmax())], float(min(1.0, s.max())), {langs[j]: float(s[j]) for j in s.nonzero()[0]})
+    return out
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, rounds: int = 12, batch: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, shares): the language of the largest share, that share, and the shares above 0."""
     langs, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
         for b in batches:
             for at in range(0, len(b), batch):
                 some = b.iloc[at : at + batch]
-                grams = [gram_counts(t, len(p)) for t in some["text"]]
-                known = [i for i, g in enumerate(grams) if len(g[0]) and langs]
-                pred, score, found = [UNDETERMINED] * len(some), [0.0] * len(some), [{} for _ in range(len(some))]
-                if known:
-                    for i, s in zip(known, infer([grams[i] for i in known], p, penalty, rounds), strict=True):
-                        pred[i], score[i] = langs[int(s.argmax())], float(min(1.0, s.max()))
-                        found[i] = {langs[j]: float(s[j]) for j in s.nonzero()[0]}
+                pred, score, found = zip(*mixtures(some["text"], langs, shared.value, penalty, rounds), strict=True)
                 yield pd.DataFrame({id_col: some[id_col], "lang_pred": pred, "score": score, "shares": found})
 
     plain = docs.select(hide_null(F.col(id_col)).alias(id_col), F.col(text_col).alias("text"))
@@ -166,6 +172,22 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     return out.select(show_null(id_col), "lang_pred", "score", "shares")
 
 
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", penalty: float = 4.0, rounds: int = 12, batch: int = 64) -> DataFrame:
+    """``docs`` without those of undetermined language; a filter within each task, whatever the ids."""
+    langs, p = model
+    shared = docs.sparkSession.sparkContext.broadcast(p)
+
+    @F.pandas_udf("string")
+    def predicted(texts: pd.Series) -> pd.Series:
+        found = []
+        for at in range(0, len(texts), batch):
+            found += [x[0] for x in mixtures(texts.iloc[at : at + batch], langs, shared.value, penalty, rounds)]
+        return pd.Series(found, dtype=object)
+
+    ship(docs.sparkSession)
+    return docs.filter(predicted(F.col(text_col)) != UNDETERMINED)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; learnt from labelled documents whose id's crc32 modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents")

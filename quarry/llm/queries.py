@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, simhash_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, packing, quality, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        language_id.op1_language_id,
+        decontaminate.op2_decontaminate,
+        embedding_dedup.op3_embedding_dedup,
         simhash_dedup.op4_simhash_dedup,
         url_filter.op5_url_filter,
         sharding.op6_sharding,
         packing.op8_packing,
         line_dedup.op9_line_dedup,
+        quality.op10_quality,
     )
 }
-ORACLES = {"op5_url_filter": url_filter.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+ORACLES = {"op3_embedding_dedup": embedding_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}

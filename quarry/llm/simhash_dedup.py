@@ -4,7 +4,7 @@ A text's fingerprint has ``bits`` bits, cut into ``segments`` words of 64 bits o
 most ``radius`` bits differ in at most ``radius // segments`` bits of some segment. Each distinct fingerprint is filed
 under its segments' values, the Hamming ball of ``table_ball`` bits about each; it looks up the ball of
 ``probe_ball`` bits about each segment, so every pair whose segments come within table_ball + probe_ball bits meets,
-and then complete distances are compared (and similarities, where a threshold is given).
+and then complete distances are compared.
 
 A hot table entry is never paired with itself. First each of its fingerprints is compared with the entry's smallest
 only, and the links found make components; then pairs of an entry whose components still differ are compared. A pair
@@ -83,7 +83,7 @@ def distance(n: int, a: str = "", b: str = "_b") -> Column:
 
 def segment_keys(classes: DataFrame, bits: int, segments: int, ball: int, role: bool, halved: bool = False) -> DataFrame:
     """A row per fingerprint, segment and value in the ball (of 0 or 1 bits) about the segment's value."""
-    width, n = bits // segments, bits // 64
+    width = bits // segments
     per = 64 // width
     found = []
     for s in range(segments):
@@ -92,49 +92,60 @@ def segment_keys(classes: DataFrame, bits: int, segments: int, ball: int, role:
         if halved:  # of two values one bit apart one has an even count of ones; it looks up the other
             values = F.when(F.bit_count(value) % 2 == 0, values).otherwise(F.array(value))
         found.append(F.struct(F.lit(s).alias("segment"), values.alias("values")))
-    names = ["node", *[f"f{k}" for k in range(n)]]
-    by_segment = classes.select(*names, F.explode(F.array(*found)).alias("key"))
-    return by_segment.select(*names, "key.segment", F.explode("key.values").alias("value"), F.lit(role).alias("filed"))
+    by_segment = classes.select("node", F.explode(F.array(*found)).alias("key"))
+    return by_segment.select("node", "key.segment", F.explode("key.values").alias("value"), F.lit(role).alias("filed"))
 
 
 def entries(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int) -> DataFrame:
-    """What is filed under or looks up each entry in which two fingerprints meet; ``first`` is the entry's smallest."""
+    """What is filed under or looks up each entry in which two fingerprints meet; ``first`` is the entry's smallest.
+
+    Fingerprints join those rows only that share an entry; the many others are keys of one fingerprint."""
     filed = segment_keys(classes, bits, segments, table_ball, True)
     # with equal balls, what is filed under an entry is also what looks it up
     every = filed if table_ball == probe_ball else union_all([filed, segment_keys(classes, bits, segments, probe_ball, False, halved=(table_ball, probe_ball) == (0, 1))])
-    live = every.groupBy("segment", "value").agg(F.min(F.when(F.col("filed"), F.struct("node", *[F.col(f"f{k}").alias(f"f{k}_b") for k in range(bits // 64)]))).alias("first"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
-    live = live.filter("first IS NOT NULL AND _lo < _hi").select("segment", "value", F.col("first.node").alias("first"), *[f"first.f{k}_b" for k in range(bits // 64)])
-    return checkpoint(every.join(live, ["segment", "value"]))
+    live = every.groupBy("segment", "value").agg(F.min(F.when(F.col("filed"), F.col("node"))).alias("first"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
+    live = live.filter("first IS NOT NULL AND _lo < _hi").select("segment", "value", "first")
+    names = [f"f{k}" for k in range(bits // 64)]
+    firsts = classes.select(F.col("node").alias("first"), *[F.col(x).alias(f"{x}_b") for x in names])
+    return checkpoint(every.join(live, ["segment", "value"]).join(classes.select("node", *names), "node").join(firsts, "first"))
 
 
-def near_components(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int, verify=None) -> DataFrame:
-    """(node, component) of the fingerprints that link with others. ``classes``: node long and f0, f1, ...; ``verify``
-    keeps of candidate pairs (a, b) those that are similar enough."""
+def near_components(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int) -> DataFrame:
+    """(node, component) of the fingerprints that link with others. ``classes``: node long and f0, f1, ..."""
     n = bits // 64
+    names = [f"f{k}" for k in range(n)]
     met = entries(classes, bits, segments, table_ball, probe_ball)
-    verify = verify or (lambda pairs: pairs)
-    stars = met.filter("node <> first").filter(distance(n) <= radius).select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b")).distinct()
-    links = checkpoint(verify(stars))
-    first = components(links)
-    named = met.select("node", *[f"f{k}" for k in range(n)], "segment", "value", "filed").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    pair = (F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b"))
+    stars = checkpoint(met.filter("node <> first").filter(distance(n) <= radius).select(*pair).distinct())
+    named = met.select("node", *names, "segment", "value", "filed").join(components(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named.groupBy("segment", "value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("segment", "value")
     left = checkpoint(named.join(split, ["segment", "value"]))
-    other = left.filter("filed").select("segment", "value", F.col("node").alias("node_b"), F.col("component").alias("component_b"), *[F.col(f"f{k}").alias(f"f{k}_b") for k in range(n)])
+    other = left.filter("filed").select("segment", "value", F.col("node").alias("node_b"), F.col("component").alias("component_b"), *[F.col(x).alias(f"{x}_b") for x in names])
     across = left.join(other, ["segment", "value"]).filter("component <> component_b").filter(distance(n) <= radius)
-    more = verify(across.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct())
-    return components(links.union(more))
+    more = across.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+    return components(stars.union(more))
 
 
-def group_near_duplicates(prints: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int, verify=None) -> DataFrame:
+def group_near_duplicates(prints: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int) -> DataFrame:
     """``prints`` (doc_id, f0, ..., checkpointed) with component_id: the smallest doc_id reachable by links."""
     names = [f"f{k}" for k in range(bits // 64)]
     classes = prints.filter("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("node"))
     classes = checkpoint(classes)
-    near = near_components(classes, bits, segments, table_ball, probe_ball, radius, verify)
+    near = near_components(classes, bits, segments, table_ball, probe_ball, radius)
     of = classes.join(near, "node", "left").select(*[F.col(x).alias(f"_{x}") for x in names], F.coalesce("component", "node").alias("component_id"))
     return prints.join(of, [F.col(x) == F.col(f"_{x}") for x in names], "left").drop(*[f"_{x}" for x in names])
 
 
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of each group the document of the smallest id; rows with a null id stay. Of rows that repeat an id one stays."""
+    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    twice = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, F.col(id_col) == F.col("_twice"), "left_anti").union(kept.join(twice, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col]))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, 64 bits, links at 2 or fewer differing bits: two segments of 32 bits, one of which differs
     in at most one bit, so exact table entries are probed by balls of one bit."""
