@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, packing, quality, sharding, simhash_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, packing, quality, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         simhash_dedup.op4_simhash_dedup,
         url_filter.op5_url_filter,
         sharding.op6_sharding,
+        lm_score.op7_lm_score,
         packing.op8_packing,
         line_dedup.op9_line_dedup,
         quality.op10_quality,
