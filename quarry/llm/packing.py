@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,34 +23,71 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, hide_null, map_batches, rank_in, show_null, table
 
-#: Words a Python worker keeps with their ids; beyond that it starts anew.
-CACHED_WORDS = 300_000
+#: Words, and parts of words, that a Python worker keeps with their ids; beyond that it starts anew.
+CACHED = 600_000
 
 _workers: dict = {}
 
 
-def encoder(path: str):
-    """bytes -> ids as little-endian unsigned 32-bit bytes. No token spans white space, so words are encoded once each."""
-    if path not in _workers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordEncoder:
+    """bytes -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own for whole texts.
 
-        _workers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _workers[path]
+    For a tokenizer that cuts texts into letters, single digits and other marks, each with a word end, and drops white
+    space: no token spans words or such parts, so each word and part is encoded once and kept. Words of letters up to
+    U+024F in composed form are parted here; any other word goes through the tokenizer as it is.
+    """
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from tokenizers import Tokenizer
 
-    return encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # byte-level models see each byte as a printable character: itself, or 256 and up in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            seen = part if part.isascii() and part.isprintable() else "".join(map(self.shown.__getitem__, part.encode()))
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(seen)], dtype="<u4").tobytes()
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self.part(word.decode().lower())
+        if word[:-1].isalpha() and word[-1:] in (b".", b","):
+            return self.part(word[:-1].decode().lower()) + self.part(word[-1:].decode())
+        text = word.decode()
+        if "<|" in text or max(text) > "\u024f" or min(text) < "!" or not unicodedata.is_normalized("NFC", text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.part, self.parts_of(text.lower())))
+
+    def __call__(self, text: bytes) -> bytes:
+        known, split = self.words, text.split()
+        try:
+            return b"".join(map(known.__getitem__, split))
+        except KeyError:
+            if len(known) > CACHED:
+                known.clear()
+            if len(self.parts) > CACHED:
+                self.parts.clear()
+            for w in split:
+                if w not in known:
+                    known[w] = self.word(w)
+            return b"".join(map(known.__getitem__, split))
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _workers:
+        _workers[path] = WordEncoder(path)
+    return _workers[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,8 +99,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id:
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
                 rows = []
-                for k, ids in zip(some["id"], encode([t or b"" for t in some["text"]]), strict=True):
-                    ids += end
+                for k, text in zip(some["id"], some["text"], strict=True):
+                    ids = encode(text or b"") + end
                     n = len(ids) // 4
                     rows += [(k, s, min(max_tokens, n - s), zlib.crc32(ids[4 * s : 4 * (s + max_tokens)]), n) for s in range(0, n, max_tokens)]
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
