@@ -1 +1,6 @@
+"""Queries that apply the operators to the given tables."""
 
+from ..registry import ORACLES, QUERIES
+from . import records, text
+
+__all__ = ["ORACLES", "QUERIES", "records", "text"]
