@@ -1,6 +1,6 @@
 """Queries that apply the operators to the given tables."""
 
 from ..registry import ORACLES, QUERIES
-from . import records, text
+from . import aggregates, chunks, corpus, records, retrieval, text
 
-__all__ = ["ORACLES", "QUERIES", "records", "text"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "chunks", "corpus", "records", "retrieval", "text"]
