@@ -72,7 +72,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanou
     """(doc_id, text_hash, pos) of the lines that lose against a smaller doc_id. ``docs``: doc_id long, text."""
     top = 2**63 - 1  # the place of a null id: after all others
     place = F.coalesce(F.col("doc_id"), F.lit(top).cast("long"))
-    bounds = sorted(set(docs.select(place.cast("double").alias("place")).approxQuantile("place", [k / batches for k in range(1, batches)], 0.01)))
+    cuts = [k / batches for k in range(1, batches)]
+    bounds = sorted(set(docs.select(place.cast("double").alias("place")).approxQuantile("place", cuts, 0.01))) if cuts else []
     batch = sum((F.when(F.col("place") > b, 1).otherwise(0) for b in bounds), F.lit(0))
     lines = checkpoint(line_hashes(docs, min_chars).withColumn("place", place).withColumn("batch", batch))
     levels: list[list[DataFrame]] = []
