@@ -92,12 +92,14 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        both = now.union(now.select("b", "a")).toDF("u", "v")
+        parts = seen[0] // 100_000 + 1  # few links need few tasks; each holds about so many
+        now = now.coalesce(parts)
+        both = now.union(now.select("b", "a")).toDF("u", "v").coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(parts).distinct().coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        now = checkpoint(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(joined.select(F.col("u"), F.col("m"))).filter("a <> b").distinct())
+        now = checkpoint(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(joined.select(F.col("u"), F.col("m"))).filter("a <> b").coalesce(parts).distinct().coalesce(parts))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(roots)
 

@@ -81,8 +81,9 @@ def distance(n: int, a: str = "", b: str = "_b") -> Column:
     return sum((F.bit_count(F.col(f"f{k}{a}").bitwiseXOR(F.col(f"f{k}{b}"))) for k in range(n)), F.lit(0))
 
 
-def segment_keys(classes: DataFrame, bits: int, segments: int, ball: int, role: bool, halved: bool = False) -> DataFrame:
-    """A row per fingerprint, segment and value in the ball (of 0 or 1 bits) about the segment's value."""
+def segment_keys(named: DataFrame, bits: int, segments: int, ball: int, role: bool, halved: bool = False) -> DataFrame:
+    """(node, component, filed, key): a key for each segment of a fingerprint and each value in the ball (of 0 or 1 bits)
+    about the segment's value."""
     width = bits // segments
     per = 64 // width
     found = []
@@ -92,38 +93,55 @@ def segment_keys(classes: DataFrame, bits: int, segments: int, ball: int, role:
         if halved:  # of two values one bit apart one has an even count of ones; it looks up the other
             values = F.when(F.bit_count(value) % 2 == 0, values).otherwise(F.array(value))
         found.append(F.struct(F.lit(s).alias("segment"), values.alias("values")))
-    by_segment = classes.select("node", F.explode(F.array(*found)).alias("key"))
-    return by_segment.select("node", "key.segment", F.explode("key.values").alias("value"), F.lit(role).alias("filed"))
+    by_segment = named.select("node", "component", F.explode(F.array(*found)).alias("k"))
+    # segments of 64 bits have no room for their number, nor do they need it: there is but one for each word
+    key = F.explode("k.values") if width == 64 else F.explode(F.transform("k.values", lambda v: v.bitwiseOR(F.shiftleft(F.col("k.segment").cast("long"), width))))
+    return by_segment.select("node", "component", F.lit(role).alias("filed"), key.alias("key"))
 
 
-def entries(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int) -> DataFrame:
-    """What is filed under or looks up each entry in which two fingerprints meet; ``first`` is the entry's smallest.
-
-    Fingerprints join those rows only that share an entry; the many others are keys of one fingerprint."""
-    filed = segment_keys(classes, bits, segments, table_ball, True)
+def entries(named: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int) -> DataFrame:
+    """(node, filed, key, first) of what is filed under or looks up each entry in which several components meet; ``first``
+    is the smallest filed there. Keys are dealt out once, for the count of an entry and for its rows."""
+    filed = segment_keys(named, bits, segments, table_ball, True)
     # with equal balls, what is filed under an entry is also what looks it up
-    every = filed if table_ball == probe_ball else union_all([filed, segment_keys(classes, bits, segments, probe_ball, False, halved=(table_ball, probe_ball) == (0, 1))])
-    live = every.groupBy("segment", "value").agg(F.min(F.when(F.col("filed"), F.col("node"))).alias("first"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
-    live = live.filter("first IS NOT NULL AND _lo < _hi").select("segment", "value", "first")
-    names = [f"f{k}" for k in range(bits // 64)]
-    firsts = classes.select(F.col("node").alias("first"), *[F.col(x).alias(f"{x}_b") for x in names])
-    return checkpoint(every.join(live, ["segment", "value"]).join(classes.select("node", *names), "node").join(firsts, "first"))
+    every = filed if table_ball == probe_ball else union_all([filed, segment_keys(named, bits, segments, probe_ball, False, halved=(table_ball, probe_ball) == (0, 1))])
+    every = every.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    live = every.groupBy("key").agg(F.min(F.when(F.col("filed"), F.col("node"))).alias("first"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    live = live.filter("first IS NOT NULL AND _lo < _hi").select("key", "first")
+    return checkpoint(every.select("node", "filed", "key").join(live, "key").select("node", "filed", "key", "first"))
 
 
 def near_components(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int) -> DataFrame:
-    """(node, component) of the fingerprints that link with others. ``classes``: node long and f0, f1, ..."""
+    """(node, component) of the fingerprints that link with others. ``classes``: node long and f0, f1, ...
+
+    Equal segments come first: they join most of a large group at little cost, and entries that only fingerprints of one
+    component share need no more looks."""
     n = bits // 64
     names = [f"f{k}" for k in range(n)]
-    met = entries(classes, bits, segments, table_ball, probe_ball)
-    pair = (F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b"))
-    stars = checkpoint(met.filter("node <> first").filter(distance(n) <= radius).select(*pair).distinct())
-    named = met.select("node", *names, "segment", "value", "filed").join(components(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("segment", "value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("segment", "value")
-    left = checkpoint(named.join(split, ["segment", "value"]))
-    other = left.filter("filed").select("segment", "value", F.col("node").alias("node_b"), F.col("component").alias("component_b"), *[F.col(x).alias(f"{x}_b") for x in names])
-    across = left.join(other, ["segment", "value"]).filter("component <> component_b").filter(distance(n) <= radius)
-    more = across.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
-    return components(stars.union(more))
+
+    def with_components(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return classes.withColumn("component", F.col("node"))
+        return checkpoint(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+    links, found = None, None
+    for balls in dict.fromkeys([(0, 0), (table_ball, probe_ball)]):
+        named = with_components(found)
+        met = entries(named, bits, segments, *balls)
+        pairs = met.filter("node <> first").select("node", "first").distinct()
+        other = named.select(F.col("node").alias("first"), F.col("component").alias("component_b"), *[F.col(x).alias(f"{x}_b") for x in names])
+        stars = pairs.join(named, "node").join(other, "first").filter("component <> component_b").filter(distance(n) <= radius)
+        stars = stars.select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b"))
+        links = checkpoint((stars if links is None else links.union(stars)).distinct())
+        rows = met.select("node", "filed", "key").join(with_components(components(links)), "node")
+        split = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
+        left = checkpoint(rows.join(split, "key"))
+        other = left.filter("filed").select("key", F.col("node").alias("node_b"), F.col("component").alias("component_b"), *[F.col(x).alias(f"{x}_b") for x in names])
+        across = left.join(other, "key").filter("component <> component_b").filter(distance(n) <= radius)
+        more = across.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
+        links = checkpoint(links.union(more).distinct())
+        found = components(links)
+    return found
 
 
 def group_near_duplicates(prints: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int) -> DataFrame:
