@@ -85,8 +85,8 @@ def convert_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def tag_portions(samples: DataFrame) -> DataFrame:
     """(tag, count, share): (count + 1) over (all + 1000)."""
     counts = samples.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select("tag", "count", ((F.col("count") + 1) / (F.col("_total") + 1000)).alias("share"))
+    total = samples.agg(F.coalesce(F.sum(F.size("tags")), F.lit(0))).first()[0]
+    return counts.select("tag", "count", ((F.col("count") + 1) / F.lit(total + 1000)).alias("share"))
 
 
 def tag_chunks(matches: DataFrame, portions: DataFrame, keep: int = 3, at_least: int = 0) -> DataFrame:

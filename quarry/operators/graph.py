@@ -221,8 +221,8 @@ def communities(edges: DataFrame, ranks: DataFrame, max_size: int = 12, levels:
             labels = labels.join(parent, "name").select("name", F.concat_ws("/", "up", "label").alias("label"))
         labels = checkpoint(labels)
         sums = labels.join(ranks, "name", "left").groupBy("label").agg(F.sum(F.coalesce("rank", F.lit(1))).alias("w"), F.count(F.lit(1)).alias("n"))
-        top = sums.agg(F.max("w").alias("m"))
-        found.append(labels.join(sums, "label").crossJoin(F.broadcast(top)).select(F.lit(level).alias("level"), F.col("label").alias("community"), "name", (F.col("w") / F.col("m")).alias("weight")))
+        top = sums.agg(F.max("w")).first()[0]
+        found.append(labels.join(sums, "label").select(F.lit(level).alias("level"), F.col("label").alias("community"), "name", (F.col("w") / F.lit(top)).alias("weight")))
         big = labels.join(sums.filter(F.col("n") > max_size), "label", "left_semi")
         if big.isEmpty():
             break
