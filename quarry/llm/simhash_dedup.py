@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, hide_null, map_batches, show_null, table, union_all
+from .similar_sets import digest, shingle_set, similar
 
 SHINGLE_SEED, MORE_SEED = 42, 43
 
@@ -56,9 +57,11 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0[, f1 ...]): 64 bits each, from shingle hashes of one seed each. ``distinct``: repeats count once."""
+def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False, sets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f0[, f1 ...]): 64 bits each, from shingle hashes of one seed each. ``distinct``: repeats count once.
+    ``sets``: also g0 and g1, which stand for the set of five-word shingles."""
     n = bits // 64
+    more = ["g0", "g1"] if sets else []
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -70,10 +73,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bo
                     columns[k].append(majority(hashes))
                     hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(MORE_SEED)
                     hashes ^= hashes >> np.uint64(29)
-            yield pd.DataFrame({"doc_id": b["doc_id"]} | {f"f{k}": c for k, c in enumerate(columns)})
+            marks = np.array([digest(shingle_set(t)) for t in b["text"]] if sets else [], dtype=np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": b["doc_id"]} | {f"f{k}": c for k, c in enumerate(columns)} | {m: marks[:, k] for k, m in enumerate(more)})
 
     plain = docs.select(hide_null(F.col(id_col)).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    out = map_batches(plain, make, "doc_id long, " + ", ".join(f"f{k} long" for k in range(n)))
+    out = map_batches(plain, make, "doc_id long, " + ", ".join([*(f"f{k} long" for k in range(n)), *(f"{m} long" for m in more)]))
     return out.select(show_null("doc_id"), *out.columns[1:])
 
 
@@ -111,8 +115,9 @@ def entries(named: DataFrame, bits: int, segments: int, table_ball: int, probe_b
     return checkpoint(every.select("node", "filed", "key").join(live, "key").select("node", "filed", "key", "first"))
 
 
-def near_components(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int) -> DataFrame:
-    """(node, component) of the fingerprints that link with others. ``classes``: node long and f0, f1, ...
+def near_components(classes: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int, texts: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the fingerprints that link with others. ``classes``: node long and f0, f1, ... With ``texts``
+    (node, text) only pairs of similar texts link; pairs across components are then left to ``similar_links``.
 
     Equal segments come first: they join most of a large group at little cost, and entries that only fingerprints of one
     component share need no more looks."""
@@ -132,7 +137,11 @@ def near_components(classes: DataFrame, bits: int, segments: int, table_ball: in
         other = named.select(F.col("node").alias("first"), F.col("component").alias("component_b"), *[F.col(x).alias(f"{x}_b") for x in names])
         stars = pairs.join(named, "node").join(other, "first").filter("component <> component_b").filter(distance(n) <= radius)
         stars = stars.select(F.greatest("node", "first").alias("a"), F.least("node", "first").alias("b"))
+        stars = stars if texts is None else similar(stars, texts)
         links = checkpoint((stars if links is None else links.union(stars)).distinct())
+        if texts is not None:
+            found = components(links)
+            continue
         rows = met.select("node", "filed", "key").join(with_components(components(links)), "node")
         split = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
         left = checkpoint(rows.join(split, "key"))
@@ -144,12 +153,13 @@ def near_components(classes: DataFrame, bits: int, segments: int, table_ball: in
     return found
 
 
-def group_near_duplicates(prints: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int) -> DataFrame:
-    """``prints`` (doc_id, f0, ..., checkpointed) with component_id: the smallest doc_id reachable by links."""
-    names = [f"f{k}" for k in range(bits // 64)]
+def group_near_duplicates(prints: DataFrame, bits: int, segments: int, table_ball: int, probe_ball: int, radius: int, texts: DataFrame | None = None) -> DataFrame:
+    """``prints`` (doc_id, f0, ..., checkpointed) with component_id: the smallest doc_id reachable by links. Rows equal in
+    all but the id are one class."""
+    names = prints.columns[1:]
     classes = prints.filter("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("node"))
     classes = checkpoint(classes)
-    near = near_components(classes, bits, segments, table_ball, probe_ball, radius)
+    near = near_components(classes, bits, segments, table_ball, probe_ball, radius, texts)
     of = classes.join(near, "node", "left").select(*[F.col(x).alias(f"_{x}") for x in names], F.coalesce("component", "node").alias("component_id"))
     return prints.join(of, [F.col(x) == F.col(f"_{x}") for x in names], "left").drop(*[f"_{x}" for x in names])
 

@@ -62,3 +62,9 @@ def test_any_order_finds_all_pairs(spark):
                 if a < b and len(sets[a]) and jaccard(sets[a], sets[b]) >= 0.8:
                     i, j = min((first[a].index(h), first[b].index(h)) for h in set(first[a]) & set(first[b]))
                     assert 9 * min(len(sets[a]) - i, len(sets[b]) - j) >= 4 * (len(sets[a]) + len(sets[b]))
+
+
+def test_others_stay(case):
+    texts, pairs, left = case
+    root = find_all(texts, pairs)
+    assert left == {k for k in texts if root[k] == k}
