@@ -130,7 +130,7 @@ def apply_merges(t: Tables) -> DataFrame:
 
 @query("g13_largest_component")
 def largest_component(t: Tables) -> DataFrame:
-    return G.largest_component(part_nodes(t), part_edges(t).filter("weight > 1"))
+    return G.largest_component(part_nodes(t), part_edges(t))
 
 
 @query("g13_components", """WITH RECURSIVE l AS (SELECT o_custkey % 40 AS a, o_custkey % 40 + 100 + (o_orderkey % 3) * 40 AS b FROM orders WHERE o_custkey % 7 = 0), u AS (SELECT DISTINCT a, b FROM l UNION SELECT DISTINCT b, a FROM l),
@@ -140,9 +140,16 @@ def components(t: Tables) -> DataFrame:
     return G.components(o)
 
 
+@query("g13_components_all")
+def components_all(t: Tables) -> DataFrame:
+    """Customers and the parts they ordered, over all orders."""
+    bought = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return G.components(bought.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst")))
+
+
 @query("g14_communities")
 def communities(t: Tables) -> DataFrame:
-    edges = part_edges(t).filter("weight > 1").select("src", "dst", "weight")
+    edges = part_edges(t).select("src", "dst", "weight")
     return G.communities(edges, G.degrees(edges)).withColumn("weight", F.round("weight", 6))
 
 
@@ -204,6 +211,12 @@ def n_hop_paths(t: Tables) -> DataFrame:
     return G.n_hop_paths(part_edges(t).filter("weight > 1")).select(F.array_join("names", "-").alias("path"), "weight")
 
 
+@query("g19_n_hop_paths_all")
+def n_hop_paths_all(t: Tables) -> DataFrame:
+    """Edges of every weight; the paths are as many as the squares of the degrees."""
+    return G.n_hop_paths(part_edges(t)).select(F.array_join("names", "-").alias("path"), "weight")
+
+
 @query("g20_cluster_tree")
 def cluster_tree(t: Tables) -> DataFrame:
     """Twenty neighbouring vectors are the chunks of one document."""

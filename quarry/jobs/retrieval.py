@@ -249,8 +249,17 @@ def boost_sections(t: Tables) -> DataFrame:
 
 @query("r13_chunk_list", "SELECT l_linenumber AS id, l_partkey FROM lineitem WHERE l_orderkey = 1")
 def chunk_list(t: Tables) -> DataFrame:
-    c = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id"), "l_partkey", F.array(F.col("l_quantity"), F.lit(1.0)).alias("page_num_int"), F.array("l_tax").alias("top_int"))
-    return R.chunk_list(c, 1).select("id", "l_partkey")
+    return R.chunk_list(line_chunks(t), 1).select("id", "l_partkey")
+
+
+@query("r13_chunk_lists")
+def chunk_lists(t: Tables) -> DataFrame:
+    """The lists of all orders."""
+    return R.chunk_lists(line_chunks(t)).select("doc_id", "rank", "id", "l_partkey")
+
+
+def line_chunks(t: Tables) -> DataFrame:
+    return t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id"), "l_partkey", F.array(F.col("l_quantity"), F.lit(1.0)).alias("page_num_int"), F.array("l_tax").alias("top_int"))
 
 
 @query("r14_list_chunks", "SELECT event_id AS id, user_id % 10 AS chunk_order_int FROM events ORDER BY user_id % 10, user_id, value, ts DESC, event_id LIMIT 30 OFFSET 10")

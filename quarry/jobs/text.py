@@ -47,6 +47,12 @@ def strip_question_words(t: Tables) -> DataFrame:
     return b.select("item_id", X.strip_question_words(F.concat(F.lit("what is the "), "text", F.lit(" and who"))).alias("q"))
 
 
+@query("t5_strip_question_words_all")
+def strip_question_words_all(t: Tables) -> DataFrame:
+    """Texts of every script; lower case and word ends differ between the engines there."""
+    return t.benchmark.select("item_id", X.strip_question_words(F.concat(F.lit("what is the "), "text", F.lit(" and who"))).alias("q"))
+
+
 @query("t6_space_latin_cjk", "SELECT n_nationkey, n_name || ' 中国 ' || n_nationkey || ' 号 x' AS spaced FROM nation")
 def space_latin_cjk(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", X.space_latin_cjk(F.concat("n_name", F.lit("中国"), F.col("n_nationkey").cast("string"), F.lit("号x"))).alias("spaced"))
@@ -121,6 +127,11 @@ def chat_markup(t: Tables) -> DataFrame:
     return c.select("conv_id", "turn", X.clean_chat_markup(F.concat(F.lit("<@U1|bob> in <#C1|general> see <https://x.org/a|docs> "), "text")).alias("text"))
 
 
+@query("t17_chat_markup_all")
+def chat_markup_all(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", X.clean_chat_markup(F.concat(F.lit("<@U1|bob> in <#C1|general> see <https://x.org/a|docs> "), "text")).alias("text"))
+
+
 @query("t18_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, epoch_us(ts) // 1000 AS ms FROM events")
 def times(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.iso_to_text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("at"), X.epoch_ms(F.col("ts").cast("timestamp")).alias("ms"))

@@ -142,6 +142,12 @@ def chunk_list(chunks: DataFrame, doc_id, limit: int = 1024) -> DataFrame:
     return chunks.filter(F.col("doc_id") == doc_id).orderBy(mean("page_num_int"), mean("top_int"), "id").limit(limit)
 
 
+def chunk_lists(chunks: DataFrame, limit: int = 1024) -> DataFrame:
+    """The list of every document, with ``rank`` in it."""
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    return top_n(chunks, ["doc_id"], [mean("page_num_int"), mean("top_int"), F.col("id")], limit)
+
+
 def list_chunks(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
     return chunks.orderBy("chunk_order_int", "page", "top", F.desc("create_timestamp_flt"), "id").offset(offset).limit(limit)
 
