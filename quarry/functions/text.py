@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,13 +111,27 @@ def is_garbled(c: Column, threshold: float = 0.5) -> Column:
 
 
 def highlight(c: Column, keywords: list[str]) -> Column:
-    """Sentences that hold a keyword, keywords in <em>, joined by ``...``; null where none does."""
+    """Sentences that hold a keyword as a word, keywords in <em>, joined by ``...``; null where none does."""
     pattern = r"(?i)\b(" + "|".join(sorted(keywords, key=lambda k: (-len(k), k))) + r")\b"
     sentences = F.split(F.regexp_replace(c, r"([.?!;\n])", "$1\u0001"), "\u0001")
     marked = F.filter(F.transform(sentences, lambda s: F.regexp_replace(s, pattern, "<em>$1</em>")), lambda s: s.contains("<em>"))
     return F.nullif(F.array_join(F.transform(marked, lambda s: F.btrim(s, F.lit(" \n"))), "..."), F.lit(""))
 
 
+def highlight_any(c: Column, keywords: list[str]) -> Column:
+    """As ``highlight``, but sentences that aren't English are searched for the keywords literally, also inside words,
+    longest first; the text on one line where no sentence holds one."""
+    either = "|".join(re.escape(k) for k in sorted(keywords, key=lambda k: (-len(k), k)))
+    # a keyword may end in a mark, where \b would ask for a letter
+    word, literal = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({either})(?![\p{{L}}\p{{N}}_])", f"(?iu)({either})"
+    line = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")
+    # sentences end at line ends too, which are gone from the text that is returned whole
+    sentences = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"([.?!;\r\n])", "$1\u0001"), "\u0001"), lambda s: F.btrim(s, F.lit(" \r\n")))
+    held = F.filter(sentences, lambda s: F.when(is_english(s), s.rlike(word)).otherwise(s.rlike(literal)))
+    marked = F.transform(held, lambda s: F.when(is_english(s), F.regexp_replace(s, word, "<em>$1</em>")).otherwise(F.regexp_replace(s, literal, "<em>$1</em>")))
+    return F.when(F.size(marked) > 0, F.array_join(marked, "...")).otherwise(line)
+
+
 def split_combined_values(c: Column) -> Column:
     """Values between list separators, trimmed, without blanks and repeats, in order."""
     parts = F.transform(F.split(c, "[、,，;；|]"), lambda v: F.btrim(v))

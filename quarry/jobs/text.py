@@ -103,6 +103,12 @@ def highlight(t: Tables) -> DataFrame:
     return d.select("doc_id", F.md5(F.coalesce(X.highlight(F.col("text"), ["tion", "ing", "der"]), F.lit(""))).alias("h"))
 
 
+@query("t13_highlight_all")
+def highlight_all(t: Tables) -> DataFrame:
+    """All documents, by words or literally."""
+    return t.documents.select("doc_id", F.md5(X.highlight_any(F.col("text"), ["tion", "ing", "der"])).alias("h"))
+
+
 @query("t14_split_merge", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) || '/' || o_orderstatus AS merged FROM orders")
 def split_merge(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.format_string("%s/%s", F.get(F.split("o_orderpriority", "-"), F.lit(0)), F.col("o_orderstatus")).alias("merged"))

@@ -1,6 +1,7 @@
 """Queries that take whole tables, on small tables of their own against brute force."""
 
 from collections import defaultdict
+from hashlib import md5
 
 from quarry.jobs import QUERIES
 
@@ -58,3 +59,14 @@ def test_texts_of_every_script(spark, tmp_path):
     put(spark, tmp_path, "conversations", [("a", 0, "1 < 2"), ("a", 1, "x")], "conv_id string, turn int, text string")
     assert {r["item_id"]: r["q"] for r in QUERIES["t5_strip_question_words_all"](spark, str(tmp_path)).collect()} == {1: "größe", 2: "中国", 3: "plain"}
     assert {r["turn"]: r["text"] for r in QUERIES["t17_chat_markup_all"](spark, str(tmp_path)).collect()} == {0: "@bob in #general see docs 1 < 2", 1: "@bob in #general see docs x"}
+
+
+def test_highlight_of_every_script(spark, tmp_path):
+    from quarry.functions import text as X
+
+    rows = ["First one. Second has a key here. Keyed no.", "我爱中国人。他在中国; 没有", "no match\nhere", "größenschlüssel über Schlüssel äöüß", "", None, "c++ is it. no"]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, text string")
+    got = [r[0] for r in df.orderBy("n").select(X.highlight_any(df.text, ["key", "中国", "中国人", "schlüssel", "c++"])).collect()]
+    assert got == ["Second has a <em>key</em> here.", "我爱<em>中国人</em>。他在<em>中国</em>;", "no match here", "größen<em>schlüssel</em> über <em>Schlüssel</em> äöüß", "", "", "<em>c++</em> is it."]
+    put(spark, tmp_path, "documents", [(1, "中国的der人"), (2, "Straße")], "doc_id long, text string")
+    assert {r["doc_id"]: r["h"] for r in QUERIES["t13_highlight_all"](spark, str(tmp_path)).collect()} == {1: md5("中国的<em>der</em>人".encode()).hexdigest(), 2: md5("Straße".encode()).hexdigest()}
