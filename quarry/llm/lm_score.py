@@ -1,17 +1,27 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) P(token | class). The class softmax is log-linear in hashed features of the
-history: the last word, the last two, and the words one and two further back by themselves (skips). It is trained by
-distributed gradient updates: in each round every task takes steps over its own documents from the shared weights, in
-sparse numpy batches, and the changes are averaged row by row. Within a class, tokens have smoothed relative counts.
-
-Token counts of the whole training corpus are a Spark aggregate and stay a table. The most frequent tokens, at most
-``head_size`` of them, are the vocabulary that tasks hold in memory; the most frequent of those are classes of their
-own, the others are clustered by their neighbours. All tokens besides are one class, whose members' counts are joined
-in. Weights (``rows`` x classes) and vocabulary don't grow with the corpus.
-
-Defined results: a null text counts as empty: one end token. Repeated rows count and are scored each. Without training
-documents all counts are 0 and the only token type is the unknown one, of probability 1.
+P(token | history) = P(class | history) P(token | class, history). Both factors are log-linear in hashed features of the
+history: the last word, the last two, and the words one and two further back by themselves (skips). The class is drawn
+by a softmax. A class has very many members, so its own softmax is factored once more: its members are the leaves of a
+balanced binary tree, and each inner node is a softmax of two over features (node, history).
+
+* Types. All counts of the training corpus are a Spark aggregate and stay a table. Frequent tokens (at most a
+  sixteenth of the types) have leaves of their own, in classes of even summed roots of counts. The others are the
+  last class, whose leaves are hash buckets of about ``BUCKET`` types; within a bucket a token has its smoothed relative count,
+  which is joined in. In histories each rare token counts as itself, by its hash.
+* Prior. With all weights zero a token has probability (c + 1) / (N + V + buckets): the biases of nodes and classes are
+  the summed counts below them, so probabilities of all types and of one unknown token in each bucket add up to 1.
+* Training. A round is a distributed gradient update at shared weights: tasks add up the gradients of all their tokens
+  in sparse numpy batches, blocks of the sums are merged level by level (``FAN_IN`` parts in a group), and each weight
+  moves by gradient over curvature, as the first round measured it. Sums don't depend on how rows are dealt to tasks.
+
+Weights grow with the types (one for ``TYPES_A_WEIGHT`` of them, a power of two) and so do leaves, up to ``max_weights``
+and ``max_head``, the memory of a task; the count table that is joined in has no limit. A task of the gradient pass
+reads ``READ`` times what its weights are, so that what is merged stays in proportion to the input.
+
+Defined results: a null text counts as empty: one end token. Repeated rows count and are scored each; ties in counts go by
+the token's bytes. Texts of any length are taken in slices. Without training documents all counts are 0 and the only token type
+is the unknown one, of probability 1. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +39,19 @@ from pyspark.sql import functions as F
 from .common import checkpoint, crc_mod, hide_null, map_batches, show_null, table
 
 END = b""
+#: Stands before a text.
+START = -1
 #: Distinct tokens a task adds up before it hands on what it has.
 HELD = 400_000
-BLOCK = 1024
+#: Floats in a block of summed gradients, and parts that one group adds up.
+BLOCK, FAN_IN = 1 << 16, 16
+#: Tokens a batch holds.
+SLICE = 1 << 15
+BUCKET, TYPES_A_WEIGHT, READ = 1024, 8, 16
+#: Classes, with that of rare tokens; how far back the features of classes and of nodes look.
+CLASSES = 16
+CLASS_FEATURES = ((1,), (1, 2), (2,), (3,))
+NODE_FEATURES = ((1,), (1, 2), (2,))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -71,154 +91,277 @@ def frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def id_stream(texts: list[bytes], ids: dict[bytes, int], rare: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids with three start marks before each text, the places of tokens)."""
-    out: list[int] = []
-    for t in texts:
-        out += [rare + 1] * 3
-        out += [ids.get(w, rare) for w in tokens(t)]
-    a = np.array(out, dtype=np.int64)
-    return a, (a <= rare).nonzero()[0]
-
-
-def features(stream: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
-    """[token, 5] rows of the weights: a bias, then hashed (last), (last two), (one back), (two back)."""
-    one, two, three = (stream[at - k].astype(np.uint64) for k in (1, 2, 3))
-    out = np.zeros((len(at), 5), np.int64)
-    for k, x in enumerate((one, one * np.uint64(1_000_003) + two, two, three), 1):
-        h = (x + np.uint64(k << 50)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        out[:, k] = 1 + ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % (rows - 1)
-    return out
+class Codes(dict):
+    """Tokens to codes: frequent ones by rank; a rare one to its hash, behind those."""
+
+    def __missing__(self, token: bytes) -> int:
+        return len(self) + zlib.crc32(token)
+
+
+class Leaves:
+    """Classes, their trees and the prior. Leaves are the frequent tokens by rank, then the buckets of rare ones."""
+
+    def __init__(self, head: np.ndarray, buckets: np.ndarray) -> None:
+        """``head``: c + 1 of frequent tokens, most frequent first; ``buckets``: the sum of c + 1, and 1, of each bucket."""
+        mass = np.concatenate((head, buckets)).astype(np.float64)
+        self.frequent, self.buckets = len(head), len(buckets)
+        roots = np.sqrt(head.astype(np.float64)).cumsum()
+        of = (roots - np.sqrt(head) / 2) * (CLASSES - 1) / roots[-1] if len(head) else roots
+        of = np.unique(of.astype(np.int64), return_inverse=True)[1]  # classes without members get no number
+        self.classes = int(of.max()) + 2 if len(head) else 1
+        self.leaf_class = np.concatenate((of, np.full(len(buckets), self.classes - 1))).astype(np.int64)
+        share = np.bincount(self.leaf_class, weights=mass, minlength=self.classes)
+        self.prior = share / share.sum()
+        #: Twice the node, and 1 if the path goes right, for each step from a root to a leaf.
+        steps, lengths, bias, base = [], [], [], 0
+        for k in range(self.classes):
+            m = mass[self.leaf_class == k]
+            depth = int(len(m) - 1).bit_length()
+            sums = np.zeros(2 << depth)  # node 1 is the root; node i has the children 2 i and 2 i + 1
+            sums[1 << depth : (1 << depth) + len(m)] = m
+            for level in range(depth - 1, -1, -1):
+                at = np.arange(1 << level, 2 << level)
+                sums[at] = sums[2 * at] + sums[2 * at + 1]
+            inner = np.arange(1 << depth)
+            left, right = sums[2 * inner], sums[2 * inner + 1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bias.append(np.where((left > 0) & (right > 0), np.log(right / left), 0))
+            leaf = (1 << depth) + np.arange(len(m))
+            at = np.stack([leaf >> (depth - level) for level in range(depth)], axis=1) if depth else np.zeros((len(m), 0), np.int64)
+            right_turn = np.stack([leaf >> (depth - level - 1) & 1 for level in range(depth)], axis=1) if depth else at
+            free = sums[2 * at + 1] > 0  # a node with one child decides nothing
+            lengths.append(free.sum(axis=1))
+            steps.append((2 * (base + at) + right_turn)[free])
+            base += 1 << depth
+        self.lengths, self.steps, self.bias = np.concatenate(lengths), np.concatenate(steps), np.concatenate(bias)
+        self.starts = self.lengths.cumsum() - self.lengths
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < self.frequent, codes, self.frequent + ((codes - self.frequent) & (self.buckets - 1)))
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into ``leaf``, node, goes right) of every step to each of ``leaf``."""
+        n = self.lengths[leaf]
+        who = np.repeat(np.arange(len(leaf)), n)
+        step = self.steps[np.arange(len(who)) + np.repeat(self.starts[leaf] - (n.cumsum() - n), n)]
+        return who, step >> 1, step & 1
+
+
+def mix(x: np.ndarray, k: int) -> np.ndarray:
+    h = (x + np.uint64((k + 1) << 50)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
+
+def keys(stream: np.ndarray, at: np.ndarray, features: tuple) -> list[np.ndarray]:
+    """For each feature a 64-bit hash of the words that many places before each of ``at``."""
+    back = {k: stream[at - k].astype(np.uint64) for k in {k for f in features for k in f}}
+    found = []
+    for f in features:
+        x = back[f[0]]
+        for k in f[1:]:
+            x = x * np.uint64(0xD6E8FEB86659FD93) + back[k]
+        found.append(mix(x, sum(1 << k for k in f)))
+    return found
+
+
+def cells(key: np.ndarray, size: int) -> np.ndarray:
+    """Cells of a table of ``size`` (a power of two) weights."""
+    return (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - size.bit_length())).astype(np.int64) if size > 1 else np.zeros(len(key), np.int64)
 
 
-def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[:, 0]] + w[f[:, 1]]
-    for k in range(2, f.shape[1]):
-        z += w[f[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+@dataclass
+class Weights:
+    """``by_class`` [feature, row, class] and ``by_node`` [cell], and the curvature that steps are divided by."""
+
+    by_class: np.ndarray
+    by_node: np.ndarray
+    class_curve: np.ndarray
+    node_curve: np.ndarray
+
+    @staticmethod
+    def zero(size: int, classes: int) -> Weights:
+        rows = max(1, size // (len(CLASS_FEATURES) * CLASSES))
+        shape = (len(CLASS_FEATURES), rows, classes)
+        return Weights(np.zeros(shape, np.float32), np.zeros(size, np.float32), np.zeros(shape, np.float32), np.zeros(size, np.float32))
+
+
+class Step:
+    """What a batch of tokens asks of the weights: the cells it meets and the probabilities there."""
+
+    def __init__(self, leaves: Leaves, w: Weights, stream: np.ndarray, at: np.ndarray) -> None:
+        self.leaf = leaves.of(stream[at])
+        self.kind = leaves.leaf_class[self.leaf]
+        self.rows = [cells(k, w.by_class.shape[1]) for k in keys(stream, at, CLASS_FEATURES)]
+        self.who, node, self.right = leaves.paths(self.leaf)
+        self.bias = leaves.bias[node]
+        spread = node.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        self.cells = [cells((k[self.who] ^ spread) * np.uint64(0x9E3779B97F4A7C15), len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
+        self.leaves, self.w = leaves, w
+
+    def log_classes(self) -> np.ndarray:
+        """[token, class] natural logarithms."""
+        z = self.w.by_class[0].take(self.rows[0], axis=0)
+        for k in range(1, len(self.rows)):
+            z += self.w.by_class[k].take(self.rows[k], axis=0)
+        z += np.log(self.leaves.prior).astype(np.float32)
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def slopes(self) -> np.ndarray:
+        """The log odds of going right at each step."""
+        z = self.bias.astype(np.float32)
+        for c in self.cells:
+            z += self.w.by_node[c]
+        return z
+
+    def log_probability(self) -> np.ndarray:
+        """Of each token's leaf, to base 10."""
+        z = self.slopes()
+        steps = -np.logaddexp(0, np.where(self.right, -z, z)).astype(np.float64)
+        out = self.log_classes()[np.arange(len(self.kind)), self.kind] + np.bincount(self.who, weights=steps, minlength=len(self.kind))
+        return out / np.log(10)
 
 
-def sum_blocks(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Adds up what tasks have for blocks of rows of one matrix: (task, block, payload of float32). In two steps, so
-    that no group holds the parts of very many tasks."""
-    width = shape[1]
+@dataclass
+class Sums:
+    """Gradients, and in the first round curvatures: p (1 - p) summed over the tokens that meet a weight. For classes the
+    first round needs no more than counts, as probabilities are then the prior everywhere."""
+
+    by_class: np.ndarray
+    by_node: np.ndarray
+    node_curve: np.ndarray | None
+
+    def add(self, s: Step) -> None:
+        shape = self.by_class.shape
+        if self.node_curve is not None:
+            for k, rows in enumerate(s.rows):
+                self.by_class[k] += np.bincount(rows * shape[2] + s.kind, minlength=shape[1] * shape[2]).reshape(shape[1:])
+        else:
+            g = -np.exp(s.log_classes())
+            g[np.arange(len(s.kind)), s.kind] += 1
+            g = np.ascontiguousarray(g.T).astype(np.float64)
+            for k, rows in enumerate(s.rows):
+                for c in range(shape[2]):
+                    self.by_class[k, :, c] += np.bincount(rows, weights=g[c], minlength=shape[1])
+        p = 1 / (1 + np.exp(-s.slopes()))
+        g, h = s.right.astype(np.float32) - p, p * (1 - p)
+        for c in s.cells:
+            np.add.at(self.by_node, c, g)
+            if self.node_curve is not None:
+                np.add.at(self.node_curve, c, h)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.reshape(-1) for x in (self.by_class, self.by_node, self.node_curve) if x is not None]).astype(np.float32)
+
+
+def new_sums(w: Weights, first: bool) -> Sums:
+    return Sums(np.zeros(w.by_class.shape), np.zeros(len(w.by_node), np.float32), np.zeros(len(w.by_node), np.float32) if first else None)
+
+
+def update(w: Weights, sums: np.ndarray, leaves: Leaves, first: bool, rate: float, ridge: float) -> Weights:
+    """The weights after a round whose summed gradients are ``sums``."""
+    n = w.by_class.size
+    by_class, by_node = sums[:n].reshape(w.by_class.shape), sums[n : n + len(w.by_node)]
+    class_curve, node_curve = w.class_curve, w.node_curve
+    if first:
+        met = by_class.sum(axis=2, keepdims=True)
+        by_class, class_curve = by_class - met * leaves.prior, met * leaves.prior * (1 - leaves.prior)
+        node_curve = sums[n + len(w.by_node) :]
+    moved = (w.by_class + rate * by_class / (class_curve + ridge), w.by_node + rate * by_node / (node_curve + ridge), class_curve, node_curve)
+    return Weights(*(x.astype(np.float32) for x in moved))
+
+
+def merge_parts(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
+    """Adds up what tasks have for blocks of one vector: (task, block, payload of float32). Level by level, so that no
+    group has more than ``FAN_IN`` parts however many tasks there are."""
 
     def add(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(p), np.float32).astype(np.float64) for p in b["payload"])
-        return pd.DataFrame({"task": [0], "block": [key[0]], "payload": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
+        total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in b["payload"])
+        return pd.DataFrame({"task": [key[1]], "block": [key[0]], "payload": [total.astype(np.float32).tobytes()]})
 
-    some = parts.withColumn("salt", F.col("task") % 64).groupBy("block", "salt").applyInPandas(add, "task long, block int, payload binary")
-    out = np.zeros(shape)
-    for r in some.groupBy("block").applyInPandas(add, "task long, block int, payload binary").collect():  # as many rows as blocks
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r["payload"])), np.float32).reshape(-1, width)
+    while True:
+        parts = parts.groupBy("block", F.floor(F.col("task") / FAN_IN).cast("int").alias("_group")).applyInPandas(add, "task int, block int, payload binary")
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
+    out = np.zeros(size)
+    for r in parts.collect():  # as many rows as blocks
+        found = np.frombuffer(bytes(r["payload"]), np.float32)
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(found)] = found
     return out
 
 
-def as_blocks(m: np.ndarray) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
+def streams(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """(codes with three start marks before each text, the places of tokens)."""
+    out: list[int] = []
+    for t in texts:
+        out += [START] * 3
+        out += map(codes.__getitem__, tokens(t))
+    a = np.array(out, dtype=np.int64)
+    return a, (a != START).nonzero()[0]
+
 
-    task = TaskContext.get().partitionId()
-    for k in range(0, len(m), BLOCK):
-        if (part := m[k : k + BLOCK]).any():
-            yield pd.DataFrame({"task": [task], "block": [k // BLOCK], "payload": [zlib.compress(part.astype(np.float32).tobytes(), 1)]})
+def some_texts(b: pd.DataFrame, size: int = SLICE * 6) -> Iterator[pd.DataFrame]:
+    """Runs of rows of about ``size`` bytes of text."""
+    at = b["text"].map(len, na_action="ignore").fillna(0).to_numpy(np.int64).cumsum() // size
+    for lo, hi in zip(cuts := [0, *((at[1:] != at[:-1]).nonzero()[0] + 1).tolist(), len(b)], cuts[1:], strict=False):
+        if lo < hi:
+            yield b.iloc[lo:hi]
 
 
 @dataclass
 class Model:
-    ids: dict[bytes, int]
+    codes: Codes
     counts: np.ndarray
-    classes: np.ndarray
-    within: np.ndarray
-    weights: np.ndarray
+    leaves: Leaves
+    bucket_mass: np.ndarray
+    weights: Weights
     n: int
     v: int
-    rare_bottom: float
 
 
-def neighbour_classes(docs: DataFrame, ids: dict[bytes, int], marks: int, singles: int, clusters: int) -> np.ndarray:
-    """A class for each frequent token: its own for the first ``singles``, else a cluster by which of the first
-    ``marks`` tokens stand beside it how often (spherical k-means); the last class is that of all other tokens."""
-    k = len(ids)
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+def power_of_two(x: float) -> int:
+    return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
-    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((k, 2 * marks), np.float32)
-        for b in batches:
-            for lo in range(0, len(b), 256):
-                s, at = id_stream(b["text"].iloc[lo : lo + 256].tolist(), shared.value, k)
-                word = s[at]
-                for side, other in ((0, s[at - 1]), (marks, np.append(s, k + 1)[at + 1])):
-                    use = (word < k) & (other < marks)
-                    cells, n = np.unique(word[use] * (2 * marks) + side + other[use], return_counts=True)
-                    sums.reshape(-1)[cells] += n
-        yield from as_blocks(sums)
-
-    x = np.sqrt(sum_blocks(map_batches(docs, beside, "task long, block int, payload binary"), (k, 2 * marks)))
-    x -= 0  # rows of tokens that stand beside none stay zero and go to the first cluster
-    rest = x[singles:] / np.maximum(np.linalg.norm(x[singles:], axis=1, keepdims=True), 1e-9)
-    classes = np.concatenate((np.arange(min(singles, k)), np.zeros(max(0, k - singles), np.int64))).astype(np.int64)
-    if len(rest):
-        centers = [rest[0]]
-        near = rest @ rest[0]
-        for _ in range(min(clusters, len(rest)) - 1):  # the frequent word least like the centers so far
-            centers.append(rest[int(near[:2000].argmin())])
-            near = np.maximum(near, rest @ centers[-1])
-        c = np.array(centers)
-        for _ in range(12):
-            of = (rest @ c.T).argmax(axis=1)
-            c = np.array([rest[of == j].sum(axis=0) if (of == j).any() else c[j] for j in range(len(c))])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        classes[singles:] = singles + (rest @ c.T).argmax(axis=1)
-    return classes
-
-
-def train(docs: DataFrame, counts: DataFrame, head_size: int = 65_536, rows: int = 1 << 15, singles: int = 15, clusters: int = 32, marks: int = 64, rounds: int = 1, rate: float = 0.5, step: int = 4096) -> Model:
-    """``docs``: one binary column ``text``. Rounds of local steps from shared weights, averaged where tasks changed them."""
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = frequent(counts, head_size)
-    ids = {w: i for i, (w, _) in enumerate(head)}
-    c = np.array([x for _, x in head], dtype=np.float64)
-    size = singles + clusters + 1
-    classes = np.append(neighbour_classes(docs, ids, marks, singles, clusters), size - 1)
-    mass = np.bincount(classes[:-1], weights=c, minlength=size)
-    types = np.bincount(classes[:-1], minlength=size)
-    within = np.log10((c + 1) / (mass + types)[classes[:-1]])
-    rare_bottom = (n - c.sum()) + (v - len(head)) + 1
-    weights = np.zeros((rows, size), np.float32)
-    share = mass.copy()
-    share[-1] = n - c.sum()
-    weights[0] = np.log((share + 1) / (share + 1).sum())
-    shared_ids = docs.sparkSession.sparkContext.broadcast(ids)
-
-    for _ in range(rounds if n else 0):
-        shared = docs.sparkSession.sparkContext.broadcast(weights)
-
-        def learn(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            start = shared.value
-            w, seen = start.copy(), np.zeros(rows, np.float32)
+
+def train(docs: DataFrame, counts: DataFrame, rounds: int = 2, rate: float = 0.35, ridge: float = 8.0, max_weights: int = 1 << 24, max_head: int = 1 << 18, head: int | None = None, weights: int | None = None) -> Model:
+    """``docs``: one binary column ``text``. ``head`` and ``weights`` set the sizes that else follow the types."""
+    n, v, size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.col("c") * (F.octet_length("token") + 1)), F.lit(0))).first()
+    top = frequent(counts, min(max_head, max(1024, v // 16)) if head is None else head)
+    codes = Codes((w, i) for i, (w, _) in enumerate(top))
+    c = np.array([x for _, x in top], dtype=np.float64)
+    buckets = min(power_of_two((v - len(top)) / BUCKET), max_head)
+    rare = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w, _ in top], "token binary")), "token", "left_anti") if not top else counts.filter(F.col("c") < top[-1][1])
+    mass = np.ones(buckets)
+    for r in rare.groupBy(F.expr(f"crc32(token) & {buckets - 1}").alias("bucket")).agg(F.sum(F.col("c") + 1).alias("mass")).collect():  # a row for each bucket
+        mass[r["bucket"]] += r["mass"]
+    leaves = Leaves(c + 1, mass)
+    w = Weights.zero(min(max_weights, power_of_two(max(1 << 12, v / TYPES_A_WEIGHT))) if weights is None else weights, leaves.classes)
+    tasks = max(1, int(size // (READ * 4 * len(w.by_node))))
+    shared_codes, shared_leaves = (docs.sparkSession.sparkContext.broadcast(x) for x in (codes, leaves))
+    dealt = docs.coalesce(tasks)
+    tasks = dealt.rdd.getNumPartitions()
+
+    for turn in range(rounds if n else 0):
+        first, shared = turn == 0, docs.sparkSession.sparkContext.broadcast(w)
+
+        def learn(batches: Iterator[pd.DataFrame], shared=shared, first=first) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            sums = new_sums(shared.value, first)
             for b in batches:
-                for lo in range(0, len(b), 128):
-                    s, at = id_stream(b["text"].iloc[lo : lo + 128].tolist(), shared_ids.value, len(head))
-                    for k in range(0, len(at), step):
-                        places = at[k : k + step]
-                        f = features(s, places, rows)
-                        g = np.exp(log_softmax(w, f))
-                        g[np.arange(len(places)), classes[s[places]]] -= 1
-                        flat = f[:, 1:].reshape(-1)
-                        order = np.argsort(flat, kind="stable")
-                        hit, first = np.unique(flat[order], return_index=True)
-                        change = np.add.reduceat(g[order // 4], first, axis=0)
-                        seen[hit] += np.diff(np.append(first, len(flat)))
-                        w[hit] -= rate * change / np.sqrt(seen[hit] * 8 + 64)[:, None]
-            delta = np.concatenate((w - start, (seen > 0).astype(np.float32)[:, None]), axis=1)
-            yield from as_blocks(delta.astype(np.float16).astype(np.float32))
-
-        total = sum_blocks(map_batches(docs, learn, "task long, block int, payload binary"), (rows, size + 1))
-        weights = (weights + total[:, :-1] / np.maximum(total[:, -1:], 1)).astype(np.float32)
-    return Model(ids, c, classes, within, weights, n, v, float(rare_bottom))
+                for some in some_texts(b):
+                    s, at = streams(some["text"].tolist(), shared_codes.value)
+                    for k in range(0, len(at), SLICE):
+                        sums.add(Step(shared_leaves.value, shared.value, s, at[k : k + SLICE]))
+            flat, task = sums.flat(), TaskContext.get().partitionId()
+            for k in range(0, len(flat), BLOCK):
+                yield pd.DataFrame({"task": [task], "block": [k // BLOCK], "payload": [flat[k : k + BLOCK].tobytes()]})
+
+        total = merge_parts(map_batches(dealt, learn, "task int, block int, payload binary"), tasks, len(new_sums(w, first).flat()))
+        w = update(w, total, leaves, first, rate, ridge)
+    return Model(codes, c, leaves, mass, w, n, v)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,22 +370,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
     def known_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        k = len(m.ids)
-        log_counts, within = np.append(np.log10(m.counts + 1), 0.0), np.append(m.within, 0.0)
+        k = len(m.codes)
+        log_counts = np.append(np.log10(m.counts + 1), 0.0)
+        in_bucket = np.append(np.zeros(k), -np.log10(m.bucket_mass))
         for b in batches:
-            for lo in range(0, len(b), 64):
-                some = b.iloc[lo : lo + 64]
+            for some in some_texts(b):
                 texts = some["text"].tolist()
-                s, at = id_stream(texts, m.ids, k)
+                s, at = streams(texts, m.codes)
+                owner = np.cumsum(s == START) // 3 - 1
                 sums = np.zeros((3, len(texts)))
-                owner = np.cumsum(s == k + 1) // 3 - 1
-                for j in range(0, len(at), 4096):
-                    places = at[j : j + 4096]
-                    word = s[places]
-                    lp = log_softmax(m.weights, features(s, places, len(m.weights)))[np.arange(len(places)), m.classes[word]] / np.log(10)
-                    for row, x in enumerate((word < k, log_counts[word], lp + within[word])):
+                for j in range(0, len(at), SLICE):
+                    places = at[j : j + SLICE]
+                    word, step = s[places], Step(m.leaves, m.weights, s, places)
+                    lp = step.log_probability() + in_bucket[step.leaf]
+                    for row, x in enumerate((word < k, log_counts[np.minimum(word, k)], lp)):
                         sums[row] += np.bincount(owner[places], weights=x, minlength=len(texts))
-                tails = [Counter(w for w in tokens(t) if w not in m.ids) for t in texts]
+                tails = [Counter(w for w in tokens(t) if w not in m.codes) for t in texts]
                 yield pd.DataFrame({
                     "id": some["id"], "n_tokens": np.bincount(owner[at], minlength=len(texts)), "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2],
                     "tail": [list(t) for t in tails], "tail_n": [list(t.values()) for t in tails],
@@ -252,17 +395,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     parts = map_batches(plain, known_part, "id long, n_tokens long, known long, base double, score double, tail array<binary>, tail_n array<int>")
     parts = checkpoint(parts.withColumn("row", F.monotonically_increasing_id()))
     rare = parts.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("tf"))
-    joined = rare.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = joined.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("_base"), F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(model.rare_bottom))).alias("_score"))
+    joined = rare.join(counts, "token").select("row", "tf", "c")
+    sums = joined.groupBy("row").agg(F.sum("tf").alias("_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("_more"))
     out = parts.drop("tail", "tail_n").join(sums, "row", "left")
-    zero = F.lit(0.0)
+    more = F.coalesce("_more", F.lit(0.0))
     return out.select(
         show_null("id").alias(id_col),
         "n_tokens",
         (F.col("known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", zero) - F.col("n_tokens") * F.log10(F.lit(float(model.n + model.v + 1)))).alias("base_score"),
-        (F.col("score") + F.coalesce("_score", zero)).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * F.log10(F.lit(float(model.n + model.v + 1)))).alias("base_score"),
+        (F.col("score") + more).alias("score"),
     )
 
 

@@ -309,19 +309,160 @@ def test_lm_counts_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_sums_to_one(spark):
-    """Over the known types and the unknown one, after any history."""
-    docs = spark.createDataFrame([("a b a c",), ("b b a d e",)], "text string").select(F.col("text").cast("binary").alias("text"))
+TINY = ["a b a c", "b b a d e", "a b a c f", "g g b a", None, "", "b a h i j k", "A b\ta c"]
+
+
+@pytest.fixture(scope="module")
+def tiny(spark):
+    """(texts, counts, model) with 4 tokens that have leaves of their own; the others share a bucket."""
+    docs = spark.createDataFrame([(t,) for t in TINY], "text string").select(F.col("text").cast("binary").alias("text"))
     counts = lm_score.count_tokens(docs, "text")
-    model = lm_score.train(docs, counts, head_size=4, rows=64)
+    return docs, counts, lm_score.train(docs, counts, head=4, weights=1 << 12)
+
+
+class PlainLM:
+    """The model token by token, from its description: probabilities by plain loops and dicts of weights."""
+
+    def __init__(self, model):
+        self.m, self.leaves = model, model.leaves
+        self.mass = [c + 1 for c in model.counts.tolist()] + model.bucket_mass.tolist()
+        self.members = {}
+        for leaf, k in enumerate(self.leaves.leaf_class.tolist()):
+            self.members.setdefault(k, []).append(leaf)
+        self.total = sum(self.mass)
+        self.by_class, self.by_node = {}, {}
+
+    def code(self, w):
+        ids = dict(self.m.codes)
+        return ids[w] if w in ids else len(ids) + zlib.crc32(w)
+
+    def leaf(self, code):
+        k = len(self.m.codes)
+        return code if code < k else k + (code - k) % len(self.m.bucket_mass)
+
+    def hashes(self, history, features):
+        a = np.array([*history[::-1], 0], np.int64)
+        return [int(x[0]) for x in lm_score.keys(a, np.array([3]), features)]
+
+    def classes(self, history):
+        rows = self.rows(history)
+        z = {k: math.log(sum(self.mass[i] for i in v) / self.total) + sum(self.by_class.get((f, r, k), 0) for f, r in enumerate(rows)) for k, v in self.members.items()}
+        top = sum(math.exp(x) for x in z.values())
+        return {k: math.exp(x) / top for k, x in z.items()}
+
+    def rows(self, history):
+        size = self.m.weights.by_class.shape[1]
+        return [int(lm_score.cells(np.array([h], np.uint64), size)[0]) for h in self.hashes(history, lm_score.CLASS_FEATURES)]
+
+    def path(self, leaf, history):
+        """[(cells, prior log odds, right)] from the root down, halving runs of members of a power of two."""
+        k = int(self.leaves.leaf_class[leaf])
+        base = sum(1 << (len(self.members[j]) - 1).bit_length() for j in range(k))
+        at, width, lo, node = self.members[k].index(leaf), 1 << (len(self.members[k]) - 1).bit_length(), 0, 1
+        found = []
+        while width > 1:
+            width //= 2
+            low, high = self.members[k][lo : lo + width], self.members[k][lo + width : lo + 2 * width]
+            right = at >= lo + width
+            if high:
+                spread = ((base + node) * 0x94D049BB133111EB) % 2**64
+                keys = [np.array([(h ^ spread) * 0x9E3779B97F4A7C15 % 2**64], np.uint64) for h in self.hashes(history, lm_score.NODE_FEATURES)]
+                found.append(([int(lm_score.cells(x, len(self.m.weights.by_node))[0]) for x in keys], math.log(sum(self.mass[i] for i in high) / sum(self.mass[i] for i in low)), right))
+            node, lo = 2 * node + right, lo + width * right
+        return found
+
+    def steps(self, text):
+        past = [lm_score.START] * 3
+        for w in lm_score.tokens(text):
+            yield w, tuple(past[-1:-4:-1])
+            past.append(self.code(w))
+
+    def odds(self, cells, bias):
+        return 1 / (1 + math.exp(-bias - sum(self.by_node.get(c, 0) for c in cells)))
+
+    def probability(self, leaf, history):
+        p = self.classes(history)[int(self.leaves.leaf_class[leaf])]
+        for cells, bias, right in self.path(leaf, history):
+            up = self.odds(cells, bias)
+            p *= up if right else 1 - up
+        return p
+
+    def round(self, texts, rate, ridge, curves=None):
+        grad, node_grad, first = Counter(), Counter(), curves is None
+        curve, node_curve = (Counter(), Counter()) if first else curves
+        for t in texts:
+            for w, history in self.steps(t):
+                leaf = self.leaf(self.code(w))
+                p = self.classes(history)
+                for f, r in enumerate(self.rows(history)):
+                    for k, x in p.items():
+                        grad[f, r, k] += (k == self.leaves.leaf_class[leaf]) - x
+                        if first:
+                            curve[f, r, k] += x * (1 - x)
+                for cells, bias, right in self.path(leaf, history):
+                    up = self.odds(cells, bias)
+                    for c in cells:
+                        node_grad[c] += right - up
+                        if first:
+                            node_curve[c] += up * (1 - up)
+        for w, g, h in ((self.by_class, grad, curve), (self.by_node, node_grad, node_curve)):
+            for k, x in g.items():
+                w[k] = w.get(k, 0) + rate * x / (h[k] + ridge)
+        return curve, node_curve
+
+
+def test_lm_training_and_scores_equal_plain_loops(spark, tiny):
+    docs, counts, model = tiny
+    plain = PlainLM(model)
+    texts = [(t or "").encode() for t in TINY]
+    curves = plain.round(texts, 0.35, 8.0)
+    plain.round(texts, 0.35, 8.0, curves)
+    for (f, r, k), x in plain.by_class.items():
+        assert abs(model.weights.by_class[f, r, k] - x) < 1e-5
+    for c, x in plain.by_node.items():
+        assert abs(model.weights.by_node[c] - x) < 1e-5
+    assert np.count_nonzero(model.weights.by_node) <= len(plain.by_node) and np.count_nonzero(model.weights.by_class) <= len(plain.by_class)
     known = {bytes(r.token): r.c for r in counts.collect()}
-    s, at = lm_score.id_stream([b"a b"], model.ids, len(model.ids))
-    p = np.exp(lm_score.log_softmax(model.weights, lm_score.features(s, at[1:2], 64)))[0]
-    total = sum(p[model.classes[i]] * 10 ** model.within[i] for i in model.ids.values())
-    rare = [c for w, c in known.items() if w not in model.ids]
-    total += p[-1] * (sum(c + 1 for c in rare) + 1) / model.rare_bottom
-    empty = set(range(len(p))) - set(model.classes.tolist())
-    assert math.isclose(total + sum(p[list(empty)]), 1, rel_tol=1e-6)
+    asked = [*TINY, "b c a unknown", "k", "e d c b a " * 50]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score(rows, model, counts).collect()}
+    for k, t in enumerate(asked):
+        want = 0.0
+        for w, history in plain.steps((t or "").encode()):
+            leaf = plain.leaf(plain.code(w))
+            inside = 1 if w in model.codes else (known.get(w, 0) + 1) / plain.mass[leaf]
+            want += math.log10(plain.probability(leaf, history) * inside)
+        assert math.isclose(got[k], want, rel_tol=1e-4), t
+
+
+def test_lm_sums_to_one(tiny):
+    """Over all known types and one unknown in each bucket, after any history."""
+    _, counts, model = tiny
+    plain = PlainLM(model)
+    plain.round([(t or "").encode() for t in TINY], 0.35, 8.0)
+    for history in ((-1, -1, -1), (0, 1, 0), (5, 2, 7)):
+        assert math.isclose(sum(plain.probability(leaf, history) for leaf in range(len(plain.mass))), 1, rel_tol=1e-9)
+    rare = [r.c + 1 for r in counts.collect() if bytes(r.token) not in model.codes]
+    assert sum(model.bucket_mass) == sum(rare) + len(model.bucket_mass)
+    large = lm_score.Leaves(np.arange(3000, 3, -1) ** 1.5, np.arange(1.0, 65.0))
+    who, node, right = large.paths(np.arange(len(large.leaf_class)))
+    p = np.zeros(len(large.leaf_class))
+    np.add.at(p, who, -np.logaddexp(0, np.where(right, -large.bias[node], large.bias[node])))
+    mass = np.concatenate((np.arange(3000, 3, -1) ** 1.5, np.arange(1.0, 65.0)))
+    assert np.allclose(large.prior[large.leaf_class] * np.exp(p), mass / mass.sum())
+
+
+def test_lm_does_not_depend_on_partitions(spark, tiny):
+    docs, counts, model = tiny
+    for parts in (1, 7):
+        other = lm_score.train(docs.repartition(parts), counts, head=4, weights=1 << 12).weights
+        assert np.allclose(other.by_node, model.weights.by_node, atol=1e-6) and np.allclose(other.by_class, model.weights.by_class, atol=1e-6)
+
+
+def test_lm_merges_in_levels(spark):
+    parts = [(t, b, np.full(4, t + b, np.float32).tobytes()) for t in range(300) for b in range(2)]
+    got = lm_score.merge_parts(spark.createDataFrame(parts, "task int, block int, payload binary"), 300, lm_score.BLOCK + 4)
+    assert got[:4].tolist() == [300 * 299 / 2] * 4 and got[lm_score.BLOCK :].tolist() == [300 * 299 / 2 + 300] * 4
 
 
 def test_lm_odd(spark, odd, none):
