@@ -4,15 +4,19 @@ Texts are lower-cased and cut into words of letters and digits; an item's shingl
 words if it has fewer). A window of a document, as long as an item, is a leak of it if the weighted similarity of their
 shingle multisets (sum of smaller counts over sum of larger ones) is ``similarity`` or more.
 
-1. Such a window lacks less than 1 - similarity of the item's shingle weight, so it holds one of any shingles of the
-   item that weigh more than that together. Documents are joined with those probes; each hit gives a window's place.
-2. Windows and items get fingerprints (64 bits, those set in over half the shingle hashes). A pair within ``radius``
-   bits agrees in one of radius + 1 blocks: pairs meet by (item, block, value), and complete distances are compared.
+1. Where to look. A leak lacks less than 1 - similarity of the item's shingle weight, so it holds one of any shingles of
+   the item that weigh more than that together. Those probes are looked up in all texts; every window of an item's
+   length about every place of a probe gets a fingerprint (64 bits, those set in over half the shingle hashes).
+2. What is there. Fingerprints within ``radius`` bits agree in one of radius + 1 blocks: windows meet the items of their
+   length by (block, value) alone, whatever probe led to them, and complete distances are compared.
 3. What is left is compared exactly, shingle by shingle.
 
-The probe table is broadcast only up to ``broadcast_rows`` rows, the found ids likewise; beyond that joins shuffle.
-Defined results: null and empty texts leak nothing; items without words are never found; a document shorter than an item
-is compared whole; rows of one id and text are one; a null id is an id of its own; repeated items are found each.
+Texts that hold a probe are dealt out once, by text, and each distinct text once; windows, fingerprints and the exact
+comparison stay where the text is. The probe and index tables are broadcast only up to ``broadcast_rows`` rows; beyond
+that joins shuffle. Defined results: null and empty texts leak nothing; items without words are never found; a document
+shorter than an item is compared whole; rows of one id and text are one; a null id is an id of its own; repeated items
+are found each; ties between windows go to the first; texts of any length are taken whole; other columns of the input, whatever
+their names, are not read (``drop_leaks`` carries them along).
 """
 
 from __future__ import annotations
@@ -48,9 +52,18 @@ def shingles(hashes: str, k: Column | int, first: Column | None = None, words: C
     return out
 
 
-def simhash(hashes: Column) -> Column:
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * F.size(F.filter(hashes, lambda h: F.call_function("getbit", h, b) == 1)) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+def prints_of(rows: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """(keys, print) of shingle hashes in rows (keys, h): the 64 bits set in over half of them. Sums of bits are kept
+    several in a long, as wide as ``longest``, the most hashes of a print, needs."""
+    lane = 16 if longest < 1 << 16 else 32
+    ones = sum(1 << at for at in range(0, 64, lane))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"_s{i}") for i in range(lane)]
+    summed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), *sums)
+    print_ = F.lit(0).cast("long")
+    for bit in range(64):
+        count = F.shiftrightunsigned(f"_s{bit % lane}", bit - bit % lane).bitwiseAND(F.lit((1 << lane) - 1))
+        print_ = print_.bitwiseOR(F.when(2 * count > F.col("_m"), F.lit(1 << bit if bit < 63 else -(2**63))).otherwise(F.lit(0).cast("long")))
+    return summed.select(*keys, print_.alias("print"))
 
 
 def blocks(print_: str, radius: int) -> Column:
@@ -60,60 +73,77 @@ def blocks(print_: str, radius: int) -> Column:
 
 
 def prepared_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, n, k, hashes): words, words a shingle, shingle hashes; ``item`` tells rows apart even if ids repeat."""
+    """(item, item_id, n, k, hashes): words, words a shingle, shingle hashes; ``item`` tells rows apart even if ids repeat."""
     items = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(F.col(text_col)).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     items = items.withColumn("k", F.least("n", F.lit(SHINGLE))).withColumn("hashes", shingles("words", F.col("k")))
     return checkpoint(items.withColumn("item", F.xxhash64("item_id", "words")).select("item", "item_id", "n", "k", "hashes").dropDuplicates(["item"]))
 
 
 def probes(items: DataFrame, similarity: float) -> DataFrame:
-    """(h, item, n, k, at): for each item the shingles, in order of hash, that first weigh over 1 - similarity."""
-    every = items.select("item", "n", "k", F.size("hashes").alias("total"), F.posexplode("hashes").alias("at", "h"))
-    weighed = every.groupBy("item", "n", "k", "total", "h").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("w"))
+    """(h, n, k): for each item the shingles, in order of hash, that first weigh over 1 - similarity."""
+    every = items.select("item", "n", "k", F.size("hashes").alias("total"), F.explode("hashes").alias("h"))
+    weighed = every.groupBy("item", "n", "k", "total", "h").agg(F.count(F.lit(1)).alias("w"))
     before = Window.partitionBy("item").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    return weighed.withColumn("_sum", F.coalesce(F.sum("w").over(before), F.lit(0))).filter(F.col("_sum") <= (1 - similarity) * F.col("total") + 1e-9).select("h", "item", "n", "k", "at")
+    return weighed.withColumn("_sum", F.coalesce(F.sum("w").over(before), F.lit(0))).filter(F.col("_sum") <= (1 - similarity) * F.col("total") + 1e-9).select("h", "n", "k").distinct()
 
 
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def touched_texts(texts: DataFrame, probe: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(t1, t2, n, k, m, starts, runs), dealt by text: for each distinct text and item length that a probe leads to, the
+    starts of windows that hold a probe, the shingles in a window and all shingles of the text. ``texts``: text."""
+    sizes = [r["k"] for r in probe.select("k").distinct().collect()]  # at most 5 rows
+    n_probes = probe.count()
+    hashed = texts.select(*text_key(F.col("text")), word_hashes(F.col("text")).alias("words"))
+    runs = hashed.select("t1", "t2", F.size("words").alias("n_doc"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shingles("words", k).alias("runs")) for k in sizes or [SHINGLE]])).alias("r"))
+    places = runs.select("t1", "t2", "n_doc", F.col("r.k").alias("k"), F.posexplode("r.runs").alias("pos", "h"))
+    hits = places.join(small_side(probe, n_probes, broadcast_rows), ["h", "k"])
+    found = checkpoint(hits.groupBy("t1", "t2", "n", "k").agg(F.first("n_doc").alias("n_doc"), F.sort_array(F.collect_set("pos")).alias("at")))
+    wanted = found.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    keyed = texts.select(*text_key(F.col("text")), "text")
+    holders = keyed.join(small_side(wanted, wanted.count(), broadcast_rows), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left_semi").dropDuplicates(["t1", "t2"])
+    both = holders.select("t1", "t2", word_hashes(F.col("text")).alias("words")).join(found, ["t1", "t2"])
+    last = F.greatest(F.lit(0), F.col("n_doc") - F.col("n"))
+    # of each place the windows about it that the place before does not have
+    about = F.transform("at", lambda p, i: F.sequence(F.greatest(F.lit(0), p - (F.col("n") - F.col("k")), F.when(i > 0, F.get("at", i - 1) + 1).otherwise(0)), p))
+    starts = F.array_distinct(F.transform(F.flatten(about), lambda s: F.least(s, last)))
+    m = F.least("n", "n_doc") - F.col("k") + 1
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(both.select("t1", "t2", "n", "k", m.alias("m"), starts.alias("starts"), shingles("words", F.col("k")).alias("runs")).repartition(n, "t1", "t2"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 22, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_words, start, similarity): the best window of each document and item that is a leak."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = prepared_items(benchmark, item_col, item_text_col)
-    probe = checkpoint(probes(items, similarity))
-    sizes = [r["k"] for r in probe.select("k").distinct().collect()]  # at most 5 rows
-    n_probes = probe.count()
-    hashed = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("words"))
-    hits = None
-    for k in sizes or [SHINGLE]:
-        runs = hashed.select("doc_id", "text_hash", F.size("words").alias("n_doc"), shingles("words", k).alias("runs"))
-        runs = runs.select("doc_id", "text_hash", "n_doc", F.posexplode_outer("runs").alias("pos", "h"))
-        found = runs.join(small_side(probe.filter(F.col("k") == k), n_probes, broadcast_rows), "h")
-        # an item longer than the document starts at 0
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n_doc") - F.col("n")))
-        found = found.select("doc_id", "text_hash", "item", "n", "k", start.alias("start"))
-        hits = found if hits is None else hits.union(found)
-    hits = checkpoint(hits.distinct())
-    n_hits = hits.count()
-    wanted = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("item", "n", "k", "start")).alias("_places"))
-    holders = plain.withColumn("text_hash", F.xxhash64("text")).join(small_side(wanted, n_hits, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    holders = holders.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "_places", word_hashes(F.col("text")).alias("words"))
-    places = holders.select("doc_id", "text_hash", "words", F.explode("_places").alias("p")).select("doc_id", "text_hash", "words", "p.*")
-    inside = places.withColumn("hashes", shingles("words", F.col("k"), F.col("start"), F.col("n")))
-    windows = checkpoint(inside.select("doc_id", "text_hash", "item", "n", "start", "hashes", simhash(F.col("hashes")).alias("print")))
-    marked = checkpoint(items.select("item", "item_id", F.col("hashes").alias("item_hashes"), simhash(F.col("hashes")).alias("item_print")))
-    left = windows.select("doc_id", "text_hash", "item", "start", "print", F.explode(blocks("print", radius)).alias("b")).select("doc_id", "text_hash", "item", "start", "print", "b.*")
-    right = marked.select("item", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("item", "item_print", "b.*")
-    near = left.join(right, ["item", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select("doc_id", "text_hash", "item", "start").distinct()
-    kept = windows.join(near.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "item": "_item", "start": "_start"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("item") == F.col("_item")) & (F.col("start") == F.col("_start"))).join(marked, "item")
-    key = ["doc_id", "text_hash", "item", "item_id", "n", "start"]
-    both = kept.select(*key, F.explode("hashes").alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(kept.select(*key, F.explode("item_hashes"), F.lit(0), F.lit(1)))
-    by_shingle = both.groupBy(*key, "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    touched = touched_texts(plain.select("text"), checkpoint(probes(items, similarity)), broadcast_rows)
+    longest = items.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    inside = touched.select("t1", "t2", "n", "k", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("runs", s + 1, F.col("m")).alias("hs")))).alias("w"))
+    windows = prints_of(inside.select("t1", "t2", "n", "k", F.col("w.start").alias("start"), F.explode("w.hs").alias("h")), ["t1", "t2", "n", "k", "start"], longest)
+    marked = prints_of(items.select("item", "n", "k", F.explode("hashes").alias("h")), ["item", "n", "k"], longest)
+    index = checkpoint(marked.select("item", F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("print").alias("item_print"), F.explode(blocks("print", radius)).alias("b")).select("item", "_n", "_k", "item_print", F.col("b.block").alias("_block"), F.col("b.value").alias("_value")))
+    looked = windows.select("*", F.explode(blocks("print", radius)).alias("b"))
+    met = looked.join(small_side(index, index.count(), broadcast_rows), (F.col("b.block") == F.col("_block")) & (F.col("b.value") == F.col("_value")) & (F.col("n") == F.col("_n")) & (F.col("k") == F.col("_k")))
+    near = met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).groupBy("t1", "t2", "n", "k").agg(F.collect_set(F.struct("item", "start")).alias("pairs"))
+    pairs = touched.join(near, ["t1", "t2", "n", "k"]).select("t1", "t2", "n", F.explode(F.transform("pairs", lambda p: F.struct(p["item"].alias("item"), p["start"].alias("start"), F.slice("runs", p["start"] + 1, F.col("m")).alias("hs")))).alias("p"))
+    pairs = pairs.select("t1", "t2", "n", F.col("p.item").alias("item"), F.col("p.start").alias("start"), F.col("p.hs").alias("hs")).join(small_side(items.select("item", "item_id", "hashes"), index.count(), broadcast_rows), "item")
+    key = ["t1", "t2", "item", "item_id", "n", "start"]
+    # the window's shingles as they are, the item's behind them
+    both = pairs.select(*key, F.size("hs").alias("_size"), F.posexplode(F.concat("hs", "hashes")).alias("_at", "h"))
+    mine = F.when(F.col("_at") < F.col("_size"), 1).otherwise(0)
+    by_shingle = both.groupBy(*key, "h").agg(F.sum(mine).alias("a"), F.sum(1 - mine).alias("b"))
     exact = by_shingle.groupBy(*key).agg((F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = exact.groupBy("doc_id", "item_id", F.col("n").alias("n_words")).agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
-    return best.select("doc_id", "item_id", "n_words", (-F.col("best.col2")).alias("start"), F.round("best.similarity", 6).alias("similarity"))
+    best = checkpoint(exact.groupBy("t1", "t2", "item_id", F.col("n").alias("n_words")).agg(F.max(F.struct("similarity", -F.col("start"))).alias("best")))
+    best = best.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "item_id", "n_words", (-F.col("best.col2")).alias("start"), F.round("best.similarity", 6).alias("similarity"))
+    ids = plain.select("doc_id", *text_key(F.col("text")))
+    leaking = ids.join(small_side(best, best.count(), broadcast_rows), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
+    return leaking.select("doc_id", "item_id", "n_words", "start", "similarity", "t1", "t2").distinct().drop("t1", "t2")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:

@@ -140,6 +140,43 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == set(texts) - {d for d, _ in want}
 
 
+def test_decontaminate_edits_and_repeats(spark):
+    """Words put in, taken out and changed, passages that repeat, heads and tails cut, halves swapped."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 4))
+    items = {}
+    for i in range(24):
+        part = [word() for _ in range(int(rng.integers(6, 12) if i % 3 == 0 else rng.integers(46, 75)))]
+        items[i] = part * 6 if i % 3 == 0 else part
+    texts, d = {}, 0
+    for w in items.values():
+        for kind in range(6):
+            v = list(w)
+            for _ in range(1 + kind % 2):
+                at = int(rng.integers(0, len(v) if kind else 4))
+                v[at : at + (kind != 0)] = [] if kind == 2 else [word()]
+            v = v[len(v) // 12 :] if kind == 3 else v[len(v) // 2 :] + v[: len(v) // 2] if kind == 4 else v
+            texts[d] = " ".join([*(word() for _ in range(int(rng.integers(0, 40)))), *v, *(word() for _ in range(int(rng.integers(0, 40))))])
+            d += 1
+    items = {i: " ".join(w) for i, w in items.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = leaks(texts, items)
+    assert len(want) > 50
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+
+
+def test_decontaminate_long_text_and_extra_columns(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 4000, 60_000)]
+    item = " ".join(f"item{x}" for x in range(40))
+    docs = spark.createDataFrame([(1, " ".join(words[:50_000]) + " " + item + " " + " ".join(words[50_000:]), 5, 6, 7), (2, "x", 5, 6, 7)], "doc_id long, text string, item long, n int, h long")
+    bench = spark.createDataFrame([(7, item, 1), (8, item, 1)], "item_id long, text string, doc_id int")
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.find_leaks(docs, bench).collect()) == [(1, 7, 50_000, 1.0), (1, 8, 50_000, 1.0)]
+    left = decontaminate.drop_leaks(docs, bench)
+    assert [r.doc_id for r in left.collect()] == [2] and left.columns == docs.columns
+
+
 def test_decontaminate_table(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     assert {(r.doc_id, r.item_id) for r in decontaminate.op2_decontaminate(spark, DATA).collect()} == leaks(docs_of(spark), items)
