@@ -8,7 +8,8 @@ raises the likelihood by more than a penalty for one more share (half the logari
 
 The model has (languages x ``buckets``) entries whatever the size of the corpus; languages are the distinct values of a
 label column. Defined results: ``und`` with score 0 and no shares for a null text, one without a letter, or where nothing
-was learnt; rows with a null label teach nothing; ties go to the language that sorts first; repeated rows count each.
+was learnt; rows with a null label teach nothing; ties go to the language that sorts first; repeated rows count each;
+texts of any length are taken whole, in runs; an empty table gives no rows; columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -29,37 +30,45 @@ BUCKETS = 1 << 16
 UNDETERMINED = "und"
 #: Code points are looked at in runs of this length, so that a long text needs little memory at once.
 RUN = 1 << 20
+#: Probabilities (n-grams times languages) that texts fitted together take up, if more than one.
+BATCH = 1 << 21
 
 _letters: list[np.ndarray] = []
 
 
 def letter_codes() -> np.ndarray:
-    """For each code point itself if it is a letter or mark, else 0."""
+    """For each code point itself if it is a letter or mark, else 0; bit 31 tells letters from marks."""
     if not _letters:
         known = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] in "LM":
-                known[c] = c
+            if (kind := unicodedata.category(chr(c))[0]) in "LM":
+                known[c] = c + (1 << 31 if kind == "L" else 0)
         _letters.append(known)
     return _letters[0]
 
 
 def gram_counts(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of the bigrams and trigrams of the lower-cased letters, with other characters as one blank;
-    both empty without a letter."""
+    """(buckets, counts) of the bigrams and trigrams of the lower-cased letters and marks, with other characters as one
+    blank; both empty without a letter. Each run takes over the last two characters of the one before, so n-grams across
+    runs count once and the length of runs changes nothing."""
     known, found, any_letter = letter_codes(), [], False
-    text = text or ""
+    text = (text or "").lower()
+    last = np.zeros(1, np.uint64)  # a blank stands before the text
     for at in range(0, max(1, len(text)), RUN):
-        codes = known[np.frombuffer(text[at : at + RUN].lower().encode("utf-32-le", "replace"), np.uint32)]
-        any_letter |= bool(codes.any())
-        codes = np.concatenate((np.zeros(1, np.uint32), codes, np.zeros(1, np.uint32)))
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-        c = codes[keep].astype(np.uint64)
+        codes = known[np.frombuffer(text[at : at + RUN].encode("utf-32-le", "replace"), np.uint32)]
+        any_letter |= bool((codes >> 31).any())
+        codes = (codes & np.uint32(0x7FFFFFFF)).astype(np.uint64)
+        if at + RUN >= len(text):  # and one behind it
+            codes = np.append(codes, np.uint64(0))
+        if not len(codes):
+            continue
+        blank = codes == 0
+        c = np.concatenate((last, codes[~(blank & np.concatenate((last[-1:] == 0, blank[:-1])))]))
         two = c[:-1] * np.uint64(0x9E3779B1) + c[1:]
         three = two[:-1] * np.uint64(0x85EBCA77) + c[2:] + np.uint64(1 << 40)
-        h = np.concatenate((two, three)) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.concatenate((two[len(last) - 1 :], three)) * np.uint64(0x9E3779B97F4A7C15)
         found.append(((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
+        last = c[-2:]
     if not any_letter:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     if sum(map(len, found)) > buckets // 4:
@@ -144,26 +153,41 @@ def infer(grams: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, penalty: fl
     return shares
 
 
-def mixtures(texts: pd.Series, langs: list[str], p: np.ndarray, penalty: float, rounds: int) -> list[tuple[str, float, dict[str, float]]]:
-    """(language of the largest share, that share, the shares above 0) of each text."""
-    grams = [gram_counts(t, len(p)) for t in texts]
-    out: list[tuple[str, float, dict[str, float]]] = [(UNDETERMINED, 0.0, {})] * len(grams)
-    known = [i for i, g in enumerate(grams) if len(g[0]) and langs]
-    if known:
-        for i, s in zip(known, infer([grams[i] for i in known], p, penalty, rounds), strict=True):
-            out[i] = (langs[int(s.argmax())], float(min(1.0, s.max())), {langs[j]: float(s[j]) for j in s.nonzero()[0]})
-    return out
-
-
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, rounds: int = 12, batch: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixtures(texts: pd.Series, langs: list[str], p: np.ndarray, penalty: float, rounds: int, batch: int = BATCH) -> Iterator[tuple[str, float, dict[str, float]]]:
+    """(language of the largest share, that share, the shares above 0) of each text, in order. Texts are fitted together up
+    to ``batch`` probabilities, so that memory doesn't grow with their lengths or with the languages."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def fit() -> Iterator[tuple[str, float, dict[str, float]]]:
+        known = [g for g in held if len(g[0]) and langs]
+        shares = iter(infer(known, p, penalty, rounds) if known else ())
+        for g in held:
+            if len(g[0]) and langs:
+                s = next(shares)
+                yield langs[int(s.argmax())], float(min(1.0, s.max())), {langs[j]: float(s[j]) for j in s.nonzero()[0]}
+            else:
+                yield UNDETERMINED, 0.0, {}
+
+    room = 0
+    for t in texts:
+        held.append(gram_counts(t, len(p)))
+        room += len(held[-1][0]) * max(1, len(langs))
+        if room >= batch:
+            yield from fit()
+            held.clear()
+            room = 0
+    yield from fit()
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, shares): the language of the largest share, that share, and the shares above 0."""
     langs, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), batch):
-                some = b.iloc[at : at + batch]
+            for at in range(0, len(b), 1024):
+                some = b.iloc[at : at + 1024]
                 pred, score, found = zip(*mixtures(some["text"], langs, shared.value, penalty, rounds), strict=True)
                 yield pd.DataFrame({id_col: some[id_col], "lang_pred": pred, "score": score, "shares": found})
 
@@ -172,20 +196,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     return out.select(show_null(id_col), "lang_pred", "score", "shares")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", penalty: float = 4.0, rounds: int = 12, batch: int = 64) -> DataFrame:
-    """``docs`` without those of undetermined language; a filter within each task, whatever the ids."""
+def set_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", lang_col: str = "lang", least: float = 0.5, penalty: float = 4.0, rounds: int = 12) -> DataFrame:
+    """``docs`` with the language inferred for each text in ``lang_col``; those go whose language is undetermined or makes
+    up less than ``least`` of the text. Done within each task, whatever the ids; columns keep their order."""
     langs, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p)
 
     @F.pandas_udf("string")
     def predicted(texts: pd.Series) -> pd.Series:
-        found = []
-        for at in range(0, len(texts), batch):
-            found += [x[0] for x in mixtures(texts.iloc[at : at + batch], langs, shared.value, penalty, rounds)]
-        return pd.Series(found, dtype=object)
+        found = mixtures(texts, langs, shared.value, penalty, rounds)
+        return pd.Series([lang if share >= least and lang != UNDETERMINED else None for lang, share, _ in found], dtype=object)
 
     ship(docs.sparkSession)
-    return docs.filter(predicted(F.col(text_col)) != UNDETERMINED)
+    named = docs.withColumn("_language", predicted(F.col(text_col))).filter(F.col("_language").isNotNull())
+    return named.withColumn(lang_col, F.col("_language")).drop("_language").select(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

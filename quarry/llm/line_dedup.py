@@ -1,9 +1,11 @@
 """Line dedup by levelled sorted runs of line hashes.
 
 Documents are taken in batches of rising doc_id. A run holds the line hashes a batch met first, hash-partitioned and
-sorted. A batch merge-joins its own distinct hashes with the runs so far: hashes found there are repeats, the others
-become the batch's run. ``fanout`` runs of a level are compacted to one of the next, so that a batch meets few runs.
-Only hashes move until the last step, where the positions to drop meet the texts.
+sorted. A batch's distinct hashes, dealt and sorted alike, are merge-joined with one run after the other, none of which
+moves or is sorted again: hashes found there are repeats, the others are the batch's run. ``fanout`` runs of a level are
+merged within their partitions to one of the next, so that a batch meets few runs. Only hashes move until the last
+step, where the positions to drop meet the texts. Tasks that hold a frequent line see it once for each partition it came
+from; its occurrences meet its key in a join that adaptive execution may split.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id count as one document, a null doc_id
 counts as one document that comes last; lines whose key has fewer than ``min_chars`` code points always stay; a text
@@ -37,12 +39,14 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def sorted_run(hashes: DataFrame) -> DataFrame:
+    """``hashes`` dealt by (h1, h2) and sorted, on disk; the checkpoint knows that they are."""
     n = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(hashes.select("h1", "h2").repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2"))
+    return checkpoint(hashes.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2"))
 
 
 def add_run(levels: list[list[DataFrame]], run: DataFrame, fanout: int) -> None:
-    """Puts ``run`` at level 0 and compacts each level that is full into one run of the next."""
+    """Puts ``run`` at level 0 and merges each level that is full into one run of the next. A union of runs that are dealt
+    alike is dealt so too: the merge sorts within partitions and moves nothing."""
     at = 0
     while True:
         if at == len(levels):
@@ -50,22 +54,26 @@ def add_run(levels: list[list[DataFrame]], run: DataFrame, fanout: int) -> None:
         levels[at].append(run)
         if len(levels[at]) < fanout:
             return
-        run = sorted_run(union_all(levels[at]))
+        run = checkpoint(union_all(levels[at]).sortWithinPartitions("h1", "h2"))
         levels[at] = []
         at += 1
 
 
 def batch_repeats(lines: DataFrame, runs: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(lines to drop, hashes new to the runs) of one batch."""
-    keys = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    keys = sorted_run(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")))
+    seen = F.lit(False)
+    for k, run in enumerate(runs):
+        keys = keys.join(run.withColumn(f"_in{k}", F.lit(True)), ["h1", "h2"], "left")
+        seen = seen | F.col(f"_in{k}").isNotNull()
     if runs:
-        keys = keys.join(union_all(runs).withColumn("seen", F.lit(True)), ["h1", "h2"], "left")
+        keys = checkpoint(keys.select("h1", "h2", "first", "last", seen.alias("seen")))
     else:
-        keys = keys.withColumn("seen", F.lit(None).cast("boolean"))
-    keys = checkpoint(keys)
-    repeated = keys.filter("seen OR first < last")
-    drops = lines.join(repeated, ["h1", "h2"]).filter("seen OR place > first").select("doc_id", "text_hash", "pos")
-    return drops, keys.filter("seen IS NULL")
+        keys = keys.withColumn("seen", F.lit(False))
+    # met by the pair, so that both sides are dealt anew and a hot line can be split
+    repeated = keys.filter("seen OR first < last").select(F.struct("h1", "h2").alias("h"), "first", "seen")
+    drops = lines.withColumn("h", F.struct("h1", "h2")).join(repeated, "h").filter("seen OR place > first").select("doc_id", "text_hash", "pos")
+    return drops, keys.filter("NOT seen").select("h1", "h2")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -82,7 +90,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanou
         drops, fresh = batch_repeats(lines.filter(F.col("batch") == k), [r for level in levels for r in level])
         found.append(drops)
         if k < len(bounds):
-            add_run(levels, sorted_run(fresh), fanout)
+            add_run(levels, checkpoint(fresh), fanout)
     return union_all(found) if found else empty(docs.sparkSession, "doc_id long, text_hash long, pos int")
 
 

@@ -5,9 +5,11 @@ binned at their quantiles; boosting goes round the features, each time fitting a
 one feature's bins, and adds it to that feature's lookup table; then the pairs of features that explain most of what is
 left get tables of their own, from trees with one cut on each side. A score is a sum of table entries by bin.
 
-Defined results: a null text counts as empty; empty texts get the score their features have; a label that is null or on
-no document teaches nothing; a document with several labels counts by their mean, rounded; without any label, or with
-labels of one kind, the score is the smoothed share of label 1 (0.5 where there is none).
+Defined results: a null text counts as empty; empty texts get the score their features have; texts of any length are
+counted whole; a label that is null or on no document teaches nothing; a document with several labels counts by their
+mean, rounded; repeated rows are scored each, and each teaches; ties between features or cuts go to the first; without
+any label, or with labels of one kind, the score is the smoothed share of label 1 (0.5 where there is none); an empty
+table gives no rows; columns besides id, text and label are not read.
 """
 
 from __future__ import annotations
@@ -167,7 +169,11 @@ class AdditiveModel:
 def train(features: DataFrame, labels: DataFrame, label_col: str, max_rows: int = 40_000, id_col: str = "doc_id") -> AdditiveModel:
     """Fits on labelled rows; at most ``max_rows`` of them come to the driver, a bound that doesn't grow with the data."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("_y"))
-    rows = features.join(marks, F.col("doc_id") == F.col("_id")).select("x", "_y", F.xxhash64("doc_id").alias("_h")).orderBy("_h").limit(max_rows).toPandas()
+    marks = marks.withColumn("_h", F.shiftrightunsigned(F.xxhash64("_id"), 34))  # 30 bits
+    # hashes below a level that 1.1 max_rows labels reach, so that all tasks together hand on no more than about those
+    level = int((1 << 30) * min(1.0, 1.1 * max_rows / max(1, marks.count())))
+    few = marks.filter(F.col("_h") <= level)
+    rows = features.join(few, F.col("doc_id") == F.col("_id")).select("x", "_y", "_h", "doc_id").orderBy("_h", "doc_id").limit(max_rows).toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return AdditiveModel(x, rows["_y"].to_numpy(np.float64))
 

@@ -85,11 +85,99 @@ def test_language_id_odd(spark, odd, none):
     model = language_id.train(odd)
     got = language_id.identify(odd, model).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
-    assert language_id.keep_identified(odd, model).count() == len(ODD) - 3 and language_id.keep_identified(odd, model).columns == odd.columns
+    named = language_id.set_languages(odd.withColumn("lang", F.lit("?")), model)
+    assert named.count() == len(ODD) - 3 and named.columns == odd.columns and {r.lang for r in named.collect()} == {"en"}
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(none)).collect()} == {"und"}
     assert language_id.identify(none, model).count() == 0
 
 
+def plain_grams(text, buckets):
+    """Counts by bucket, character by character."""
+    import unicodedata
+
+    kind = lambda c: unicodedata.category(c)[0]
+    if not any(kind(c) == "L" for c in text.lower()):
+        return {}
+    chars = [0]
+    for c in text.lower():
+        x = ord(c) if kind(c) in "LM" else 0
+        if x or chars[-1]:
+            chars.append(x)
+    if chars[-1]:
+        chars.append(0)
+    found, m = Counter(), 2**64
+    for i in range(len(chars) - 1):
+        two = (chars[i] * 0x9E3779B1 + chars[i + 1]) % m
+        found[((two * 0x9E3779B97F4A7C15 % m) >> 40) % buckets] += 1
+        if i + 2 < len(chars):
+            three = (two * 0x85EBCA77 + chars[i + 2] + (1 << 40)) % m
+            found[((three * 0x9E3779B97F4A7C15 % m) >> 40) % buckets] += 1
+    return dict(found)
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 7, 1 << 20])
+def test_grams_equal_plain_loops_whatever_the_runs(monkeypatch, run):
+    monkeypatch.setattr(language_id, "RUN", run)
+    for text in ("Abc  déf, 12 x", "a", "  ..a", "日本 語", "\u0301\u0302 12", "", "12 34", "e\u0301 ab\n\nc", "A" * 50 + "  b  "):
+        at, n = language_id.gram_counts(text, 997)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == plain_grams(text, 997), text
+
+
+def test_shares_equal_plain_em():
+    """The chosen set, the shares and the language of each text as by EM in plain loops."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.full(300, 0.2), 4).T + 1e-6
+    p /= p.sum(axis=0)
+    texts = []
+    for _ in range(40):
+        mix = rng.dirichlet(np.full(4, 0.4))
+        at, n = np.unique(rng.choice(300, int(rng.integers(5, 400)), p=p @ mix / (p @ mix).sum()), return_counts=True)
+        texts.append((at, n))
+    got = language_id.infer(texts, p, 4.0, 12)
+
+    def likelihood(at, n, s):
+        return sum(c * math.log(sum(p[a, k] * s[k] for k in range(4))) for a, c in zip(at, n, strict=True))
+
+    def em(at, n, allowed):
+        s = [1 / len(allowed) if k in allowed else 0.0 for k in range(4)]
+        for _ in range(12):
+            new = [0.0] * 4
+            for a, c in zip(at, n, strict=True):
+                z = sum(p[a, k] * s[k] for k in range(4))
+                for k in allowed:
+                    new[k] += c * p[a, k] * s[k] / z
+            s = [x / sum(n) for x in new]
+        return s
+
+    for (at, n), shares in zip(texts, got, strict=True):
+        level, best = max((likelihood(at, n, [float(j == k) for j in range(4)]), -k) for k in range(4))
+        chosen, s = [-best], [float(j == -best) for j in range(4)]
+        while len(chosen) < 4:
+            slope = {k: sum(c * p[a, k] / sum(p[a, j] * s[j] for j in range(4)) for a, c in zip(at, n, strict=True)) / sum(n) for k in range(4) if k not in chosen}
+            k = max(slope, key=slope.get)
+            fit = em(at, n, [*chosen, k])
+            if slope[k] <= 1 or likelihood(at, n, fit) - level <= 2.0 * math.log(sum(n)):
+                break
+            chosen, s, level = [*chosen, k], fit, likelihood(at, n, fit)
+        assert np.allclose(s, shares, atol=1e-9)
+    one_by_one = [language_id.infer([t], p, 4.0, 12)[0] for t in texts]
+    assert np.allclose(one_by_one, got)
+
+
+def test_marks_alone_are_undetermined(spark, odd):
+    docs = spark.createDataFrame([(1, "\u0301\u0302 12"), (2, "a\u0301 12"), (3, "12 34 !")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, language_id.train(odd)).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[2][0] == "en"
+
+
+def test_language_of_a_long_text_and_mixed_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta " * 500, "x"), (2, "zyx wvu tsr qpo " * 500, "y")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    rows = spark.createDataFrame([(1, "alpha beta gamma " * 120_000, "?"), (2, "alpha beta gamma delta zyx wvu tsr qpo " * 30, "?"), (3, "wvu " * 9 + "alpha", "?")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in language_id.set_languages(rows, model, least=0.6).collect()}
+    assert got == {1: "x", 3: "y"}
+
+
 # decontamination
 
 
@@ -211,6 +299,38 @@ def test_embeddings(spark):
     assert embedding_dedup.link_vectors(df.filter("vec_id < 0")).count() == 0
 
 
+def test_many_multiples_of_one_vector_end(spark):
+    """3,000 multiples whose ids agree modulo 16; they link all with all."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=8)
+    df = spark.createDataFrame([(16 * k, (v * (1 + k / 7)).tolist(), 1) for k in range(3000)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.link_vectors(df, max_cell=400).groupBy("n_links", "component_id").count().collect()
+    assert [(r.n_links, r.component_id, r["count"]) for r in got] == [(2999, 0, 3000)]
+
+
+def test_cover_tree_covers():
+    rng = np.random.default_rng(7)
+    points = embedding_dedup.unit(np.repeat(rng.normal(size=(20, 6)), 30, axis=0) + rng.normal(size=(600, 6)) * 0.05)
+    todo, seen = [embedding_dedup.cover_tree(points, 0.02)], 0
+    while todo:
+        node = todo.pop()
+        assert np.linalg.norm(points[node.rows] - points[node.center], axis=1).max() <= node.radius + 1e-7 and node.center in node.rows
+        if node.kids:
+            assert sorted(np.concatenate([k.rows for k in node.kids]).tolist()) == sorted(node.rows.tolist())
+            todo += node.kids
+        else:
+            seen += len(node.rows)
+    assert seen == 600
+
+
+def test_embeddings_odd(spark, none):
+    rows = [(None, [1.0, 2.0], "a", 1), (1, [1.0, 2.0], "a", 2), (2, [2.0, 4.0], "a", 3), (3, [1.0, 2.0], None, 4), (4, [2.0, 4.0], "a", 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, component_id long").withColumns({"cell": F.lit(1), "node": F.lit(2), "n_links": F.lit(3)})
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_vectors(df).collect()), key=str)
+    assert got == sorted([(0, 0, None, None), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)], key=str)
+    assert embedding_dedup.link_vectors(none.select(F.col("doc_id").alias("vec_id"), F.array(F.col("score")).alias("embedding"), F.col("lang").alias("label"))).count() == 0
+
+
 # SimHash
 
 
