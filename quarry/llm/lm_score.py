@@ -195,7 +195,7 @@ class Step:
         self.who, node, self.right = leaves.paths(self.leaf)
         self.bias = leaves.bias[node]
         spread = node.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        self.cells = [cells((k[self.who] ^ spread) * np.uint64(0x9E3779B97F4A7C15), len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
+        self.cells = [cells(k[self.who] ^ spread, len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
         self.leaves, self.w = leaves, w
 
     def log_classes(self) -> np.ndarray:
@@ -212,13 +212,14 @@ class Step:
         """The log odds of going right at each step."""
         z = self.bias.astype(np.float32)
         for c in self.cells:
-            z += self.w.by_node[c]
+            z += self.w.by_node.take(c)
         return z
 
     def log_probability(self) -> np.ndarray:
         """Of each token's leaf, to base 10."""
         z = self.slopes()
-        steps = -np.logaddexp(0, np.where(self.right, -z, z)).astype(np.float64)
+        np.clip(np.where(self.right, -z, z), None, 80, out=z)
+        steps = -np.log(1 + np.exp(z))
         out = self.log_classes()[np.arange(len(self.kind)), self.kind] + np.bincount(self.who, weights=steps, minlength=len(self.kind))
         return out / np.log(10)
 
@@ -292,12 +293,12 @@ def merge_parts(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
     return out
 
 
-def streams(texts: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+def streams(words: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """(codes with three start marks before each text, the places of tokens)."""
     out: list[int] = []
-    for t in texts:
+    for w in words:
         out += [START] * 3
-        out += map(codes.__getitem__, tokens(t))
+        out += map(codes.__getitem__, w)
     a = np.array(out, dtype=np.int64)
     return a, (a != START).nonzero()[0]
 
@@ -337,7 +338,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 2, rate: float = 0.3
     for r in rare.groupBy(F.expr(f"crc32(token) & {buckets - 1}").alias("bucket")).agg(F.sum(F.col("c") + 1).alias("mass")).collect():  # a row for each bucket
         mass[r["bucket"]] += r["mass"]
     leaves = Leaves(c + 1, mass)
-    w = Weights.zero(min(max_weights, power_of_two(max(1 << 12, v / TYPES_A_WEIGHT))) if weights is None else weights, leaves.classes)
+    w = Weights.zero(min(max_weights, power_of_two(max(1 << 16, v / TYPES_A_WEIGHT))) if weights is None else weights, leaves.classes)
     tasks = max(1, int(size // (READ * 4 * len(w.by_node))))
     shared_codes, shared_leaves = (docs.sparkSession.sparkContext.broadcast(x) for x in (codes, leaves))
     dealt = docs.coalesce(tasks)
@@ -352,7 +353,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 2, rate: float = 0.3
             sums = new_sums(shared.value, first)
             for b in batches:
                 for some in some_texts(b):
-                    s, at = streams(some["text"].tolist(), shared_codes.value)
+                    s, at = streams([tokens(t) for t in some["text"]], shared_codes.value)
                     for k in range(0, len(at), SLICE):
                         sums.add(Step(shared_leaves.value, shared.value, s, at[k : k + SLICE]))
             flat, task = sums.flat(), TaskContext.get().partitionId()
@@ -375,19 +376,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         in_bucket = np.append(np.zeros(k), -np.log10(m.bucket_mass))
         for b in batches:
             for some in some_texts(b):
-                texts = some["text"].tolist()
-                s, at = streams(texts, m.codes)
+                words = [tokens(t) for t in some["text"]]
+                s, at = streams(words, m.codes)
                 owner = np.cumsum(s == START) // 3 - 1
-                sums = np.zeros((3, len(texts)))
+                sums = np.zeros((3, len(words)))
                 for j in range(0, len(at), SLICE):
                     places = at[j : j + SLICE]
                     word, step = s[places], Step(m.leaves, m.weights, s, places)
                     lp = step.log_probability() + in_bucket[step.leaf]
                     for row, x in enumerate((word < k, log_counts[np.minimum(word, k)], lp)):
-                        sums[row] += np.bincount(owner[places], weights=x, minlength=len(texts))
-                tails = [Counter(w for w in tokens(t) if w not in m.codes) for t in texts]
+                        sums[row] += np.bincount(owner[places], weights=x, minlength=len(words))
+                tails = [Counter() for _ in words]
+                first = np.cumsum([0, *map(len, words)]) + 3 * np.arange(1, len(words) + 2)  # where texts begin
+                rare = (s >= k).nonzero()[0]
+                for text, place in zip(owner[rare].tolist(), (rare - first[owner[rare]]).tolist(), strict=True):
+                    tails[text][words[text][place]] += 1
                 yield pd.DataFrame({
-                    "id": some["id"], "n_tokens": np.bincount(owner[at], minlength=len(texts)), "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2],
+                    "id": some["id"], "n_tokens": np.bincount(owner[at], minlength=len(words)), "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2],
                     "tail": [list(t) for t in tails], "tail_n": [list(t.values()) for t in tails],
                 })
 

@@ -523,7 +523,7 @@ class PlainLM:
             right = at >= lo + width
             if high:
                 spread = ((base + node) * 0x94D049BB133111EB) % 2**64
-                keys = [np.array([(h ^ spread) * 0x9E3779B97F4A7C15 % 2**64], np.uint64) for h in self.hashes(history, lm_score.NODE_FEATURES)]
+                keys = [np.array([h ^ spread], np.uint64) for h in self.hashes(history, lm_score.NODE_FEATURES)]
                 found.append(([int(lm_score.cells(x, len(self.m.weights.by_node))[0]) for x in keys], math.log(sum(self.mass[i] for i in high) / sum(self.mass[i] for i in low)), right))
             node, lo = 2 * node + right, lo + width * right
         return found
