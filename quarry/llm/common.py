@@ -1,11 +1,10 @@
-"""What the training-data operators share: checkpoints, row marks, ranks and components.
+"""What the training-data operators share: row marks, ranks and components.
 
 Nothing here brings rows of the input to the driver; loops over rounds bring one row of counts each.
 """
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,24 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry import ship
+from quarry.lineage import checkpoint, shared_folder  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is made."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder all executors share and reads it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def dealt_checkpoint(df: DataFrame) -> DataFrame:
+    """A checkpoint that knows how its rows are dealt and sorted, so that joins and groups by the same keys move nothing.
+    Adaptive plans hide that; this one query runs without."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return checkpoint(df)
+    finally:
+        conf.set(key, before)
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, table
+from .common import checkpoint, dealt_checkpoint, table
 
 SHINGLE = 5
 
@@ -115,7 +115,7 @@ def touched_texts(texts: DataFrame, probe: DataFrame, broadcast_rows: int) -> Da
     starts = F.array_distinct(F.transform(F.flatten(about), lambda s: F.least(s, last)))
     m = F.least("n", "n_doc") - F.col("k") + 1
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(both.select("t1", "t2", "n", "k", m.alias("m"), starts.alias("starts"), shingles("words", F.col("k")).alias("runs")).repartition(n, "t1", "t2"))
+    return dealt_checkpoint(both.select("t1", "t2", "n", "k", m.alias("m"), starts.alias("starts"), shingles("words", F.col("k")).alias("runs")).repartition(n, "t1", "t2", "n", "k"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 22, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -131,16 +131,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     looked = windows.select("*", F.explode(blocks("print", radius)).alias("b"))
     met = looked.join(small_side(index, index.count(), broadcast_rows), (F.col("b.block") == F.col("_block")) & (F.col("b.value") == F.col("_value")) & (F.col("n") == F.col("_n")) & (F.col("k") == F.col("_k")))
     near = met.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).groupBy("t1", "t2", "n", "k").agg(F.collect_set(F.struct("item", "start")).alias("pairs"))
-    pairs = touched.join(near, ["t1", "t2", "n", "k"]).select("t1", "t2", "n", F.explode(F.transform("pairs", lambda p: F.struct(p["item"].alias("item"), p["start"].alias("start"), F.slice("runs", p["start"] + 1, F.col("m")).alias("hs")))).alias("p"))
-    pairs = pairs.select("t1", "t2", "n", F.col("p.item").alias("item"), F.col("p.start").alias("start"), F.col("p.hs").alias("hs")).join(small_side(items.select("item", "item_id", "hashes"), index.count(), broadcast_rows), "item")
-    key = ["t1", "t2", "item", "item_id", "n", "start"]
+    pairs = touched.join(near, ["t1", "t2", "n", "k"]).select("t1", "t2", "n", "k", F.explode(F.transform("pairs", lambda p: F.struct(p["item"].alias("item"), p["start"].alias("start"), F.slice("runs", p["start"] + 1, F.col("m")).alias("hs")))).alias("p"))
+    pairs = pairs.select("t1", "t2", "n", "k", F.col("p.item").alias("item"), F.col("p.start").alias("start"), F.col("p.hs").alias("hs")).join(small_side(items.select("item", "item_id", "hashes"), index.count(), broadcast_rows), "item")
+    key = ["t1", "t2", "n", "k", "item", "item_id", "start"]
     # the window's shingles as they are, the item's behind them
     both = pairs.select(*key, F.size("hs").alias("_size"), F.posexplode(F.concat("hs", "hashes")).alias("_at", "h"))
     mine = F.when(F.col("_at") < F.col("_size"), 1).otherwise(0)
     by_shingle = both.groupBy(*key, "h").agg(F.sum(mine).alias("a"), F.sum(1 - mine).alias("b"))
     exact = by_shingle.groupBy(*key).agg((F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = checkpoint(exact.groupBy("t1", "t2", "item_id", F.col("n").alias("n_words")).agg(F.max(F.struct("similarity", -F.col("start"))).alias("best")))
-    best = best.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "item_id", "n_words", (-F.col("best.col2")).alias("start"), F.round("best.similarity", 6).alias("similarity"))
+    best = checkpoint(exact.groupBy("t1", "t2", "n", "k", "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best")))
+    best = best.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "item_id", F.col("n").alias("n_words"), (-F.col("best.col2")).alias("start"), F.round("best.similarity", 6).alias("similarity"))
     ids = plain.select("doc_id", *text_key(F.col("text")))
     leaking = ids.join(small_side(best, best.count(), broadcast_rows), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
     return leaking.select("doc_id", "item_id", "n_words", "start", "similarity", "t1", "t2").distinct().drop("t1", "t2")

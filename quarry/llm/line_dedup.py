@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, empty, table, union_all
+from .common import ascii_lower, checkpoint, dealt_checkpoint, empty, table, union_all
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -41,7 +41,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 def sorted_run(hashes: DataFrame) -> DataFrame:
     """``hashes`` dealt by (h1, h2) and sorted, on disk; the checkpoint knows that they are."""
     n = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpoint(hashes.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2"))
+    return dealt_checkpoint(hashes.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2"))
 
 
 def add_run(levels: list[list[DataFrame]], run: DataFrame, fanout: int) -> None:
@@ -54,7 +54,7 @@ def add_run(levels: list[list[DataFrame]], run: DataFrame, fanout: int) -> None:
         levels[at].append(run)
         if len(levels[at]) < fanout:
             return
-        run = checkpoint(union_all(levels[at]).sortWithinPartitions("h1", "h2"))
+        run = dealt_checkpoint(union_all(levels[at]).sortWithinPartitions("h1", "h2"))
         levels[at] = []
         at += 1
 
@@ -67,7 +67,7 @@ def batch_repeats(lines: DataFrame, runs: list[DataFrame]) -> tuple[DataFrame, D
         keys = keys.join(run.withColumn(f"_in{k}", F.lit(True)), ["h1", "h2"], "left")
         seen = seen | F.col(f"_in{k}").isNotNull()
     if runs:
-        keys = checkpoint(keys.select("h1", "h2", "first", "last", seen.alias("seen")))
+        keys = dealt_checkpoint(keys.select("h1", "h2", "first", "last", seen.alias("seen")))
     else:
         keys = keys.withColumn("seen", F.lit(False))
     # met by the pair, so that both sides are dealt anew and a hot line can be split
@@ -90,7 +90,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanou
         drops, fresh = batch_repeats(lines.filter(F.col("batch") == k), [r for level in levels for r in level])
         found.append(drops)
         if k < len(bounds):
-            add_run(levels, checkpoint(fresh), fanout)
+            add_run(levels, fresh, fanout)
     return union_all(found) if found else empty(docs.sparkSession, "doc_id long, text_hash long, pos int")
 
 

@@ -716,6 +716,31 @@ def test_lines(spark, batches, fanout):
     assert got == sorted(dedup(docs), key=str)
 
 
+def test_runs_are_joined_and_merged_where_they_lie(spark):
+    """Neither a run that a batch meets nor a merge of runs is dealt or sorted anew."""
+    from quarry.llm.common import checkpoint
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    hashes = lambda lo, hi: spark.range(lo, hi).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(7), "id").alias("h2"), F.col("id").alias("place"))
+    runs = [line_dedup.sorted_run(hashes(0, 500).select("h1", "h2")), line_dedup.sorted_run(hashes(500, 900).select("h1", "h2"))]
+    lines = checkpoint(hashes(300, 1000).withColumns({"doc_id": F.col("place"), "text_hash": F.col("place"), "pos": F.lit(0)}))
+    seen = []
+    real = line_dedup.dealt_checkpoint
+    try:
+        line_dedup.dealt_checkpoint = lambda df: (seen.append(df), real(df))[1]
+        drops, fresh = line_dedup.batch_repeats(lines, runs)
+        levels = []
+        for run in runs:
+            line_dedup.add_run(levels, run, 2)
+    finally:
+        line_dedup.dealt_checkpoint = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys, met, merged = (df._jdf.queryExecution().executedPlan().toString() for df in seen)
+    assert keys.count("Exchange") == 1 and met.count("SortMergeJoin") == 2 and "Exchange" not in met and "Sort " not in met and "Exchange" not in merged
+    assert drops.count() == 600 and fresh.count() == 100 and [len(x) for x in levels] == [0, 1] and levels[1][0].count() == 900
+
+
 def test_lines_odd(spark, odd, none):
     out = line_dedup.dedup_lines(odd, kept="text")
     by = {r.doc_id: r for r in out.collect()}
