@@ -57,13 +57,19 @@ def is_chinese_query(c: Column) -> Column:
     return (F.size(words) <= 3) | (other / F.size(words) >= 0.7)
 
 
-#: Question words that carry no content.
-QUESTION_WORDS = r"\b(what|who|how|which|where|when|why|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|go|for|with|so|the|a|an|by|i'm|it's|he's|she's|they|they're|you're|as|on|in|at|up|out|down|of|to|or|and|if)\b"
+#: Question words and, in English, other words that carry no content; what stands for them.
+QUESTION_WORDS = (
+    (r"是*(怎么办|什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*", ""),
+    (r"(^| )(what|who|how|which|where|why)('re|'s)? ", " "),
+    (r"(^| )('s|'re|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|will|won't|done|go|for|with|so|the|a|an|by|i'm|it's|he's|she's|they|they're|you're|as|by|on|in|at|up|out|down|of|to|or|and|if) ", " "),
+)
 
 
 def strip_question_words(c: Column) -> Column:
-    """Without question words; the text as it was if nothing else is left."""
-    left = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(c), QUESTION_WORDS, " "), " +", " "))
+    """Without question words, in any case; the text as it was if nothing is left."""
+    left = c
+    for pattern, by in QUESTION_WORDS:
+        left = F.regexp_replace(left, "(?i)" + pattern, by)
     return F.when(left == "", c).otherwise(left)
 
 
@@ -78,17 +84,28 @@ def clean_query(c: Column) -> Column:
     return F.btrim(F.regexp_replace(half_width(F.lower(c)), "[ :|\\r\\n\\t,，。？?/`!！&^%()\\[\\]{}<>]+", " "))
 
 
+#: After what, and before what, spaces are redundant.
+SPACE_AFTER, SPACE_BEFORE = r"([^a-z0-9.,\)>]) +([^ ])", r"([^ ]) +([^a-z0-9.,\(<])"
+
+
 def remove_redundant_spaces(c: Column) -> Column:
-    """No space after opening marks nor before closing ones."""
-    return F.regexp_replace(F.regexp_replace(c, r"([(\[<{]) +", "$1"), r" +([)\]>},.:;!?])", "$1")
+    """No spaces after marks that open or part, nor before marks that close or part; other scripts than Latin count as
+    marks."""
+    for pattern in (SPACE_AFTER, SPACE_BEFORE):
+        c = F.regexp_replace(c, "(?i)" + pattern, "$1$2")
+    return c
 
 
 def clean_markdown_block(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(c, r"^\s*```markdown\s*\n?", ""), r"\n?\s*```\s*$", ""), F.lit(" \t\n\r"))
 
 
+#: Fixed value: tags of tables.
+TABLE_TAGS = r"</?(table|td|caption|tr|th)( [^<>]{0,12})?>"
+
+
 def strip_table_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"</?(table|td|caption|tr|th)( [^<>]{0,12})?>", " ")
+    return F.regexp_replace(c, TABLE_TAGS, " ")
 
 
 def clean_str(c: Column) -> Column:

@@ -158,9 +158,9 @@ def list_tail(t: Tables) -> DataFrame:
     return R.list_tail(t.orders, 2, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("p9_list_filter", "SELECT p_partkey, p_name FROM part WHERE ends_with(p_name, '1')")
+@query("p9_list_filter", "SELECT p_partkey, p_name FROM part WHERE ends_with(p_name, 't')")
 def list_filter(t: Tables) -> DataFrame:
-    return R.list_filter(t.part, "p_name", "end with", "1").select("p_partkey", "p_name")
+    return R.list_filter(t.part, "p_name", "end with", "t").select("p_partkey", "p_name")
 
 
 @query("p10_list_sort", "SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_name DESC, n_nationkey DESC, n_regionkey DESC")

@@ -29,33 +29,44 @@ def num_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.num_tokens(F.col("text")).alias("n"), X.truncate_tokens(F.col("text"), 8).alias("first"))
 
 
-@query("t4_script_tests", r"""
-SELECT doc_id, coalesce(len(regexp_extract_all(text, '[`a-zA-Z0-9\s.,'':;/"?<>!\(\)\-]'))::DOUBLE / nullif(length(text), 0) > 0.8, false) AS english, false AS chinese,
-  len(string_split_regex(text, '[ \t]+')) <= 3 OR len(list_filter(string_split_regex(text, '[ \t]+'), lambda w: NOT regexp_full_match(w, '[a-zA-Z]+')))::DOUBLE / len(string_split_regex(text, '[ \t]+')) >= 0.7 AS query FROM documents""")
+#: Documents, some with Chinese characters put for some or all of their blanks.
+_MIXED = "CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '中') WHEN 1 THEN '是中文的文章' || substr(text, 1, 9) ELSE text END"
+
+
+def mixed(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 4
+    return t.documents.select("doc_id", F.when(k == 0, F.replace("text", F.lit(" "), F.lit("中"))).when(k == 1, F.concat(F.lit("是中文的文章"), F.substring("text", 1, 9))).otherwise(F.col("text")).alias("text"))
+
+
+@query("t4_script_tests", rf"""
+WITH x AS (SELECT doc_id, {_MIXED} AS text FROM documents)
+SELECT doc_id, coalesce(len(regexp_extract_all(text, '[`a-zA-Z0-9\s.,'':;/"?<>!\(\)\-]'))::DOUBLE / nullif(length(text), 0) > 0.8, false) AS english,
+  coalesce(len(regexp_extract_all(text, '[一-龥]'))::DOUBLE / nullif(length(text), 0) > 0.2, false) AS chinese,
+  len(string_split_regex(text, '[ \t]+')) <= 3 OR len(list_filter(string_split_regex(text, '[ \t]+'), lambda w: NOT regexp_full_match(w, '[a-zA-Z]+')))::DOUBLE / len(string_split_regex(text, '[ \t]+')) >= 0.7 AS query FROM x""")
 def script_tests(t: Tables) -> DataFrame:
     c = F.col("text")
-    return t.documents.select("doc_id", X.is_english(c).alias("english"), X.is_chinese(c).alias("chinese"), X.is_chinese_query(c).alias("query"))
+    return mixed(t).select("doc_id", X.is_english(c).alias("english"), X.is_chinese(c).alias("chinese"), X.is_chinese_query(c).alias("query"))
 
 
-_Q = "'what is the ' || text || ' and who'"
-_STRIP = "trim(regexp_replace(regexp_replace(lower({q}), '" + X.QUESTION_WORDS.replace("'", "''") + "', ' ', 'g'), ' +', ' ', 'g'))"
+def _stripped(q: str) -> str:
+    for pattern, by in X.QUESTION_WORDS:
+        q = f"regexp_replace({q}, '(?i){pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return q
 
 
-@query("t5_strip_question_words", f"SELECT item_id, CASE WHEN {_STRIP.format(q=_Q)} = '' THEN {_Q} ELSE {_STRIP.format(q=_Q)} END AS q FROM benchmark WHERE regexp_full_match(text, '[ -~\\n]*')")
-def strip_question_words(t: Tables) -> DataFrame:
-    b = t.benchmark.filter(F.col("text").rlike("^[ -~\\n]*$"))
-    return b.select("item_id", X.strip_question_words(F.concat(F.lit("what is the "), "text", F.lit(" and who"))).alias("q"))
+_ASKED = "CASE item_id % 4 WHEN 0 THEN '请问什么是' || text || '吗' WHEN 1 THEN 'What is ' WHEN 2 THEN 'Who''s ' || replace(text, ',', ' the ') || ' and where ' ELSE text END"
 
 
-@query("t5_strip_question_words_all")
-def strip_question_words_all(t: Tables) -> DataFrame:
-    """Texts of every script; lower case and word ends differ between the engines there."""
-    return t.benchmark.select("item_id", X.strip_question_words(F.concat(F.lit("what is the "), "text", F.lit(" and who"))).alias("q"))
+@query("t5_strip_question_words", f"WITH x AS (SELECT item_id, {_ASKED} AS q FROM benchmark) SELECT item_id, CASE WHEN {_stripped('q')} = '' THEN q ELSE {_stripped('q')} END AS q FROM x")
+def strip_question_words(t: Tables) -> DataFrame:
+    k = F.col("item_id") % 4
+    asked = F.when(k == 0, F.concat(F.lit("请问什么是"), "text", F.lit("吗"))).when(k == 1, "What is ").when(k == 2, F.concat(F.lit("Who's "), F.replace("text", F.lit(","), F.lit(" the ")), F.lit(" and where "))).otherwise(F.col("text"))
+    return t.benchmark.select("item_id", X.strip_question_words(asked).alias("q"))
 
 
-@query("t6_space_latin_cjk", "SELECT n_nationkey, n_name || ' 中国 ' || n_nationkey || ' 号 x' AS spaced FROM nation")
+@query("t6_space_latin_cjk", rf"WITH x AS (SELECT doc_id, {_MIXED} AS text FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([A-Za-z0-9]+)([一-龥]+)', '\1 \2', 'g'), '([一-龥]+)([A-Za-z0-9]+)', '\1 \2', 'g')) AS h FROM x")
 def space_latin_cjk(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", X.space_latin_cjk(F.concat("n_name", F.lit("中国"), F.col("n_nationkey").cast("string"), F.lit("号x"))).alias("spaced"))
+    return mixed(t).select("doc_id", F.md5(X.space_latin_cjk(F.col("text"))).alias("h"))
 
 
 @query("t7_clean_query", r"SELECT item_id, trim(regexp_replace(lower(text), '[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+', ' ', 'g')) AS q FROM benchmark")
@@ -63,9 +74,10 @@ def clean_query(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.clean_query(F.col("text")).alias("q"))
 
 
-@query("t8_redundant_spaces", r"""SELECT doc_id, md5(regexp_replace(regexp_replace('( ' || text || ' )', '([(\[<{]) +', '\1', 'g'), ' +([)\]>},.:;!?])', '\1', 'g')) AS h FROM documents""")
+@query("t8_redundant_spaces", rf"""SELECT doc_id, md5(regexp_replace(regexp_replace('( ' || replace(replace(text, ',', ' , '), '.', ' ! « ') || ' )', '(?i){X.SPACE_AFTER}', '\1\2', 'g'), '(?i){X.SPACE_BEFORE}', '\1\2', 'g')) AS h FROM documents""")
 def redundant_spaces(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(X.remove_redundant_spaces(F.concat(F.lit("( "), "text", F.lit(" )")))).alias("h"))
+    spaced = F.concat(F.lit("( "), F.replace(F.replace("text", F.lit(","), F.lit(" , ")), F.lit("."), F.lit(" ! « ")), F.lit(" )"))
+    return t.documents.select("doc_id", F.md5(X.remove_redundant_spaces(spaced)).alias("h"))
 
 
 @query("t9_markdown_block", "SELECT item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM benchmark")

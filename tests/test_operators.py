@@ -1,11 +1,8 @@
 """Hand-made cases and invariants for what SQL doesn't check."""
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.functions import folds
 from quarry.functions import text as X
 from quarry.operators import aggregates as A
 from quarry.operators import chunking as C
@@ -16,50 +13,6 @@ from quarry.operators import sync as I
 from quarry.sources import documents as S
 
 
-@given(st.lists(st.text(alphabet="ab \n.", max_size=30), max_size=20), st.integers(1, 20))
-@settings(max_examples=50, deadline=None)
-def test_merge_keeps_all_text(sections, size):
-    chunks = folds.merge_sections(sections, size, 0)
-    assert "".join(chunks) == "".join("\n" + s for s in sections)
-    assert all(folds.count_tokens(c) > size for c in chunks[1:-1])
-
-
-def test_merge_overlap_copies_the_tail():
-    a, b = "x " * 10, "y " * 3
-    chunks = folds.merge_sections([a, b], 5, 50)
-    assert chunks[2].startswith(chunks[1][len(chunks[1]) // 2 :]) and chunks[2].endswith(b)
-
-
-def test_html():
-    html = "<html><head><title>T</title><style>x</style></head><body><h2>Head</h2><p>one <b>two</b></p><table><tr><td>1</td></tr></table><ul><li>a</li></ul></body></html>"
-    title, blocks = folds.html_blocks(html)
-    assert title == "T"
-    assert blocks == [("text", "## Head"), ("text", "one two"), ("table", "<table><tr><td>1</td></tr></table>"), ("text", "a")]
-    assert folds.html_to_text(html) == ("T", "## Head\none two\n1\n- a")
-    assert folds.html_chunks("<p>" + "w " * 10 + "</p>", 4)[0].split() == ["w"] * 4
-
-
-def test_json():
-    pieces = folds.json_chunks('{"a": {"b": "xxxxxxxxxx", "c": [1, 2]}, "d": "yyyyyyyyyy"}', 40)
-    assert len(pieces) > 1 and all(len(p) <= 60 for p in pieces)
-    assert folds.json_chunks('{"a":1}\n{"b":2}', 100) == ['{"a": 1}', '{"b": 2}']
-    assert folds.json_chunks("no json", 10) == []
-
-
-def test_outline():
-    lines = ["# A", "## B", "body", "# C", "# D", "text"]
-    assert folds.choose_family(lines) == 4
-    assert folds.tree_chunks(lines, 2) == ["# A\n## B\nbody", "# C", "# D\ntext"]
-    assert folds.drop_contents(["Contents", "Intro one", "Part two", "Intro one", "text"]) == ["Intro one", "text"]
-    assert folds.markdown_qa("# Q\nanswer\n## Sub\nmore") == [("Q", "answer"), ("Q\nSub", "more")]
-    assert [b[0] for b in folds.markdown_blocks("# H\n\npara\n\n- a\n- b\n\n```\ncode\n```\n> q")] == ["header", "paragraph", "list", "code", "quote"]
-
-
-def test_media_context():
-    out = folds.media_context([("text", "One. Two two."), ("table", "T"), ("text", "Three. Four.")], 3)
-    assert out[1] == ("table", " Two two.TThree.")
-
-
 @pytest.mark.parametrize(("mode", "n"), [("token_size", 1), ("delimiter", 2), ("one", 1)])
 def test_token_chunk(spark, mode, n):
     df = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
