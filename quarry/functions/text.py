@@ -162,9 +162,13 @@ def parse_tag_features(c: Column) -> Column:
     return F.coalesce(F.transform_values(kept, lambda k, v: v.cast("double")), F.create_map().cast("map<string,double>"))
 
 
+#: Mark-up of chat messages and what stands for it.
+CHAT_MARKUP = ((r"<@([A-Z0-9]+)\|([^>]+)>", "@$2"), (r"<@([A-Z0-9]+)>", "@$1"), (r"<#[A-Z0-9]+\|([^>]+)>", "#$1"), (r"<!(here|channel|everyone)>", "@$1"), (r"<(https?://[^|>]+)\|([^>]+)>", "$2"), (r"<(https?://[^>]+)>", "$1"))
+
+
 def clean_chat_markup(c: Column) -> Column:
     """Mentions of users, channels and groups to plain names, links to their texts."""
-    for pattern, by in ((r"<@([A-Z0-9]+)\|([^>]+)>", "@$2"), (r"<@([A-Z0-9]+)>", "@$1"), (r"<#[A-Z0-9]+\|([^>]+)>", "#$1"), (r"<!(here|channel|everyone)>", "@$1"), (r"<(https?://[^|>]+)\|([^>]+)>", "$2"), (r"<(https?://[^>]+)>", "$1")):
+    for pattern, by in CHAT_MARKUP:
         c = F.regexp_replace(c, pattern, by)
     return c
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import checkpoint
+
 
-def document_frequency(tokens: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """(term, df): how many documents hold each term."""
-    return tokens.select(F.explode(F.array_distinct(tokens_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(tokens: DataFrame, id_col: str, tokens_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df): how many documents hold each term; of ``terms`` (term) alone if given, so that others never move."""
+    held = tokens.select(F.explode(F.array_distinct(tokens_col)).alias("term"))
+    held = held if terms is None else held.join(terms, "term")
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(s: Column, n: Column) -> Column:
@@ -56,25 +62,30 @@ def hybrid_similarity(pairs: DataFrame, query_id: str, tw: float = 0.3, vw: floa
     return pairs.withColumn("sim", F.when(any_vector, tw * F.col("tksim") + vw * F.col("vtsim")).otherwise(F.col("tksim")))
 
 
+def in_field(k: int) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t.alias("term"), F.lit(k).alias("field"))
+
+
 def fulltext_search(docs: DataFrame, queries: DataFrame, fields: dict[str, float], min_match: float = 0.3) -> DataFrame:
     """(query_id, doc_id, score): of the fields (token arrays, boosts) the best; a field scores, over the query terms it
     holds, boost x log-ratio of rarity; documents must hold ``min_match`` of the query's distinct terms in any field.
 
-    Terms of queries only are kept before anything is grouped, so common words that no query has never move.
+    Fields are read once. Terms of queries only are kept before anything is grouped, so common words that no query has
+    never move, and what is kept is written down for counts and scores alike.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
     wanted = asked.select("term").distinct()
     n = docs.count()
-    best = None
-    for field, boost in fields.items():
-        hits = docs.select("doc_id", F.explode(F.array_distinct(field)).alias("term")).join(wanted, "term")
-        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        score = boost * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.lit(n) - 0.5) / F.lit(1.5))
-        part = hits.join(asked, "term").join(df, "term").groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("found"))
-        best = part if best is None else best.union(part)
+    every = F.concat(*[F.transform(F.array_distinct(f), in_field(k)) for k, f in enumerate(fields)])
+    hits = docs.select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.term", "t.field").join(wanted, "term")
+    hits = checkpoint(hits.groupBy("doc_id", "term").agg(*[F.max((F.col("field") == k).cast("int")).alias(f"_f{k}") for k in range(len(fields))]))
+    df = hits.groupBy("term").agg(*[F.sum(f"_f{k}").alias(f"_df{k}") for k in range(len(fields))])
+    rarity = lambda d: F.log(1 + (F.lit(n) - d + 0.5) / (d + 0.5)) / F.log(1 + (F.lit(n) - 0.5) / F.lit(1.5))
+    sums = [F.sum(F.col(f"_f{k}") * boost * rarity(F.col(f"_df{k}"))).alias(f"_s{k}") for k, boost in enumerate(fields.values())]
+    held = hits.join(asked, "term").join(df, "term").groupBy("query_id", "doc_id").agg(*sums, F.count(F.lit(1)).alias("found"))
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-    held = best.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.max("found").alias("found"))
-    return held.join(sizes, "query_id").filter(F.col("found") >= F.ceil(min_match * F.col("size"))).select("query_id", "doc_id", "score")
+    best = F.greatest(*[F.col(f"_s{k}") for k in range(len(fields))]) if len(fields) > 1 else F.col("_s0")
+    return held.join(sizes, "query_id").filter(F.col("found") >= F.ceil(min_match * F.col("size"))).select("query_id", "doc_id", best.alias("score"))
 
 
 def expand_query(weights: DataFrame, synonyms: DataFrame, id_col: str, limit: int = 256) -> DataFrame:

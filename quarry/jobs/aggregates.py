@@ -141,6 +141,11 @@ def meta_filter_and(t: Tables) -> DataFrame:
     return A.meta_filter(meta(t), [("lang", "in", "EN, de"), ("size", ">", "500"), ("source", "not contains", "9")])
 
 
+@query("p17_normalize_conditions", "SELECT doc_id FROM documents WHERE lang <> 'fr' AND n_chars >= 500 AND n_chars <= 5000 AND source <> 'src1'")
+def normalize_conditions(t: Tables) -> DataFrame:
+    return A.meta_filter(meta(t), A.normalize_conditions([("lang", "not is", "FR"), ("size", ">=", "500"), ("size", " <= ", "5000"), ("source", "!=", "src1")]))
+
+
 @query("p16_meta_filter_or", "SELECT doc_id FROM documents WHERE lang = 'fr' OR n_chars <= 300 OR starts_with(source, 'src1')")
 def meta_filter_or(t: Tables) -> DataFrame:
     return A.meta_filter(meta(t), [("lang", "is", "FR"), ("size", "<=", "300"), ("source", "start with", "src1")], "or")

@@ -134,7 +134,10 @@ def plan_work(t: Tables) -> DataFrame:
     return I.plan_work(t.documents.select(F.col("doc_id").alias("task_id"), digest.alias("digest")), done)
 
 
-@query("i8_apply_feedback")
+@query("i8_apply_feedback", """
+WITH RECURSIVE e AS (SELECT user_id AS chunk_id, CASE WHEN event_type = 'click' THEN 1.0 ELSE -1.0 END AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w(chunk_id, i, weight) AS (SELECT DISTINCT chunk_id, 0, 1.0::DOUBLE FROM e UNION ALL SELECT w.chunk_id, e.i, least(100.0, greatest(0.0, w.weight + e.d)) FROM w JOIN e ON e.chunk_id = w.chunk_id AND e.i = w.i + 1)
+SELECT chunk_id, arg_max(weight, i) AS weight FROM w GROUP BY 1""")
 def apply_feedback(t: Tables) -> DataFrame:
     """Clicks raise and other events lower a user's weight, in time order."""
     events = t.events.select("event_id", F.col("ts").alias("at"), (F.col("event_type") == "click").alias("positive"), F.col("user_id").alias("chunk_id"), F.col("value").alias("score"))
@@ -181,7 +184,16 @@ def recent_messages(t: Tables) -> DataFrame:
     return M.recent_messages(messages(t), 2).select("message_id")
 
 
-@query("m3_search_messages")
+@query("m3_search_messages", _MSG + f""",
+dt AS (SELECT DISTINCT message_id, unnest({TOKENS_SQL.replace("text", "content")}) AS term FROM m), qt AS (SELECT DISTINCT conv_id * 1000 AS query_id, unnest({TOKENS_SQL}) AS term FROM conversations WHERE turn = 0),
+f AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), nn AS (SELECT count(*) AS n FROM m),
+h AS (SELECT query_id, message_id AS id, sum(2.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS raw, count(*) AS found FROM qt JOIN dt USING (term) JOIN f USING (term), nn GROUP BY 1, 2),
+tx AS (SELECT query_id, id, round(raw, 6) AS text_score FROM h JOIN (SELECT query_id, count(*) AS size FROM qt GROUP BY 1) USING (query_id) WHERE found >= ceil(0.3 * size)),
+ve AS (SELECT q.vec_id * 1000 AS query_id, e.vec_id * 1000 AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0) AS sim FROM embeddings q, embeddings e),
+vx AS (SELECT query_id, id, round(sim, 6) AS sim FROM ve WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) <= 10),
+live AS (SELECT message_id AS id FROM m WHERE forget_at IS NULL),
+fu AS (SELECT query_id, id, coalesce(text_score, 0) * (1 - 0.7::DOUBLE) + coalesce(sim, 0) * 0.7::DOUBLE AS score FROM (SELECT * FROM tx WHERE id IN (FROM live)) FULL JOIN (SELECT * FROM vx WHERE id IN (FROM live)) USING (query_id, id))
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fu QUALIFY rank <= 5""")
 def search_messages(t: Tables) -> DataFrame:
     """The first user turn of each conversation asks; turns answer by words, embeddings of the same number by cosine."""
     from ..functions.weights import fulltext_search
@@ -189,9 +201,9 @@ def search_messages(t: Tables) -> DataFrame:
 
     m = messages(t)
     asked = t.conversations.filter("turn = 0").select((F.col("conv_id") * 1000).alias("query_id"), X.tokenize(F.col("text")).alias("tokens"))
-    text = fulltext_search(m.select(F.col("message_id").alias("doc_id"), X.tokenize(F.col("content")).alias("tokens")), asked, {"tokens": 2.0}).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("text_score"))
+    text = fulltext_search(m.select(F.col("message_id").alias("doc_id"), X.tokenize(F.col("content")).alias("tokens")), asked, {"tokens": 2.0}).select("query_id", F.col("doc_id").alias("id"), F.round("score", 6).alias("text_score"))
     vec = t.embeddings.select((F.col("vec_id") * 1000).alias("id"), F.col("embedding").alias("vec"))
-    sims = vector_topk(vec, vec.withColumnRenamed("id", "query_id"), 10, 0.1).select("query_id", "id", "sim")
+    sims = vector_topk(vec, vec.withColumnRenamed("id", "query_id"), 10, 0.1).select("query_id", "id", F.round("sim", 6).alias("sim"))
     out = M.search_messages(text, sims, m)
     return out.withColumn("score", F.round("score", 6))
 
@@ -224,7 +236,11 @@ def max_message_id(t: Tables) -> DataFrame:
     return M.max_message_id(messages(t))
 
 
-@query("u1_embed_chunks")
+_COUNTED = "[" + ", ".join(f"(0.1 * (length(source) - length(replace(source, '{c}', ''))) + 0.9 * (length(body) - length(replace(body, '{c}', ''))))" for c in "aeiou") + "]"
+
+
+@query("u1_embed_chunks", f"""WITH x AS (SELECT doc_id, source, CASE WHEN trim(text) = '' THEN 'None' ELSE text END AS body FROM (SELECT doc_id, source, regexp_replace(text, '{X.TABLE_TAGS}', ' ', 'g') AS text FROM documents))
+SELECT doc_id AS id, {" , ".join(f"round({_COUNTED}[{k}]::DOUBLE, 4) AS v{k}" for k in range(1, 6))} FROM x""")
 def embed_chunks(t: Tables) -> DataFrame:
     """With counts of letters as the embedding."""
 
@@ -232,7 +248,7 @@ def embed_chunks(t: Tables) -> DataFrame:
         return [[float(x.count(c)) for c in "aeiou"] for x in texts]
 
     df = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.lit("").alias("questions"))
-    return U.embed_chunks(df, encode).select("id", F.array_join(F.transform("vec", lambda v: F.round(v, 4).cast("string")), ",").alias("vec"))
+    return U.embed_chunks(df, encode).select("id", *[F.round(F.col("vec")[k - 1], 4).alias(f"v{k}") for k in range(1, 6)])
 
 
 @query("u2_with_cache", "SELECT c_mktsegment, CASE WHEN c_mktsegment < 'C' THEN 'kept' ELSE upper(c_mktsegment) END AS value FROM customer GROUP BY 1")

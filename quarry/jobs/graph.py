@@ -45,7 +45,8 @@ def merge_relations(t: Tables) -> DataFrame:
     return G.merge_relations(relations(t)).select("src", "dst", "weight", "description", F.size("source_id").alias("sources"))
 
 
-@query("g4_summarize_descriptions")
+@query("g4_summarize_descriptions", _E + """, m AS (SELECT src, dst, string_agg(DISTINCT description, '<SEP>' ORDER BY description) AS d FROM r GROUP BY 1, 2)
+SELECT src, dst, CASE WHEN length(d) - length(replace(d, '<SEP>', '')) >= 10 THEN d[1:20] ELSE d END AS description FROM m""")
 def summarize_descriptions(t: Tables) -> DataFrame:
     out = G.summarize_descriptions(G.merge_relations(relations(t)), lambda x: x[:20], most_parts=2)
     return out.select("src", "dst", "description")
@@ -98,6 +99,22 @@ def subgraphs(t: Tables) -> DataFrame:
     return G.subgraphs(nodes).select("doc", "name")
 
 
+def _pagerank_sql(rounds: int) -> str:
+    """So many rounds, each a table of its own."""
+    step = """, c{k} AS MATERIALIZED (SELECT s.dst AS name, sum(s.share * p.r) AS got FROM sh s JOIN p{j} p ON p.name = s.src GROUP BY 1),
+p{k} AS MATERIALIZED (SELECT p.name, p.dangling, 0.15 / nn.n + 0.85 * (coalesce(c.got, 0) + lost / nn.n) AS r FROM p{j} p LEFT JOIN c{k} c ON c.name = p.name, nn, (SELECT coalesce(sum(r) FILTER (WHERE dangling), 0) AS lost FROM p{j}))"""
+    start = _EDGES + """, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), o AS (SELECT src, sum(weight) AS w FROM b GROUP BY 1),
+sh AS MATERIALIZED (SELECT b.src, b.dst, b.weight / o.w AS share FROM b JOIN o ON b.src = o.src), nn AS (SELECT count(*) AS n FROM part),
+p0 AS (SELECT 'P' || p_partkey AS name, o.w IS NULL AS dangling, 1.0::DOUBLE / nn.n AS r FROM part LEFT JOIN o ON o.src = 'P' || p_partkey, nn)"""
+    return start + "".join(step.format(k=k, j=k - 1) for k in range(1, rounds + 1)) + f" SELECT name, round(r, 8) AS pagerank FROM p{rounds}"
+
+
+@query("g9_pagerank_rounds", _pagerank_sql(8))
+def pagerank_rounds(t: Tables) -> DataFrame:
+    """Eight rounds, whether or not that is enough."""
+    return G.pagerank(part_nodes(t), part_edges(t), tolerance=0.0, rounds=8).withColumn("pagerank", F.round("pagerank", 8))
+
+
 @query("g9_pagerank")
 def pagerank(t: Tables) -> DataFrame:
     return G.pagerank(part_nodes(t), part_edges(t)).withColumn("pagerank", F.round("pagerank", 8))
@@ -128,20 +145,21 @@ def apply_merges(t: Tables) -> DataFrame:
     return G.apply_merges(part_nodes(t), part_edges(t), pairs)[1]
 
 
-@query("g13_largest_component")
+def _least_sql(edges: str, rounds: int = 14) -> str:
+    """``lab`` (name, component): so many rounds of taking the least name next to one; more than any path here is long."""
+    step = ", m{k} AS MATERIALIZED (SELECT b.src AS name, least(any_value(p.c), min(q.c)) AS c FROM bb b JOIN m{j} p ON p.name = b.src JOIN m{j} q ON q.name = b.dst GROUP BY 1)"
+    start = edges + ", bb AS MATERIALIZED (SELECT src, dst FROM ee UNION SELECT dst, src FROM ee), m0 AS (SELECT DISTINCT src AS name, src AS c FROM bb)"
+    return start + "".join(step.format(k=k, j=k - 1) for k in range(1, rounds + 1)) + f", lab AS (SELECT name, c AS component FROM m{rounds})"
+
+
+@query("g13_largest_component", _least_sql(_EDGES + ", ee AS (SELECT src, dst FROM e)") + """
+SELECT upper(name) AS name FROM lab WHERE component = (SELECT component FROM lab GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""")
 def largest_component(t: Tables) -> DataFrame:
     return G.largest_component(part_nodes(t), part_edges(t))
 
 
-@query("g13_components", """WITH RECURSIVE l AS (SELECT o_custkey % 40 AS a, o_custkey % 40 + 100 + (o_orderkey % 3) * 40 AS b FROM orders WHERE o_custkey % 7 = 0), u AS (SELECT DISTINCT a, b FROM l UNION SELECT DISTINCT b, a FROM l),
-r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS name, least(a, min(b)) AS component FROM r GROUP BY a""")
+@query("g13_components", _least_sql("WITH ee AS (SELECT DISTINCT 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)") + " SELECT name, component FROM lab")
 def components(t: Tables) -> DataFrame:
-    o = t.orders.filter("o_custkey % 7 = 0").select((F.col("o_custkey") % 40).alias("src"), (F.col("o_custkey") % 40 + 100 + (F.col("o_orderkey") % 3) * 40).alias("dst"))
-    return G.components(o)
-
-
-@query("g13_components_all")
-def components_all(t: Tables) -> DataFrame:
     """Customers and the parts they ordered, over all orders."""
     bought = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     return G.components(bought.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst")))

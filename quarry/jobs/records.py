@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import shared_folder
 from ..operators import records as R
 from ..registry import Tables, query
 from ..sources import documents as S
@@ -98,6 +101,18 @@ def upsert(t: Tables) -> DataFrame:
     return S.upsert(old, new, "doc_id", "version")
 
 
+@query("s12_write_table", "SELECT 'csv' AS format, doc_id, lang, n_chars FROM documents UNION ALL SELECT 'json', doc_id, lang, n_chars FROM documents UNION ALL SELECT 'parquet', doc_id, lang, n_chars FROM documents")
+def write_table(t: Tables) -> DataFrame:
+    """The table written in each format and read again."""
+    rows, at = t.documents.select("doc_id", "lang", "n_chars"), f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    found = []
+    for kind in ("csv", "json", "parquet"):
+        S.write_table(rows, f"{at}/{kind}", kind)
+        reader = t.spark.read.schema(rows.schema).options(**({"header": "true"} if kind == "csv" else {}))
+        found.append(reader.format(kind).load(f"{at}/{kind}").select(F.lit(kind).alias("format"), *rows.columns))
+    return found[0].union(found[1]).union(found[2])
+
+
 @query("p1_select_keys", "SELECT n_nationkey, n_name FROM nation")
 def select_keys(t: Tables) -> DataFrame:
     return R.select_keys(t.nation, ["n_nationkey", "n_name", "absent"])

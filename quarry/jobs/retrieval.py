@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import weights as W
 from ..operators import retrieval as R
+from ..lineage import checkpoint
 from ..registry import Tables, query
 from .text import COUNT_SQL, TOKENS_SQL
 
@@ -33,8 +34,9 @@ qw AS (SELECT query_id, pos, term, w / sum(w) OVER (PARTITION BY query_id) AS we
 
 
 def query_weights(t: Tables) -> DataFrame:
-    df = W.document_frequency(doc_tokens(t), "doc_id", "tokens")
-    return W.term_weights(query_tokens(t), df, F.lit(t.documents.count()), "query_id", "tokens")
+    terms = query_tokens(t).select(F.explode("tokens").alias("term")).distinct()
+    df = W.document_frequency(doc_tokens(t), "doc_id", "tokens", terms)
+    return W.term_weights(query_tokens(t), checkpoint(df), F.lit(t.documents.count()), "query_id", "tokens")
 
 
 @query("w1_term_weights", _BASE + _WEIGHTS + " SELECT query_id, pos, term, round(weight, 6) AS weight FROM qw")
@@ -91,12 +93,15 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-@query("w5_hybrid_similarity", _BASE + _WEIGHTS + _KEYS + """,
-p AS (SELECT query_id, doc_id, tksim, CASE WHEN query_id % 2 = 0 THEN tksim / 2 ELSE 0 END AS vtsim FROM tk)
-SELECT query_id, doc_id, round(CASE WHEN sum(vtsim) OVER (PARTITION BY query_id) <> 0 THEN 0.3 * tksim + 0.7 * vtsim ELSE tksim END, 6) AS sim FROM p""")
+@query("w5_hybrid_similarity", _BASE + _WEIGHTS + _KEYS + _VECTORS + """,
+p AS (SELECT tk.query_id, tk.doc_id, tksim, CASE WHEN tk.query_id % 2 = 0 THEN coalesce(vtsim, 0) ELSE 0 END AS vtsim FROM tk LEFT JOIN vt ON tk.query_id = vt.query_id AND tk.doc_id = vt.doc_id)
+SELECT query_id, doc_id, round(CASE WHEN bool_or(vtsim <> 0) OVER (PARTITION BY query_id) THEN 0.3 * tksim + 0.7 * vtsim ELSE tksim END, 6) AS sim FROM p""")
 def hybrid_similarity(t: Tables) -> DataFrame:
-    pairs = token_pairs(t).withColumn("vtsim", F.when(F.col("query_id") % 2 == 0, F.col("tksim") / 2).otherwise(0.0))
-    return W.hybrid_similarity(pairs, "query_id").select("query_id", "doc_id", F.round("sim", 6).alias("sim"))
+    """Texts and vectors of the same id; every other query has no vector."""
+    asked = vector_queries(t).filter("query_id % 2 = 0").withColumnRenamed("vec", "_q")
+    pairs = token_pairs(t).join(asked, "query_id", "left").join(vectors(t).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    scored = pairs.select("query_id", "doc_id", "tksim", F.coalesce(W.cosine("_q", "vec"), F.lit(0.0)).alias("vtsim"))
+    return W.hybrid_similarity(scored, "query_id").select("query_id", "doc_id", F.round("sim", 6).alias("sim"))
 
 
 _FULLTEXT = """,
@@ -120,6 +125,36 @@ def fulltext_top(t: Tables) -> DataFrame:
     return top.join(t.documents.select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "source", "score", "rank")
 
 
+#: Fields with boosts: the first line stands for a title, the longest word for what is important.
+FIELDS = {"title": 10.0, "important": 30.0, "tokens": 2.0}
+_LINE1 = "text[1:strpos(text || chr(10), chr(10)) - 1]"
+
+
+def fielded(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", X.tokenize(F.substring_index("text", "\n", 1)).alias("title"), X.tokenize(F.col("text")).alias("tokens"))
+    return d.withColumn("important", F.slice(F.reverse(F.array_sort(F.transform("tokens", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))["w"], 1, 1))
+
+
+_MANY = f""",
+fd AS (SELECT doc_id, {TOKENS_SQL.replace("coalesce(text, '')", "coalesce(" + _LINE1 + ", '')")} AS title, tokens FROM documents JOIN d USING (doc_id)),
+ft AS (SELECT DISTINCT doc_id, 0 AS field, unnest(title) AS term FROM fd UNION ALL SELECT DISTINCT doc_id, 1, w FROM (SELECT doc_id, w FROM (SELECT doc_id, unnest(tokens) AS w FROM fd) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w DESC) = 1) UNION ALL SELECT doc_id, 2, term FROM dt),
+ff AS (SELECT field, term, count(*) AS df FROM ft GROUP BY 1, 2),
+fs AS (SELECT query_id, doc_id, field, sum([10.0, 30.0, 2.0][field + 1] * ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score FROM qt JOIN ft USING (term) JOIN ff USING (field, term), nn GROUP BY 1, 2, 3),
+fx AS (SELECT query_id, doc_id, count(DISTINCT term) AS found FROM qt JOIN ft USING (term) GROUP BY 1, 2)
+SELECT query_id, doc_id, round(max(score), 6) AS score FROM fs JOIN fx USING (query_id, doc_id) JOIN (SELECT query_id, count(*) AS size FROM qt GROUP BY 1) USING (query_id) WHERE found >= ceil(0.3 * size) GROUP BY 1, 2"""
+
+
+@query("w6_fulltext_fields", _BASE + _MANY)
+def fulltext_fields(t: Tables) -> DataFrame:
+    return W.fulltext_search(fielded(t), query_tokens(t), FIELDS, 0.3).withColumn("score", F.round("score", 6))
+
+
+@query("r4_normalize_weights", _BASE + _MANY.replace("[10.0, 30.0, 2.0][field + 1]", "[10.0 / 42, 30.0 / 42, 2.0 / 42][field + 1]"))
+def normalize_weights(t: Tables) -> DataFrame:
+    """The fields' boosts as shares of one."""
+    return W.fulltext_search(fielded(t), query_tokens(t), R.normalize_weights(FIELDS), 0.3).withColumn("score", F.round("score", 6))
+
+
 @query("w7_expand_query", _BASE + _WEIGHTS + """,
 p AS (SELECT query_id, pos, term, weight FROM qw UNION ALL SELECT query_id, pos, term || ' ' || t2, 2 * greatest(weight, w2) FROM (SELECT *, lead(term) OVER x AS t2, lead(weight) OVER x AS w2 FROM qw WINDOW x AS (PARTITION BY query_id ORDER BY pos)) WHERE t2 IS NOT NULL
   UNION ALL SELECT query_id, pos, 'syn' || term, weight / 4 FROM qw WHERE length(term) = 3)
@@ -182,31 +217,52 @@ def scatter_gather(t: Tables) -> DataFrame:
     return R.scatter_gather([a, b], 50)
 
 
-@query("r6_rerank", _BASE + """,
-c AS (SELECT doc_id, list_concat(list_concat(list_distinct(tokens), [lang, lang]), [source, source, source, source, source]) AS k FROM d JOIN documents USING (doc_id))
-SELECT query_id, doc_id, count(*) AS shared, sum(tf) AS weight FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(k) AS term FROM c) GROUP BY 1, 2) JOIN qt USING (term) GROUP BY 1, 2""")
+_RERANK = _BASE + _WEIGHTS + _KEYS + _FULLTEXT + """,
+cand AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM m) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
+bag AS (SELECT doc_id, key FROM dk UNION SELECT doc_id, lang FROM documents UNION SELECT doc_id, source FROM documents),
+hold AS (SELECT query_id, doc_id, coalesce(sum(w) FILTER (WHERE b.key IS NOT NULL), 0) AS held, sum(w) AS total FROM cand JOIN qk USING (query_id) LEFT JOIN bag b USING (doc_id, key) GROUP BY 1, 2),
+vec AS (SELECT c.query_id, c.doc_id, coalesce(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0) AS vtsim
+  FROM cand c JOIN embeddings q ON q.vec_id = c.query_id JOIN embeddings e ON e.vec_id = c.doc_id),
+mixed AS (SELECT query_id, doc_id, (held + 1e-9) / (total + 1e-9) AS tksim, vtsim, bool_or(vtsim <> 0) OVER (PARTITION BY query_id) AS any_v FROM hold JOIN vec USING (query_id, doc_id))
+SELECT query_id, doc_id AS id, round(CASE WHEN any_v THEN 0.3 * tksim + 0.7 * vtsim ELSE tksim END
+  + 10 * (2.0 * CASE lang WHEN 'en' THEN 1 ELSE 0 END + 1.0 * (doc_id % 3)) / (sqrt(5.0) * sqrt(1.0 + (doc_id % 3) * (doc_id % 3))) + doc_id % 5, 6) AS sim, round(tksim, 6) AS tksim, round(vtsim, 6) AS vtsim
+FROM mixed JOIN documents USING (doc_id)"""
+
+
+@query("r6_rerank", _RERANK)
 def rerank(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", X.tokenize(F.col("text")).alias("content"), F.array("lang").alias("title"), F.array("source").alias("important"), F.array().cast("array<string>").alias("question"))
-    bag = d.select("doc_id", F.explode(R.rerank_tokens("content", "title", "important", "question")).alias("term"))
-    asked = query_tokens(t).select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    tf = bag.join(asked.select("term").distinct(), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.sum("tf").alias("weight"))
+    """The ten best of each query by text, by tokens, vectors and rank features together."""
+    first = R.top_n(fulltext(t).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    d = t.documents.select("doc_id", X.tokenize(F.col("text")).alias("content"), F.array("lang").alias("title"), F.array("source").alias("important"), F.array().cast("array<string>").alias("question"),
+        F.create_map(F.lit("lang:"), F.lit(0.0), F.col("lang"), F.lit(1.0), F.lit("third"), (F.col("doc_id") % 3).cast("double")).alias("tags"), (F.col("doc_id") % 5).cast("double").alias("pr"))
+    cands = first.join(d, "doc_id").join(vectors(t).withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
+    keys = W.weighted_keys(query_weights(t), "query_id").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("keys"))
+    asked = keys.join(vector_queries(t), "query_id").withColumn("tags", F.create_map(F.lit("en"), F.lit(2.0), F.lit("third"), F.lit(1.0)))
+    out = R.rerank(cands, asked)
+    return out.select("query_id", "id", *[F.round(c, 6).alias(c) for c in ("sim", "tksim", "vtsim")])
 
 
 @query("r7_rank_features", """
-SELECT p_partkey, round(10 * (2.0 * p_size + 1.0 * (p_partkey % 3)) / (sqrt(5.0) * sqrt(p_size * p_size + (p_partkey % 3) * (p_partkey % 3))) + p_partkey % 7, 6) AS score FROM part WHERE p_size > 0""")
+SELECT p_partkey, round(coalesce(10 * (2.0 * p_size + 1.0 * (p_partkey % 3)) / (sqrt(5.0) * nullif(sqrt(p_size * p_size + (p_partkey % 3) * (p_partkey % 3)), 0)), 0) + p_partkey % 7, 6) AS score FROM part""")
 def rank_features(t: Tables) -> DataFrame:
     tags = F.create_map(F.lit("a"), F.col("p_size").cast("double"), F.lit("b"), (F.col("p_partkey") % 3).cast("double"))
     asked = F.create_map(F.lit("a"), F.lit(2.0), F.lit("b"), F.lit(1.0), F.lit("pagerank_fea"), F.lit(9.0))
-    df = t.part.filter("p_size > 0").select("p_partkey", tags.alias("tags"), asked.alias("asked"), (F.col("p_partkey") % 7).cast("double").alias("pr"))
+    df = t.part.select("p_partkey", tags.alias("tags"), asked.alias("asked"), (F.col("p_partkey") % 7).cast("double").alias("pr"))
     return df.select("p_partkey", F.round(R.rank_feature_scores(df, "tags", "asked", "pr"), 6).alias("score"))
 
 
+@query("r8_retrieve_above", _BASE + _WEIGHTS + _KEYS + """
+SELECT query_id, doc_id AS id, round(round(tksim, 9), 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 9) DESC, doc_id) AS rank FROM tk WHERE round(tksim, 9) >= 0.1 QUALIFY rank <= 5""")
+def retrieve_above(t: Tables) -> DataFrame:
+    scored = token_pairs(t).select("query_id", F.col("doc_id").alias("id"), F.round("tksim", 9).alias("sim"))
+    return R.retrieve(scored, 1, 5, threshold=0.1).withColumn("sim", F.round("sim", 6))
+
+
 @query("r8_retrieve", _BASE + _WEIGHTS + _KEYS + """
-SELECT query_id, doc_id AS id, round(tksim, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 9) DESC, doc_id) AS rank FROM tk WHERE round(tksim, 9) >= 0.2 QUALIFY rank BETWEEN 4 AND 6""")
+SELECT query_id, doc_id AS id, round(round(tksim, 9), 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 9) DESC, doc_id) AS rank FROM tk QUALIFY rank BETWEEN 4 AND 6""")
 def retrieve(t: Tables) -> DataFrame:
     scored = token_pairs(t).select("query_id", F.col("doc_id").alias("id"), F.round("tksim", 9).alias("sim"))
-    return R.retrieve(scored, 2, 3).withColumn("sim", F.round("sim", 6))
+    return R.retrieve(scored, 2, 3, vw=0.0).withColumn("sim", F.round("sim", 6))
 
 
 @query("r9_doc_aggs", _BASE + _FULLTEXT + " SELECT query_id, source AS docnm_kwd, count(*) AS count, min(doc_id) AS doc_id FROM m JOIN documents USING (doc_id) GROUP BY 1, 2")
@@ -268,7 +324,14 @@ def list_chunks(t: Tables) -> DataFrame:
     return R.list_chunks(c, 10, 30).select("id", "chunk_order_int")
 
 
-@query("r15_insert_citations")
+@query("r15_insert_citations", """
+WITH e AS (SELECT vec_id // 10 AS answer_id, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.answer_id, a.vec_id AS s, b.vec_id AS c, 0.1 * (a.label IS NOT DISTINCT FROM b.label)::INT + 0.9 * coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) AS sim FROM e a JOIN e b USING (answer_id)),
+w AS (SELECT *, max(sim) OVER (PARTITION BY answer_id) AS best, max(sim) OVER (PARTITION BY answer_id, s) AS top FROM p),
+g AS (SELECT * FROM w WHERE sim >= CASE WHEN best >= 0.63 THEN 0.63 WHEN best >= 0.504 THEN 0.504 WHEN best >= 0.4032 THEN 0.4032 WHEN best >= 0.32256 THEN 0.32256 END AND sim > 0.99 * top),
+o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY answer_id, c ORDER BY s) = 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY answer_id, s ORDER BY sim DESC, c) AS n FROM o QUALIFY n <= 4)
+SELECT answer_id, s AS sentence_no, string_agg(c, ',' ORDER BY n) AS chunk_ids FROM f GROUP BY 1, 2""")
 def insert_citations(t: Tables) -> DataFrame:
     """Neighbouring vectors as sentences and chunks of one answer (ten vectors each)."""
     e = t.embeddings.select((F.col("vec_id") / 10).cast("long").alias("answer_id"), F.col("vec_id"), F.array(F.col("label").cast("string")).alias("tokens"), F.col("embedding").alias("vec"))
@@ -301,7 +364,28 @@ def format_chunks(t: Tables) -> DataFrame:
     return R.format_chunks(hits, meta)
 
 
-@query("r19_repair_citations", "SELECT conv_id, turn, text || ' [ID:' || turn || '] [ID:7] [ID:8]' AS text, turn || ',7,8' AS cited FROM conversations WHERE turn < 7")
+#: A turn's hits are the numbers 0 to 8; it cites its own number, 7 twice and, in vain, 99.
+_CITING = "text || ' (ID: ' || turn || ') 【ID:7】 ref8 [ID: 99] REF 7'"
+
+
+def citing(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    text = F.concat("text", F.lit(" (ID: "), F.col("turn").cast("string"), F.lit(") 【ID:7】 ref8 [ID: 99] REF 7"))
+    answers = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), text.alias("text")).distinct()
+    hits = answers.select("answer_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("index")).withColumn("doc_id", F.col("index") * 10)
+    return answers, hits, hits.select("answer_id", "doc_id")
+
+
+@query("r19_repair_citations", f"""
+WITH x AS (SELECT DISTINCT conv_id * 1000 + turn AS answer_id, turn, text FROM conversations)
+SELECT answer_id, text || CASE WHEN turn <= 8 THEN ' [ID:' || turn || ']' ELSE ' (ID: ' || turn || ')' END || ' [ID:7] [ID:8] [ID: 99] [ID:7]' AS text,
+  array_to_string(list_distinct_kept, ',') AS cited FROM (SELECT *, CASE WHEN turn > 8 OR turn = 7 THEN ['7', '8'] WHEN turn = 8 THEN ['8', '7'] ELSE [turn::VARCHAR, '7', '8'] END AS list_distinct_kept FROM x)""")
 def repair_citations(t: Tables) -> DataFrame:
-    c = F.concat("text", F.lit(" (ID: "), F.col("turn").cast("string"), F.lit(") 【ID:7】 ref8"))
-    return t.conversations.filter("turn < 7").select("conv_id", "turn", R.repair_citations(c).alias("text"), F.array_join(R.cited_indexes(c).cast("array<string>"), ",").alias("cited"))
+    out, _ = R.repair_citations(*citing(t))
+    return out.select("answer_id", "text", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"))
+
+
+@query("r19_cited_facets", """
+WITH x AS (SELECT DISTINCT conv_id * 1000 + turn AS answer_id, turn, text FROM conversations)
+SELECT DISTINCT answer_id, d * 10 AS doc_id FROM (SELECT answer_id, unnest(CASE WHEN turn <= 8 THEN [turn, 7, 8] ELSE [7, 8] END) AS d FROM x)""")
+def cited_facets(t: Tables) -> DataFrame:
+    return R.repair_citations(*citing(t))[1]

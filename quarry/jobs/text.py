@@ -105,19 +105,18 @@ def garbled(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.is_garbled(text).alias("garbled"))
 
 
-@query("t13_highlight", r"""
-WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!;\n])', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.?!;\n])', '\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents),
-m AS (SELECT doc_id, i, trim(regexp_replace(s, '(?i)\b(tion|ing|der)\b', '<em>\1</em>', 'g'), ' ' || chr(10)) AS s FROM s WHERE regexp_matches(s, '(?i)\b(tion|ing|der)\b')),
-j AS (SELECT doc_id, string_agg(s, '...' ORDER BY i) AS h FROM m GROUP BY 1)
-SELECT d.doc_id, md5(coalesce(j.h, '')) AS h FROM documents d LEFT JOIN j USING (doc_id) WHERE d.lang IN ('en', 'de') AND regexp_full_match(d.text, '[ -~\n]*')""")
-def highlight(t: Tables) -> DataFrame:
-    d = t.documents.filter(F.col("lang").isin("en", "de") & F.col("text").rlike("^[ -~\\n]*$"))
-    return d.select("doc_id", F.md5(F.coalesce(X.highlight(F.col("text"), ["tion", "ing", "der"]), F.lit(""))).alias("h"))
+#: Each mark that isn't of a word stands between two chr(2), so words have one on either side.
+_EDGED = "chr(2) || regexp_replace({s}, '([^\\p{{L}}\\p{{N}}_])', chr(2) || '\\1' || chr(2), 'g') || chr(2)"
 
 
-@query("t13_highlight_all")
-def highlight_all(t: Tables) -> DataFrame:
-    """All documents, by words or literally."""
+@query("t13_highlight", rf"""
+WITH s AS (SELECT doc_id, trim(unnest(p), ' ' || chr(13) || chr(10)) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.?!;\r\n])', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
+e AS (SELECT doc_id, i, s, coalesce(len(regexp_extract_all(s, '[`a-zA-Z0-9\s.,'':;/"?<>!\(\)\-]'))::DOUBLE / nullif(length(s), 0) > 0.8, false) AS english, {_EDGED.format(s="s")} AS w FROM s),
+m AS (SELECT doc_id, i, CASE WHEN english THEN replace(regexp_replace(w, chr(2) || '((?i)tion|ing|der)' || chr(2), chr(2) || '<em>\1</em>' || chr(2), 'g'), chr(2), '') ELSE regexp_replace(s, '((?i)tion|ing|der)', '<em>\1</em>', 'g') END AS x FROM e),
+j AS (SELECT doc_id, string_agg(x, '...' ORDER BY i) AS h FROM m WHERE contains(x, '<em>') GROUP BY 1)
+SELECT d.doc_id, md5(coalesce(j.h, regexp_replace(d.text, '[\r\n]', ' ', 'g'))) AS h FROM documents d LEFT JOIN j USING (doc_id)""")
+def highlight(t: Tables) -> DataFrame:
+    """All documents, sentence by sentence: by words or literally."""
     return t.documents.select("doc_id", F.md5(X.highlight_any(F.col("text"), ["tion", "ing", "der"])).alias("h"))
 
 
@@ -139,15 +138,14 @@ def tag_features(t: Tables) -> DataFrame:
     return m.select("doc_id", F.expr("m[lang]").alias("chars"), F.size("m").alias("n"))
 
 
-@query("t17_chat_markup", "SELECT conv_id, turn, '@bob in #general see docs ' || text AS text FROM conversations WHERE NOT contains(text, '<')")
-def chat_markup(t: Tables) -> DataFrame:
-    c = t.conversations.filter("NOT contains(text, '<')")
-    return c.select("conv_id", "turn", X.clean_chat_markup(F.concat(F.lit("<@U1|bob> in <#C1|general> see <https://x.org/a|docs> "), "text")).alias("text"))
+_MARKUP = "'<@U1|bob> in <#C1|general> see <https://x.org/a|docs> <!here> <@U2> ' || text"
+for _p, _by in X.CHAT_MARKUP:
+    _MARKUP = f"regexp_replace({_MARKUP}, '{_p}', '{_by.replace('$', chr(92))}', 'g')"
 
 
-@query("t17_chat_markup_all")
-def chat_markup_all(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", X.clean_chat_markup(F.concat(F.lit("<@U1|bob> in <#C1|general> see <https://x.org/a|docs> "), "text")).alias("text"))
+@query("t17_chat_markup", f"SELECT conv_id, turn, {_MARKUP} AS text FROM conversations")
+def chat_markup(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", X.clean_chat_markup(F.concat(F.lit("<@U1|bob> in <#C1|general> see <https://x.org/a|docs> <!here> <@U2> "), "text")).alias("text"))
 
 
 @query("t18_times", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, epoch_us(ts) // 1000 AS ms FROM events")

@@ -26,7 +26,9 @@ def trim(c: Column) -> Column:
 
 
 def numbered(df: DataFrame, pieces: Column, *keep: str) -> DataFrame:
-    return df.select("doc_id", F.posexplode(pieces).alias("chunk_order", "text"), *keep)
+    """A row for each of ``pieces``. The outer form, as the filter on array sizes that Spark infers from the plain one would
+    work out the pieces once more, and their runs for each of them."""
+    return df.select("doc_id", F.posexplode_outer(pieces).alias("chunk_order", "text"), *keep).filter("chunk_order IS NOT NULL")
 
 
 def merge_by_tokens(df: DataFrame, size: int = 128, overlap: int = 0, pre_split: bool = True) -> DataFrame:

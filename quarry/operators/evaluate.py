@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.running import running_total
+
 
 def retrieval_metrics(run: DataFrame, truth: DataFrame) -> DataFrame:
     """(case_id, precision, recall, f1, hit, mrr) of run (case_id, id, rank) against truth (case_id, id)."""
@@ -55,9 +57,8 @@ def recommend(summary: DataFrame) -> DataFrame:
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Count, mean, minimum and nearest-rank percentiles of each group.
 
-    Values are counted first, so that a group's windows hold its distinct values only."""
+    Values are counted first, then placed by running totals over ranges, so that no task holds a whole group."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(by)
-    placed = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    placed = running_total(counts, [by], [F.col(value)], F.col("_n"), "_to", "_all")
     at = lambda p: F.min(F.when(F.col("_to") >= F.ceil(F.lit(p) * F.col("_all")), F.col(value))).alias(f"p{int(p * 100)}")
     return placed.groupBy(by).agg(F.sum("_n").alias("count"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg"), F.min(value).alias("min"), at(0.5), at(0.9), at(0.95))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.running import running_total
+from ..functions.weights import cosine, hybrid_similarity
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(out) <= n)
@@ -85,6 +88,23 @@ def rerank_tokens(content: str, title: str, important: str, question: str) -> Co
     return F.concat(F.array_distinct(content), again(title, 2), again(important, 5), again(question, 6))
 
 
+def rerank(cands: DataFrame, asked: DataFrame, tw: float = 0.3, vw: float = 0.7) -> DataFrame:
+    """(query_id, id, sim, tksim, vtsim): candidates (query_id, id, content, title, important, question, vec, tags, pr)
+    scored by tokens and vectors, plus their rank features. ``asked`` (query_id, keys, vec, tags): a query's weighted keys
+    (a map), vector and tag weights. The token side is the share of the query's key weight that the bag of the candidate
+    holds: its distinct content, and title, important words and questions as often as they count."""
+    q = asked.select("query_id", F.col("keys").alias("_keys"), F.col("vec").alias("_vec"), F.col("tags").alias("_tags"))
+    bag = F.array_distinct(rerank_tokens("content", "title", "important", "question"))
+    both = cands.join(q, "query_id").withColumn("_bag", bag)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("content") - 1), lambda i: F.concat_ws(" ", F.element_at("content", i), F.element_at("content", i + 1)))
+    both = both.withColumn("_bag", F.when(F.size("content") > 1, F.array_union("_bag", pairs)).otherwise(F.col("_bag")))
+    total = F.aggregate(F.map_values("_keys"), F.lit(0.0), lambda s, x: s + x)
+    held = F.aggregate(F.array_intersect(F.map_keys("_keys"), "_bag"), F.lit(0.0), lambda s, k: s + F.element_at("_keys", k))
+    scored = both.withColumn("tksim", (held + 1e-9) / (total + 1e-9)).withColumn("vtsim", cosine("_vec", "vec"))
+    mixed = hybrid_similarity(scored, "query_id", tw, vw)
+    return mixed.select("query_id", "id", (F.col("sim") + rank_feature_scores(mixed, "tags", "_tags", "pr")).alias("sim"), "tksim", "vtsim")
+
+
 def rank_feature_scores(cands: DataFrame, tags: str, query_tags: str, pagerank: str) -> Column:
     """Ten cosines of tag maps, plus pagerank; without common ground pagerank alone."""
     q = F.map_filter(query_tags, lambda k, v: k != "pagerank_fea")
@@ -154,8 +174,7 @@ def list_chunks(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
 
 def fit_budget(df: DataFrame, by: str, rank: str, tokens: str, max_tokens: int) -> DataFrame:
     """Rows in order of rank while their running tokens stay within 97 % of the budget."""
-    running = F.sum(tokens).over(Window.partitionBy(by).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", running).filter(F.col("running") <= 0.97 * max_tokens)
+    return running_total(df, [by], [F.col(rank)], F.col(tokens), "running").filter(F.col("running") <= 0.97 * max_tokens)
 
 
 def fit_conversation(turns: DataFrame, max_tokens: int) -> DataFrame:
@@ -181,22 +200,35 @@ def format_chunks(hits: DataFrame, meta: DataFrame) -> DataFrame:
 CITATIONS = (r"\(\s*ID:?\s*(\d+)\s*\)", r"\[\s*ID:?\s*(\d+)\s*\]", r"【\s*ID:?\s*(\d+)\s*】", r"(?i)\bref\s*(\d+)\b")
 
 
-def repair_citations(c: Column) -> Column:
+def marked_citations(c: Column) -> Column:
+    """All ways to write a citation in one."""
     for p in CITATIONS:
         c = F.regexp_replace(c, p, "[ID:$1]")
     return c
 
 
-def cited_indexes(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(repair_citations(c), F.lit(r"\[ID:(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+def repair_citations(answers: DataFrame, hits: DataFrame, facets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, facets): in ``answers`` (answer_id, text) each citation that names a hit is written as one mark and any
+    other stays as it was; ``cited`` lists the hits named, in order. Of ``facets`` (answer_id, doc_id, ...) those of cited
+    documents stay. ``hits``: answer_id, index, doc_id."""
+    known = hits.groupBy("answer_id").agg(F.collect_set(F.col("index").cast("string")).alias("_known"))
+    # pieces that are citations, and what lies between them
+    whole = "|".join(p.replace("(?i)", "").replace(r"\bref", r"\b[rR][eE][fF]") for p in CITATIONS)
+    cut = F.split(F.regexp_replace("text", f"({whole})", "\u0001$1\u0001"), "\u0001", -1)
+    joined = answers.join(known, "answer_id", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>"))).withColumn("_pieces", cut)
+    number = lambda x: F.regexp_extract(x, r"(\d+)", 1)
+    cites = lambda x: x.rlike(f"^(?:{whole})$") & F.array_contains("_known", F.regexp_replace(number(x), "^0+(?=.)", ""))
+    mended = F.array_join(F.transform("_pieces", lambda x: F.when(cites(x), F.concat(F.lit("[ID:"), number(x), F.lit("]"))).otherwise(x)), "")
+    cited = F.array_distinct(F.transform(F.filter("_pieces", cites), lambda x: number(x).cast("int")))
+    out = joined.select("answer_id", mended.alias("text"), cited.alias("cited"))
+    named = out.select("answer_id", F.explode("cited").alias("index")).join(hits, ["answer_id", "index"]).select("answer_id", "doc_id").distinct()
+    return out, facets.join(named, ["answer_id", "doc_id"], "left_semi")
 
 
 def insert_citations(sentences: DataFrame, chunks: DataFrame, tw: float = 0.1, vw: float = 0.9) -> DataFrame:
     """(answer_id, sentence_no, chunk_ids): for sentences (answer_id, sentence_no, tokens, vec) the chunks (answer_id,
     chunk_id, tokens, vec) of the same answer above a threshold that falls from 0.63 by a fifth, while over 0.3, until
     some sentence of the answer has one; at most 4 within 99 % of the sentence's best; each chunk cited once."""
-    from ..functions.weights import cosine
-
     pairs = sentences.alias("s").join(chunks.select("answer_id", "chunk_id", F.col("tokens").alias("c_tokens"), F.col("vec").alias("c_vec")), "answer_id")
     shared = F.size(F.array_intersect("tokens", "c_tokens")) / F.greatest(F.size(F.array_distinct("tokens")), F.lit(1))
     pairs = pairs.withColumn("sim", tw * shared + vw * cosine("vec", "c_vec")).select("answer_id", "sentence_no", "chunk_id", "sim")
