@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ HELD = 400_000
 #: Floats in a block of summed gradients, and parts that one group adds up.
 BLOCK, FAN_IN = 1 << 16, 16
 #: Tokens a batch holds.
-SLICE = 1 << 15
+SLICE = 1 << 14
 BUCKET, TYPES_A_WEIGHT, READ = 1024, 8, 16
 #: Classes, with that of rare tokens; how far back the features of classes and of nodes look.
 CLASSES = 16
@@ -133,7 +134,7 @@ class Leaves:
             lengths.append(free.sum(axis=1))
             steps.append((2 * (base + at) + right_turn)[free])
             base += 1 << depth
-        self.lengths, self.steps, self.bias = np.concatenate(lengths), np.concatenate(steps), np.concatenate(bias)
+        self.lengths, self.steps, self.bias = np.concatenate(lengths), np.concatenate(steps), np.concatenate(bias).astype(np.float32)
         self.starts = self.lengths.cumsum() - self.lengths
 
     def of(self, codes: np.ndarray) -> np.ndarray:
@@ -154,7 +155,7 @@ def mix(x: np.ndarray, k: int) -> np.ndarray:
 
 def keys(stream: np.ndarray, at: np.ndarray, features: tuple) -> list[np.ndarray]:
     """For each feature a 64-bit hash of the words that many places before each of ``at``."""
-    back = {k: stream[at - k].astype(np.uint64) for k in {k for f in features for k in f}}
+    back = {k: stream[at - k].view(np.uint64) for k in {k for f in features for k in f}}
     found = []
     for f in features:
         x = back[f[0]]
@@ -166,7 +167,7 @@ def keys(stream: np.ndarray, at: np.ndarray, features: tuple) -> list[np.ndarray
 
 def cells(key: np.ndarray, size: int) -> np.ndarray:
     """Cells of a table of ``size`` (a power of two) weights."""
-    return (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - size.bit_length())).astype(np.int64) if size > 1 else np.zeros(len(key), np.int64)
+    return (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - size.bit_length())).view(np.int64) if size > 1 else np.zeros(len(key), np.int64)
 
 
 @dataclass
@@ -194,24 +195,24 @@ class Step:
         self.rows = [cells(k, w.by_class.shape[1]) for k in keys(stream, at, CLASS_FEATURES)]
         self.who, node, self.right = leaves.paths(self.leaf)
         self.bias = leaves.bias[node]
-        spread = node.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        spread = node.view(np.uint64) * np.uint64(0x94D049BB133111EB)
         self.cells = [cells(k[self.who] ^ spread, len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
         self.leaves, self.w = leaves, w
 
     def log_classes(self) -> np.ndarray:
-        """[token, class] natural logarithms."""
+        """[token, class] natural logarithms; what goes into the softmax is held within -80 and 60."""
         z = self.w.by_class[0].take(self.rows[0], axis=0)
         for k in range(1, len(self.rows)):
             z += self.w.by_class[k].take(self.rows[k], axis=0)
         z += np.log(self.leaves.prior).astype(np.float32)
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        np.clip(z, -80, 60, out=z)
+        z -= np.log(np.exp(z) @ np.ones((z.shape[1], 1), np.float32))
         return z
 
-    def slopes(self) -> np.ndarray:
-        """The log odds of going right at each step."""
-        z = self.bias.astype(np.float32)
-        for c in self.cells:
+    def slopes(self, prior: bool = False) -> np.ndarray:
+        """The log odds of going right at each step, by the prior alone or with the weights."""
+        z = self.bias.copy()
+        for c in () if prior else self.cells:
             z += self.w.by_node.take(c)
         return z
 
@@ -237,7 +238,7 @@ class Sums:
         shape = self.by_class.shape
         if self.node_curve is not None:
             for k, rows in enumerate(s.rows):
-                self.by_class[k] += np.bincount(rows * shape[2] + s.kind, minlength=shape[1] * shape[2]).reshape(shape[1:])
+                np.add.at(self.by_class[k].reshape(-1), rows * shape[2] + s.kind, 1.0)
         else:
             g = -np.exp(s.log_classes())
             g[np.arange(len(s.kind)), s.kind] += 1
@@ -245,8 +246,9 @@ class Sums:
             for k, rows in enumerate(s.rows):
                 for c in range(shape[2]):
                     self.by_class[k, :, c] += np.bincount(rows, weights=g[c], minlength=shape[1])
-        p = 1 / (1 + np.exp(-s.slopes()))
-        g, h = s.right.astype(np.float32) - p, p * (1 - p)
+        p = 1 / (1 + np.exp(-s.slopes(self.node_curve is not None)))
+        g = s.right.astype(np.float32) - p
+        h = p * (1 - p) if self.node_curve is not None else None
         for c in s.cells:
             np.add.at(self.by_node, c, g)
             if self.node_curve is not None:
@@ -295,11 +297,9 @@ def merge_parts(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
 
 def streams(words: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """(codes with three start marks before each text, the places of tokens)."""
-    out: list[int] = []
-    for w in words:
-        out += [START] * 3
-        out += map(codes.__getitem__, w)
-    a = np.array(out, dtype=np.int64)
+    a = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+    ends = np.cumsum([len(w) for w in words])
+    a = np.insert(a, np.repeat(ends - [len(w) for w in words], 3), START)
     return a, (a != START).nonzero()[0]
 
 
