@@ -31,9 +31,18 @@ def dealt_checkpoint(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def ready(spark: SparkSession) -> None:
+    """Python workers get this package and, unless the session says otherwise, batches of 2,000 rows: rows hold whole texts,
+    and Spark's own 10,000 of them take much memory."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInPandas, with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """mapInPandas, with the workers made ready."""
+    ready(df.sparkSession)
     return df.mapInPandas(function, schema)
 
 

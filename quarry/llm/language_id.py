@@ -22,16 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import ship
-
-from .common import crc_mod, hide_null, map_batches, show_null, table
+from .common import crc_mod, hide_null, map_batches, ready, show_null, table
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
 #: Code points are looked at in runs of this length, so that a long text needs little memory at once.
 RUN = 1 << 20
 #: Probabilities (n-grams times languages) that texts fitted together take up, if more than one.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 _letters: list[np.ndarray] = []
 
@@ -207,7 +205,7 @@ def set_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
         found = mixtures(texts, langs, shared.value, penalty, rounds)
         return pd.Series([lang if share >= least and lang != UNDETERMINED else None for lang, share, _ in found], dtype=object)
 
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     named = docs.withColumn("_language", predicted(F.col(text_col))).filter(F.col("_language").isNotNull())
     return named.withColumn(lang_col, F.col("_language")).drop("_language").select(*docs.columns)
 

@@ -5,7 +5,9 @@ histogram of piece lengths (at most ``max_tokens`` rows) is all that reaches the
 first, each into the open pattern with the fewest tokens, and patterns carry counts. A piece's rank among those of its
 length then picks its sequence and offset.
 
-Defined results: a null or empty text is the end token alone; repeated rows are packed each; no rows give no rows.
+Defined results: a null or empty text is the end token alone; repeated rows are packed each; texts of any length are
+encoded whole and cut at sequence length; pieces of one length may take each other's places, which of them comes first is
+open; no rows give no rows; columns besides id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -4,8 +4,10 @@ The counts of rows that go from each partition to each shard are drawn first: ro
 sample without replacement of what the shards still take. Each partition then deals its rows, in random order, by its
 row of the matrix; each shard puts what came in random order again. Every assignment of rows to slots is as likely.
 
-Defined results: a null text has size ``extra`` and the checksum of no bytes; repeated rows go their own ways; an empty
-table gives no rows. Only id, size and checksum are moved, never the texts.
+Defined results: a null text has size 16 and the checksum of no bytes, a text of any length counts whole; repeated rows
+go their own ways, and which of them comes first is open, as they are alike; an empty table gives no rows. All columns
+of ``rows`` are carried along, but any named shard or slot give way to ours; the query passes id, size and checksum only,
+never the texts.
 """
 
 from __future__ import annotations

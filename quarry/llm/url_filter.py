@@ -4,7 +4,9 @@ A term counts where no letter or digit touches it on either side (a-z, 0-9, othe
 rejects a url, and so do ``soft_limit`` distinct soft ones. The automaton and the rules are small settings made on the
 driver; each worker builds its automaton once.
 
-Defined results: a null url has empty host and path, fits no rule and is allowed; repeated rows are judged each.
+Defined results: a null url has empty host and path, fits no rule and is allowed; repeated rows are judged each; a url of
+any length is judged whole; of rules of one length the first given wins; an empty table gives no rows; columns besides
+id and url are not read.
 """
 
 from __future__ import annotations

@@ -414,6 +414,14 @@ def test_url(spark, url, host, path, rule, verdict):
     assert (r.page_id, r.host, r.path, r.rule, r.verdict) == (None, host, path, rule, verdict)
 
 
+def test_urls_odd(spark):
+    rows = [(1, "http://a.org/" + "x/" * 50_000 + "porn", "r"), (1, "http://a.org/casino/casino", "r"), (1, "http://a.org/casino/casino", "r"), (2, "http://B.net/es/?porn", "r"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string").withColumns({"host": F.lit(1), "verdict": F.lit("x"), "n_soft": F.lit(9)})
+    got = sorted(((r.page_id or 0, len(r.path), r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()), key=str)
+    assert got == sorted([(1, 100_005, None, "block"), (1, 14, None, "allow"), (1, 14, None, "allow"), (2, 4, "net/es/", "block"), (0, 0, None, "allow")], key=str)
+    assert url_filter.judge_urls(pages.filter("page_id > 9")).count() == 0
+
+
 # sharding
 
 
@@ -448,6 +456,8 @@ def test_sharding(spark, odd, none):
     small = odd.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"))
     assert sorted((r.shard, r.slot) for r in sharding.shuffle_into_shards(small, ["doc_id", "c"], 3, block=2).collect()) == [(s, i) for s in range(3) for i in range(4 if s < 2 else 3)]
     assert sharding.shuffle_into_shards(none.select("doc_id"), ["doc_id"], 3).count() == 0
+    whole = sharding.shuffle_into_shards(odd, ["doc_id", "text"], 3, block=2)  # a column named shard gives way
+    assert sorted(whole.columns) == sorted([*odd.columns, "slot"]) and {r.shard for r in whole.collect()} == {0, 1, 2}
 
 
 # language model
@@ -633,6 +643,33 @@ def test_lm_odd(spark, odd, none):
     assert {r.base_score for r in lm_score.score(odd, model, nothing).collect()} == {0.0} and lm_score.score(none, model, nothing).count() == 0
 
 
+LONG = " ".join(f"word{k % 5000} Über{k % 7}." for k in range(150_000))
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    return spark.createDataFrame([(1, LONG), (2, LONG), (3, "short text")], "doc_id long, text string")
+
+
+def test_very_long_texts(spark, long):
+    from tokenizers import Tokenizer
+
+    words = LONG.split()
+    prints = {r.doc_id: r.f0 for r in simhash_dedup.fingerprints(long).collect()}
+    assert prints[1] == prints[2] != prints[3] and prints[1] % 2**64 == fingerprint(LONG)
+    learnt = long.select(F.col("text").cast("binary").alias("text"))
+    counts = lm_score.count_tokens(learnt, "text")
+    scored = {r.doc_id: r for r in lm_score.score(long, lm_score.train(learnt, counts), counts).collect()}
+    assert scored[1].n_tokens == len(words) + 1 == scored[1].n_known and math.isclose(scored[1].score, scored[2].score, rel_tol=1e-6)
+    features = {r.doc_id: r.x for r in quality.feature_table(long).collect()}
+    assert math.isclose(features[1][1], math.log1p(len(words))) and features[1] == features[2]
+    ids = [*Tokenizer.from_file(packing.tokenizer_file()).encode(LONG, add_special_tokens=False).ids, 1]
+    parts = sorted((r.start, r.length, r.ids_crc32) for r in packing.pack(long, packing.tokenizer_file()).filter("doc_id = 1").collect())
+    assert [(s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for s, n, _ in parts] == parts and sum(n for _, n, _ in parts) == len(ids)
+    leaks_of = decontaminate.find_leaks(long, spark.createDataFrame([(9, " ".join(words[500:540]))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in leaks_of.collect()) == [1, 2]
+
+
 # packing
 
 
@@ -647,14 +684,15 @@ def test_pack_places_all():
     assert used == histogram and packing.shortest_pack_first({}, 2048) == []
 
 
-def test_packing(spark):
+def hold_packing(texts, rows):
+    """Every id in one piece, sequences without gaps, little padding."""
     from tokenizers import Tokenizer
 
-    tokenizer, texts = Tokenizer.from_file(packing.tokenizer_file()), docs_of(spark)
-    rows = packing.op8_packing(spark, DATA).collect()
-    by = {}
+    tokenizer, by, fill = Tokenizer.from_file(packing.tokenizer_file()), {}, {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(by) == set(texts)
     for k, t in texts.items():
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
         at = 0
@@ -662,9 +700,6 @@ def test_packing(spark):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(ids)
-    fill = {}
-    for r in rows:
-        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for parts in fill.values():
         end = 0
         for offset, length in sorted(parts):
@@ -674,6 +709,10 @@ def test_packing(spark):
     assert sum(r.length for r in rows) >= 0.9 * 2048 * len(fill)
 
 
+def test_packing(spark):
+    hold_packing(docs_of(spark), packing.op8_packing(spark, DATA).collect())
+
+
 def test_word_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
@@ -774,6 +813,47 @@ def test_additive_model_learns_an_interaction():
     assert model.pairs[0][:2] == [0, 1] and ((model.score(x) > 0.5) == y).mean() > 0.85
 
 
+def test_features_equal_plain_ones():
+    """Each feature by its own words, over bytes and blank-separated words."""
+    kinds = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\x0b\x0c", ".,;:", "!?'\"()-", "#$%&*+/<=>@[\\]^_`{|}~")
+    for text in ("Hello, World! 12 a-b\nHello, World!\n\n(x) #tag é", "a", "AAA bbb bbb\tbbb", "one  two. three? ..."):
+        b, words, lines = text.encode(), text.encode().split(), text.encode().split(b"\n")
+        share = [sum(chr(x) in k for x in b) / len(b) for k in kinds] + [sum(x >= 128 for x in b) / len(b)]
+        counts, ends = Counter(b), [chr(w[-1]) in kinds[4] + kinds[5] for w in words]
+        want = [
+            math.log(1 + len(b)), math.log(1 + len(words)), sum(map(len, words)) / len(words), math.log(1 + max(map(len, words))), len(set(words)) / len(words), *share,
+            math.log(1 + len(lines)), math.log(1 + len(b) / len(lines)), len(set(lines)) / len(lines), sum(chr(w[0]) in kinds[0] for w in words) / len(words), sum(ends) / len(words), sum(len(w) <= 2 for w in words) / len(words),
+            max(c for x, c in counts.items() if x not in b" \t\n\r\x0b\x0c") / len(b), -sum(c / len(b) * math.log2(c / len(b)) for c in counts.values()), sum(x == y for x, y in zip(words, words[1:], strict=False)) / len(words),
+        ]
+        assert np.allclose(quality.text_features(b), want) and len(want) == len(quality.FEATURES)
+
+
+def test_additive_scores_equal_plain_sums():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=500) > 0).astype(float)
+    model = quality.AdditiveModel(x, y, rounds=10, pair_rounds=10, pairs=2)
+    for row, got in zip(x, model.score(x), strict=True):
+        f = model.base + sum(t[sum(row[j] >= c for c in model.cuts[j])] for j, t in enumerate(model.tables))
+        f += sum(t[sum(row[j] >= c for c in model.coarse[j]), sum(row[k] >= c for c in model.coarse[k])] for j, k, t in model.pairs)
+        assert math.isclose(got, 1 / (1 + math.exp(-f)), rel_tol=1e-9)
+
+
+def test_labels_below_a_level(spark):
+    """No more than max_rows labels teach, those of smallest hash, and they are the same with fewer partitions."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    real = quality.AdditiveModel
+    try:
+        quality.AdditiveModel = lambda x, y: (seen.append((len(x), y.sum())), real(x, y, rounds=1, pair_rounds=1))[1]
+        for parts in (1, 6):
+            quality.train(quality.feature_table(docs.repartition(parts)), marks, "quality", max_rows=500)
+    finally:
+        quality.AdditiveModel = real
+    assert seen[0] == seen[1] and seen[0][0] == 500
+
+
 def test_quality_odd(spark, odd, none):
     table = quality.feature_table(odd)
     marks = spark.createDataFrame([(4, 1), (5, 0), (5, None), (None, 1)], "doc_id long, quality int")

@@ -4,21 +4,20 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import simhash_dedup
+from quarry.llm import language_id
 
-from .test_llm import dedup, docs_of, find_all, leaks
+from .test_llm import dedup, docs_of, find_all, hold_packing, leaks
 
 DATA = "/root/testdata/sf0.001"
 
 
-def prints_of(text):
-    h = np.unique(simhash_dedup.shingle_hashes((text or "").encode(), 2, 42))
-    out = []
-    for _ in range(2):
-        out.append(simhash_dedup.majority(h) & (2**64 - 1))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(43)
-        h ^= h >> np.uint64(29)
-    return out[0] | out[1] << 64
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def alike(a, b):
+    return a == b if not a or not b else 5 * len(a & b) >= 4 * len(a | b)
 
 
 def test_stages(spark):
@@ -26,26 +25,55 @@ def test_stages(spark):
     texts = docs_of(spark)
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     kept = corpus_pipeline.identify_languages(spark, docs, DATA)
-    assert {r.doc_id for r in kept.collect()} == {k for k, t in texts.items() if any(c.isalpha() for c in t)}
+    langs, p = language_id.train(docs.select("text", "lang"))
+    found = dict(zip(texts, language_id.mixtures(list(texts.values()), langs, p, 4.0, 12), strict=True))
+    assert {r.doc_id: r.lang for r in kept.collect()} == {k: lang for k, (lang, share, _) in found.items() if lang != "und" and share >= 0.5}
     lines = corpus_pipeline.drop_repeated_lines(spark, kept, DATA)
     want = {k: t for k, _, _, t in dedup(sorted((r.doc_id, r.text) for r in kept.collect()))}
     now = {r.doc_id: r.text for r in lines.collect()}
     assert now == want and lines.columns == docs.columns
     near = corpus_pipeline.drop_near_duplicates(spark, lines, DATA)
-    prints = {k: prints_of(t) for k, t in now.items()}
-
-    def meet(a, b):  # within the radius, and within two bits in one of four segments
-        x = prints[a] ^ prints[b]
-        return x.bit_count() <= 16 and any((x >> 32 * s & 0xFFFFFFFF).bit_count() <= 2 for s in range(4))
-
     ids = sorted(now)
-    root = find_all(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if meet(a, b)])
+    sets = {k: five_words(now[k]) for k in ids}
+    root = find_all(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if alike(sets[a], sets[b])])
     left = {r.doc_id: r.text for r in near.collect()}
     assert set(left) == {k for k in ids if root[k] == k}
     clean = corpus_pipeline.drop_benchmark_leaks(spark, near, DATA)
-    assert {r.doc_id for r in clean.collect()} == set(left) - {d for d, _ in leaks(left, items)}
-    packed = corpus_pipeline.pack_sequences(spark, clean, DATA)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.collect()}
+    rest = {r.doc_id: r.text for r in clean.collect()}
+    assert set(rest) == set(left) - {d for d, _ in leaks(left, items)}
+    hold_packing(rest, corpus_pipeline.pack_sequences(spark, clean, DATA).collect())
+
+
+def test_near_duplicates_by_edits(spark):
+    """Words changed here and there, passages put in, taken out, replaced and added at the end, at about the threshold."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(int(rng.integers(30, 300)))]
+        texts.append(base)
+        for kind in range(5):
+            v, n = list(base), int(len(base) * rng.choice([0.02, 0.05, 0.1, 0.12, 0.2]))
+            at = int(rng.integers(0, len(v) - n))
+            if kind == 0:
+                for i in rng.choice(len(v), max(1, n // 5), replace=False):
+                    v[i] = word()
+            elif kind == 1:
+                v[at:at] = [word() for _ in range(n)]
+            elif kind == 2:
+                del v[at : at + n]
+            elif kind == 3:
+                v[at : at + n] = [word() for _ in range(n)]
+            else:
+                v += [word() for _ in range(2 * n)]
+            texts.append(v)
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [five_words(r[1]) for r in rows]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if alike(sets[a], sets[b])]
+    assert 40 < len(links)
+    root = find_all(range(len(rows)), links)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == {k for k, r in root.items() if k == r}
 
 
 def test_run(spark):
