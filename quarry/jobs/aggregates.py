@@ -85,13 +85,26 @@ def tag_portions(t: Tables) -> DataFrame:
     return A.tag_portions(tag_samples(t)).withColumn("share", F.round("share", 9))
 
 
-@query("a11_tag_chunks", _TAGS + """,
-m AS (SELECT l_orderkey AS chunk_id, tag, count(*) AS c FROM s GROUP BY 1, 2), h AS (SELECT l_orderkey AS chunk_id, count(*) AS cnt FROM lineitem GROUP BY 1),
-r AS (SELECT chunk_id, tag, greatest(round_even(0.1 * (c + 1) / (cnt + 1000) / greatest(1e-6, share), 0)::BIGINT, 1) AS score FROM m JOIN h USING (chunk_id) JOIN p USING (tag))
-SELECT chunk_id, tag, score FROM r QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, tag) <= 3""")
+_TAG_SCORES = _TAGS + """,
+m AS (SELECT l_orderkey AS k, tag, count(*) AS c FROM s GROUP BY 1, 2), h AS (SELECT k, sum(c) AS cnt FROM m GROUP BY 1),
+r AS (SELECT k, tag, round_even(0.1 * (c + 1) / (cnt + 1000) / greatest(1e-6, {share}), 0)::BIGINT AS score FROM m JOIN h USING (k) JOIN p USING (tag)),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, tag) <= 3)"""
+#: Shares of tags in a far larger set of samples, so that scores are above 0.
+RARE = 5000
+
+
+def rare_portions(t: Tables) -> DataFrame:
+    return A.tag_portions(tag_samples(t)).withColumn("share", F.col("share") / RARE)
+
+
+@query("a11_tag_chunks", _TAG_SCORES.format(share=f"share / {RARE}") + " SELECT k AS chunk_id, tag, score FROM b WHERE score > 0")
 def tag_chunks(t: Tables) -> DataFrame:
-    s = tag_samples(t)
-    return A.tag_chunks(s.withColumnRenamed("l_orderkey", "chunk_id"), A.tag_portions(s), at_least=1)
+    return A.tag_chunks(tag_samples(t).withColumnRenamed("l_orderkey", "chunk_id"), rare_portions(t))
+
+
+@query("a11_tag_queries", _TAG_SCORES.format(share="share") + " SELECT k AS query_id, tag, greatest(score, 1) AS score FROM b")
+def tag_queries(t: Tables) -> DataFrame:
+    return A.tag_queries(tag_samples(t).withColumnRenamed("l_orderkey", "query_id"), A.tag_portions(tag_samples(t)))
 
 
 @query("a12_merge_metadata", """

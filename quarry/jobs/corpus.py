@@ -263,6 +263,13 @@ def add_keywords(t: Tables) -> DataFrame:
     return U.add_keywords(df, "k").select("o_orderkey", F.array_join("important_tks", "|").alias("tks"))
 
 
+@query("u3_add_questions", f"""WITH x AS (SELECT item_id, list_filter(list_transform(string_split('What is ' || text || '?' || chr(10) || ' ' || chr(10) || ' Why so? ', chr(10)), lambda w: trim(w)), lambda w: w <> '') AS q FROM benchmark)
+SELECT item_id, len(q) AS n, array_to_string({TOKENS_SQL.replace("text", "array_to_string(q, chr(10))")}, '|') AS tks FROM x""")
+def add_questions(t: Tables) -> DataFrame:
+    df = t.benchmark.withColumn("q", F.concat(F.lit("What is "), "text", F.lit("?\n \n Why so? ")))
+    return U.add_questions(df, "q").select("item_id", F.size("question_kwd").alias("n"), F.array_join("question_tks", "|").alias("tks"))
+
+
 @query("u4_extract_field", "SELECT doc_id, upper(substr(text, 1, 1)) AS initial FROM documents")
 def extract_field(t: Tables) -> DataFrame:
     return U.extract_field(t.documents, "initial", lambda s: s[:1].upper()).select("doc_id", "initial")

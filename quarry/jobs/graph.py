@@ -93,6 +93,40 @@ def rebuild(t: Tables) -> DataFrame:
     return G.rebuild(nodes, part_edges(t), ["R"])[0].select("name", F.size("source_id").alias("n"))
 
 
+@query("g7_merge_edges", _EDGES + " SELECT src, dst, 2 * weight AS weight, 'e<SEP>f' AS description FROM e")
+def merge_edges(t: Tables) -> DataFrame:
+    n, e = part_nodes(t), part_edges(t).withColumn("description", F.lit("e"))
+    return G.merge_graphs([n, n], [e, e.withColumn("description", F.lit("f"))])[1].select("src", "dst", "weight", "description")
+
+
+@query("g8_rebuild_edges", """WITH x AS (SELECT DISTINCT 'P' || l_partkey AS name, l_returnflag AS f FROM lineitem), k AS (SELECT DISTINCT name FROM x WHERE f <> 'R'),
+l AS (SELECT l_orderkey, 'P' || l_partkey AS p, l_returnflag AS f FROM lineitem), e AS (SELECT DISTINCT a.p AS src, b.p AS dst, a.f FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.p < b.p)
+SELECT src, dst, count(*) AS n FROM e WHERE f <> 'R' AND src IN (FROM k) AND dst IN (FROM k) GROUP BY 1, 2""")
+def rebuild_edges(t: Tables) -> DataFrame:
+    """Edges have the flag of the first of both lines as their source."""
+    a = t.lineitem.select("l_orderkey", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("src"), "l_returnflag")
+    edges = a.join(a.select("l_orderkey", F.col("src").alias("dst")), "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.collect_set("l_returnflag").alias("source_id"))
+    nodes = a.groupBy(F.col("src").alias("name")).agg(F.collect_set("l_returnflag").alias("source_id"))
+    return G.rebuild(nodes, edges, ["R"])[1].select("src", "dst", F.size("source_id").alias("n"))
+
+
+@query("g6_tidy_nodes", "SELECT 'P' || p_partkey AS name FROM part WHERE p_partkey % 10 <> 0")
+def tidy_nodes(t: Tables) -> DataFrame:
+    nodes = part_nodes(t).withColumn("description", F.when(F.expr("CAST(substring(name, 2) AS INT) % 10 <> 0"), F.col("description")))
+    edges = part_edges(t).withColumn("description", F.lit("d")).withColumn("keywords", F.lit(None).cast("array<string>"))
+    return G.tidy_graph(nodes, edges)[0].select("name")
+
+
+@query("g12_merged_nodes", """WITH m AS (SELECT 'P' || p_partkey AS name, (p_partkey - p_partkey % 4) AS g, p_brand, p_name FROM part)
+SELECT min(name) AS name, arg_min(p_brand, name) AS type, count(*) AS n FROM m GROUP BY g""")
+def merged_nodes(t: Tables) -> DataFrame:
+    key = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    pairs = t.part.filter(key % 4 != 0).select(name(key).alias("a"), name(key - key % 4).alias("b"))
+    nodes = part_nodes(t).withColumn("description", F.col("name"))
+    return G.apply_merges(nodes, part_edges(t), pairs)[0].select("name", "type", F.size(F.split("description", "<SEP>")).alias("n"))
+
+
 @query("g8_subgraphs", "SELECT DISTINCT l_returnflag AS doc, 'P' || l_partkey AS name FROM lineitem")
 def subgraphs(t: Tables) -> DataFrame:
     nodes = t.lineitem.groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name")).agg(F.collect_set("l_returnflag").alias("source_id"))
@@ -120,12 +154,22 @@ def pagerank(t: Tables) -> DataFrame:
     return G.pagerank(part_nodes(t), part_edges(t)).withColumn("pagerank", F.round("pagerank", 8))
 
 
-@query("g10_entity_candidates", """
-WITH c AS (SELECT c_custkey, translate(right(c_name, 6), '0123456789', 'abcdefghij') AS name, c_mktsegment AS type, length(right(c_name, 6)) AS n, c_custkey % 5 = 0 AS is_new FROM customer)
-SELECT a.name AS a, b.name AS b FROM c a JOIN c b ON a.type = b.type AND a.name < b.name AND (a.is_new OR b.is_new) WHERE levenshtein(a.name, b.name) <= 3""")
+#: Names of customers: letters, letters with accents, and names with digits, by turns.
+_NAMED = "CASE c_custkey % 3 WHEN 0 THEN translate(right(c_name, 6), '0123456789', 'abcdefghij') WHEN 1 THEN translate(right(c_name, 5), '0123456789', 'éèàùçñöüßø') || right(c_mktsegment, 2) ELSE right(c_name, 4) || 'x' END"
+
+
+@query("g10_entity_candidates", f"""
+WITH c AS (SELECT DISTINCT {_NAMED} AS name, c_mktsegment AS type FROM customer), w AS (SELECT DISTINCT {_NAMED} AS name FROM customer WHERE c_custkey % 5 = 0),
+d AS (SELECT name, type, name IN (FROM w) AS is_new, length(name) AS n, regexp_full_match(name, '[\\x00-\\x7F]*') AS e, list_distinct(string_split(name, '')) AS s, list_distinct(list_transform(range(1, greatest(length(name), 2)), lambda i: name[i:i+1])) AS g FROM c),
+p AS (SELECT a.name AS a, b.name AS b, a.e AND b.e AS english, levenshtein(a.name, b.name) <= least(a.n, b.n) // 2 AS near, len(list_intersect(a.s, b.s)) AS shared, greatest(len(a.s), len(b.s)) AS most,
+  len(list_filter(list_concat(list_filter(a.g, lambda x: NOT list_contains(b.g, x)), list_filter(b.g, lambda x: NOT list_contains(a.g, x))), lambda x: regexp_matches(x, '[0-9]'))) > 0 AS digit
+  FROM d a JOIN d b ON a.type = b.type AND a.name < b.name AND (a.is_new OR b.is_new))
+SELECT DISTINCT a, b FROM p WHERE NOT digit AND CASE WHEN english THEN near WHEN most < 4 THEN shared > 1 ELSE shared / most >= 0.8 END""")
 def entity_candidates(t: Tables) -> DataFrame:
-    name = F.translate(F.right("c_name", F.lit(6)), "0123456789", "abcdefghij")
-    return G.entity_candidates(t.customer.select(name.alias("name"), F.col("c_mktsegment").alias("type")), t.customer.filter("c_custkey % 5 = 0").select(name.alias("name")))
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.translate(F.right("c_name", F.lit(6)), "0123456789", "abcdefghij")).when(k == 1, F.concat(F.translate(F.right("c_name", F.lit(5)), "0123456789", "éèàùçñöüßø"), F.right("c_mktsegment", F.lit(2)))).otherwise(F.concat(F.right("c_name", F.lit(4)), F.lit("x")))
+    nodes = t.customer.select(name.alias("name"), F.col("c_mktsegment").alias("type")).distinct()
+    return G.entity_candidates(nodes, t.customer.filter("c_custkey % 5 = 0").select(name.alias("name")))
 
 
 @query("g11_parse_verdicts", "SELECT 'c' || c_custkey AS a, 'd' || c_custkey AS b FROM customer WHERE c_nationkey % 2 = 0")

@@ -89,15 +89,25 @@ def tag_portions(samples: DataFrame) -> DataFrame:
     return counts.select("tag", "count", ((F.col("count") + 1) / F.lit(total + 1000)).alias("share"))
 
 
-def tag_chunks(matches: DataFrame, portions: DataFrame, keep: int = 3, at_least: int = 0) -> DataFrame:
-    """``matches`` (chunk_id, tags of a matching sample) to (chunk_id, tag, score): rounded half to even, best first."""
-    hits = matches.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_cnt"))
-    c = matches.select("chunk_id", F.explode("tags").alias("tag")).groupBy("chunk_id", "tag").agg(F.count(F.lit(1)).alias("_c"))
-    raw = c.join(hits, "chunk_id").join(portions.select("tag", "share"), "tag")
-    score = F.bround(0.1 * (F.col("_c") + 1) / (F.col("_cnt") + 1000) / F.greatest(F.lit(1e-6), F.col("share"))).cast("long")
-    scored = raw.withColumn("score", F.greatest(score, F.lit(at_least).cast("long")))
-    ranked = scored.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("score"), "tag")))
-    return ranked.filter((F.col("_n") <= keep) & (F.col("score") > 0)).select("chunk_id", "tag", "score")
+def tag_scores(matches: DataFrame, portions: DataFrame, by: str, keep: int) -> DataFrame:
+    """(by, tag, score) of the ``keep`` best tags among ``matches`` (by, tags of a matching sample): a tag's part of all tags
+    found, smoothed, over its share in all samples; rounded half to even, ties by name."""
+    c = matches.select(by, F.explode("tags").alias("tag")).groupBy(by, "tag").agg(F.count(F.lit(1)).alias("_c"))
+    raw = c.join(c.groupBy(by).agg(F.sum("_c").alias("_cnt")), by).join(portions.select("tag", "share"), "tag", "left")
+    share = F.greatest(F.lit(1e-6), F.coalesce("share", F.lit(1e-4)))
+    scored = raw.withColumn("score", F.bround(0.1 * (F.col("_c") + 1) / (F.col("_cnt") + 1000) / share).cast("long"))
+    ranked = scored.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "tag")))
+    return ranked.filter(F.col("_n") <= keep).select(by, "tag", "score")
+
+
+def tag_chunks(matches: DataFrame, portions: DataFrame, keep: int = 3) -> DataFrame:
+    """(chunk_id, tag, score): of the best tags those above 0."""
+    return tag_scores(matches, portions, "chunk_id", keep).filter("score > 0")
+
+
+def tag_queries(matches: DataFrame, portions: DataFrame, keep: int = 3) -> DataFrame:
+    """(query_id, tag, score): the best tags, each at 1 or more."""
+    return tag_scores(matches, portions, "query_id", keep).withColumn("score", F.greatest("score", F.lit(1).cast("long")))
 
 
 def merge_metadata(chunk_meta: DataFrame) -> DataFrame:

@@ -147,27 +147,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def entity_candidates(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """(a, b): names of one type, at least one of them new, alike by edit distance or shared characters.
+    """(a, b): names of one type, at least one of them new, alike by edit distance or shared characters; a pair whose
+    differing two-character pieces hold a digit is out.
 
-    English names within half their shorter length of edits differ in length by that at most, so lengths join by band;
-    a pair whose differing two-character pieces hold a digit is out.
+    Two English names are alike within half their shorter length of edits; their lengths differ by that at most, so they
+    meet by band of length. Other pairs are alike by distinct characters: of four or more, 0.8 of the larger set are
+    shared, of fewer two. Each name files the first of its characters in one order that so many shared ones cannot miss,
+    and pairs meet by those.
     """
-    fresh = new.select("name").withColumn("_new", F.lit(True))
+    fresh = new.select("name").withColumn("_new", F.lit(True)).distinct()
     base = nodes.join(fresh, "name", "left").select("name", "type", F.coalesce("_new", F.lit(False)).alias("is_new"))
     base = base.withColumn("n", F.length("name")).withColumn("english", F.col("name").rlike("^[\\x00-\\x7F]*$"))
+    chars = F.filter(F.array_distinct(F.split("name", "")), lambda c: c != "")
+    base = base.withColumn("chars", F.reverse(F.array_sort(chars)))
+    other = base.select(*[F.col(c).alias(f"{c}_b") for c in ("name", "type", "is_new", "n", "english", "chars")])
+
+    def met(keys: Column) -> DataFrame:
+        left = base.withColumn("_k", F.explode(keys))
+        right = base.withColumn("_k", F.explode(keys)).select("_k", *[F.col(c).alias(f"{c}_b") for c in base.columns])
+        return left.join(right, (left["_k"] == right["_k"]) & (F.col("type") == F.col("type_b")) & (F.col("name") < F.col("name_b")) & (F.col("is_new") | F.col("is_new_b")))
+
     # lengths whose ratio is at most 3 / 2 have logarithms to that base within 1, so their bands are the same or next
     band = F.floor(F.log(1.5, F.greatest("n", F.lit(1)))).cast("int")
-    left = base.withColumn("band", band).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    right = base.withColumn("band", band).toDF("name_b", "type_b", "new_b", "n_b", "english_b", "band")
-    pairs = left.join(right, "band").filter("type = type_b AND name < name_b AND (is_new OR new_b)")
+    english = base.filter("english")
+    left = english.withColumn("_k", F.explode(F.array(band - 1, band, band + 1)))
+    right = other.filter("english_b").withColumn("_kb", F.floor(F.log(1.5, F.greatest("n_b", F.lit(1)))).cast("int"))
+    edits = F.levenshtein("name", "name_b") <= F.floor(F.least("n", "n_b") / 2)
+    by_edits = left.join(right, (F.col("_k") == F.col("_kb")) & (F.col("type") == F.col("type_b")) & (F.col("name") < F.col("name_b")) & (F.col("is_new") | F.col("is_new_b"))).filter(edits)
+    size = F.size("chars")
+    first = F.when(size >= 4, size - F.ceil(F.lit(4) * size / 5).cast("int") + 1).otherwise(F.greatest(size - 1, F.lit(1)))
+    shared, most = F.size(F.array_intersect("chars", "chars_b")), F.greatest(F.size("chars"), F.size("chars_b"))
+    by_chars = met(F.slice("chars", F.lit(1), first)).filter(~(F.col("english") & F.col("english_b"))).filter(F.when(most < 4, shared > 1).otherwise(shared / most >= 0.8))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))
     ga, gb = grams("name"), grams("name_b")
     digit = F.exists(F.concat(F.array_except(ga, gb), F.array_except(gb, ga)), lambda g: g.rlike("[0-9]"))
-    edits = F.levenshtein("name", "name_b") <= F.floor(F.least("n", "n_b") / 2)
-    ca, cb = F.array_distinct(F.split("name", "")), F.array_distinct(F.split("name_b", ""))
-    shared, most = F.size(F.array_intersect(ca, cb)), F.greatest(F.size(ca), F.size(cb))
-    alike = F.when(F.col("english") & F.col("english_b"), edits).otherwise(F.when(most < 4, shared > 1).otherwise(shared / most >= 0.8))
-    return pairs.filter(~digit & alike).select(F.col("name").alias("a"), F.col("name_b").alias("b")).distinct()
+    pairs = by_edits.select("name", "name_b").union(by_chars.select("name", "name_b")).distinct()
+    return pairs.filter(~digit).select(F.col("name").alias("a"), F.col("name_b").alias("b"))
 
 
 def parse_verdicts(df: DataFrame, pairs: DataFrame) -> DataFrame:
