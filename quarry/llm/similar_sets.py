@@ -23,6 +23,8 @@ from .common import checkpoint, components, map_batches
 WORDS, SEED = 5, 42
 #: The sample that tells common shingles: documents, least count and shingles kept. They change the order alone, not the result.
 SAMPLE, COMMON, MOST = 10_000, 5, 100_000
+#: Shingles of sets that a task keeps for the pairs to come; beyond that it starts anew.
+HELD = 4_000_000
 #: Up to so many ids of candidates are sent to all tasks that read texts; more are shuffled.
 BROADCAST = 1_000_000
 
@@ -66,12 +68,23 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of = texts.join(F.broadcast(nodes) if count <= BROADCAST else nodes, "node", "left_semi").select("node", F.col("text").cast("binary").alias("text"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def of(node: int, text: bytes) -> np.ndarray:
+            nonlocal size
+            if node not in held:
+                if size > HELD:
+                    held.clear()
+                    size = 0
+                held[node] = shingle_set(text)
+                size += len(held[node])
+            return held[node]
+
         for b in batches:
-            keep, last, mine = [], None, None
-            for text, other in zip(b["text_a"], b["text_b"], strict=True):
-                if mine is None or text != last:
-                    last, mine = text, shingle_set(text)
-                its = shingle_set(other)
+            keep = []
+            for x, text, y, other in zip(b["a"].tolist(), b["text_a"], b["b"].tolist(), b["text_b"], strict=True):
+                mine, its = of(x, text), of(y, other)
                 both = len(np.intersect1d(mine, its, assume_unique=True))
                 keep.append(9 * both >= 4 * (len(mine) + len(its)))
             yield b.loc[keep, ["a", "b"]]
