@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, packing, quality, sharding, simhash_dedup, url_filter
+from . import decontaminate, embedding_dedup, importance, language_id, line_dedup, lm_score, packing, prefix_trie, quality, sharding, simhash_dedup, token_files, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,15 @@ QUERIES = {
         packing.op8_packing,
         line_dedup.op9_line_dedup,
         quality.op10_quality,
+        token_files.op11_token_files,
+        importance.op12_importance_resampling,
+        prefix_trie.op13_prefix_trie,
     )
 }
-ORACLES = {"op3_embedding_dedup": embedding_dedup.OP3_SQL, "op5_url_filter": url_filter.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+ORACLES = {
+    "op3_embedding_dedup": embedding_dedup.OP3_SQL,
+    "op5_url_filter": url_filter.OP5_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
+    "op12_importance_resampling": importance.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
+}
