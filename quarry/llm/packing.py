@@ -13,102 +13,36 @@ open; no rows give no rows; columns besides id and text, whatever their names, a
 from __future__ import annotations
 
 import heapq
-import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hide_null, map_batches, rank_in, show_null, table
-
-#: Words, and parts of words, that a Python worker keeps with their ids; beyond that it starts anew.
-CACHED = 600_000
-
-_workers: dict = {}
-
-
-class WordEncoder:
-    """bytes -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own for whole texts.
-
-    For a tokenizer that cuts texts into letters, single digits and other marks, each with a word end, and drops white
-    space: no token spans words or such parts, so each word and part is encoded once and kept. Words of letters up to
-    U+024F in composed form are parted here; any other word goes through the tokenizer as it is.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.parts_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        # byte-level models see each byte as a printable character: itself, or 256 and up in order
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            seen = part if part.isascii() and part.isprintable() else "".join(map(self.shown.__getitem__, part.encode()))
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(seen)], dtype="<u4").tobytes()
-        return ids
-
-    def word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters
-            return self.part(word.decode().lower())
-        if word[:-1].isalpha() and word[-1:] in (b".", b","):
-            return self.part(word[:-1].decode().lower()) + self.part(word[-1:].decode())
-        text = word.decode()
-        if "<|" in text or max(text) > "\u024f" or min(text) < "!" or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.part, self.parts_of(text.lower())))
-
-    def __call__(self, text: bytes) -> bytes:
-        known, split = self.words, text.split()
-        try:
-            return b"".join(map(known.__getitem__, split))
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            if len(self.parts) > CACHED:
-                self.parts.clear()
-            for w in split:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join(map(known.__getitem__, split))
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _workers:
-        _workers[path] = WordEncoder(path)
-    return _workers[path]
-
+from .common import checkpoint, hide_null, map_batches, rank_in, ready, show_null, table
+from .text_ids import encoded, tokenizer_file
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): cuts of ``max_tokens`` and a rest; the end id belongs to the last."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+    ready(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.iloc[at : at + 500]
-                rows = []
-                for k, text in zip(some["id"], some["text"], strict=True):
-                    ids = encode(text or b"") + end
-                    n = len(ids) // 4
-                    rows += [(k, s, min(max_tokens, n - s), zlib.crc32(ids[4 * s : 4 * (s + max_tokens)]), n) for s in range(0, n, max_tokens)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for rows, ids, bounds in encoded(batch, tokenizer_path, end_id):
+                out = []
+                data = memoryview(ids.tobytes())
+                for k, a, b in zip(rows.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for s in range(a, b, max_tokens):
+                        e = min(s + max_tokens, b)
+                        out.append((k, s - a, e - s, zlib.crc32(data[4 * s : 4 * e]), b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    plain = docs.select(hide_null(F.col(id_col)).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return map_batches(plain, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    plain = docs.select(hide_null(F.col(id_col)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return plain.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -184,12 +118,6 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: i
     return placed.select(show_null("doc_id"), *placed.columns[1:])
 
 
-def tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())

@@ -38,7 +38,7 @@ def ids_of(tokenizer, text):
 
 
 def test_text_encoder_equals_the_tokenizer(tokenizer):
-    texts = [t for _, t in ODD] + ["ΣΣ 日本語 ab", "ﬁ ǅ a­b ​", "\x00a \x7f é\x00 _a_ $%&", "Hello, World. a,b.c", "a<|b"]
+    texts = [t for _, t in ODD] + ["ΣΣ 日本語 ab", "ﬁ ǅ a­b ​", "\x00a \x7f é\x00 _a_ $%&", "Hello, World. a,b.c", "a<|b", "<|endoftext|> a<|startoftext|>b", "don't I'll 'S it's we've 'twas", "éa é İx ² ½ 12 a1b"]
     encode = text_ids.TextEncoder(text_ids.tokenizer_file(), held=8)  # forgets words all the time
     for part in (texts, texts[::-1], texts[:4], []):
         ids, bounds = encode(pa.array(part, pa.string()), 1)
