@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import weights as W
+from ..operators import postings as P
 from ..operators import retrieval as R
-from ..lineage import checkpoint
+from ..lineage import checkpoint, shared_folder
 from ..registry import Tables, query
 from .text import COUNT_SQL, TOKENS_SQL
 
@@ -49,24 +52,44 @@ def document_frequency(t: Tables) -> DataFrame:
     return W.document_frequency(doc_tokens(t), "doc_id", "tokens")
 
 
+_FULLTEXT = """,
+h AS (SELECT query_id, doc_id, sum(2 * ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score, count(*) AS found FROM qt JOIN dt USING (term) JOIN f USING (term), nn GROUP BY 1, 2),
+m AS (SELECT query_id, doc_id, score FROM h JOIN (SELECT query_id, count(*) AS size FROM qt GROUP BY 1) USING (query_id) WHERE found >= ceil(0.3 * size))"""
+
+#: Documents of a query that token and hybrid scores are worked out for: the best by text.
+WINDOW = 64
+_CANDIDATES = _FULLTEXT + f""",
+cand AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM m) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {WINDOW})"""
+
+
+def keyword_index(t: Tables) -> P.KeywordIndex:
+    return P.write_index(doc_tokens(t), {"tokens": 2.0}, f"{shared_folder(t.spark)}/keywords-{uuid.uuid4().hex}")
+
+
+def text_top(t: Tables, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best ``k`` by text."""
+    return P.search_top(keyword_index(t), query_tokens(t), k)
+
+
 _KEYS = """,
 qk AS (SELECT query_id, key, sum(w) AS w FROM (SELECT query_id, term AS key, 0.4 * weight AS w FROM qw UNION ALL
   SELECT query_id, term || ' ' || t2, 0.6 * greatest(weight, w2) FROM (SELECT *, lead(term) OVER x AS t2, lead(weight) OVER x AS w2 FROM qw WINDOW x AS (PARTITION BY query_id ORDER BY pos)) WHERE t2 IS NOT NULL) GROUP BY 1, 2),
 dk AS (SELECT DISTINCT doc_id, term AS key FROM dt UNION SELECT DISTINCT doc_id, a || ' ' || b FROM (SELECT doc_id, unnest(tokens[1:len(tokens)-1]) AS a, unnest(tokens[2:len(tokens)]) AS b FROM d)),
-tk AS (SELECT query_id, doc_id, (1e-9 + sum(w)) / (1e-9 + any_value(total)) AS tksim FROM qk JOIN dk USING (key) JOIN (SELECT query_id, sum(w) AS total FROM qk GROUP BY 1) USING (query_id) GROUP BY 1, 2)"""
+tk AS (SELECT query_id, doc_id, (1e-9 + sum(w)) / (1e-9 + any_value(total)) AS tksim FROM cand JOIN qk USING (query_id) JOIN dk USING (doc_id, key) JOIN (SELECT query_id, sum(w) AS total FROM qk GROUP BY 1) USING (query_id) GROUP BY 1, 2)"""
 
 
 def token_pairs(t: Tables) -> DataFrame:
-    """Similarities of all queries and documents that share a key. Only keys of queries are kept of the documents."""
-    keys = W.weighted_keys(query_weights(t), "query_id")
-    tokens = doc_tokens(t)
+    """Similarities of each query and its window of documents. Of the documents, only those of windows are cut into keys, and
+    only keys of queries are kept."""
+    cands = checkpoint(text_top(t, WINDOW).select("query_id", "doc_id"))
+    keys = checkpoint(W.weighted_keys(query_weights(t), "query_id"))
+    tokens = doc_tokens(t).join(cands.select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.concat_ws(" ", F.element_at("tokens", i), F.element_at("tokens", i + 1)))
-    own = tokens.select("doc_id", F.explode(F.when(F.size("tokens") > 1, F.concat("tokens", pairs)).otherwise(F.col("tokens"))).alias("key"))
-    wanted = keys.select("key").distinct()
-    return W.token_similarity(keys, own.join(wanted, "key").distinct(), "query_id", "doc_id")
+    own = tokens.select("doc_id", F.explode(F.array_distinct(F.when(F.size("tokens") > 1, F.concat("tokens", pairs)).otherwise(F.col("tokens")))).alias("key"))
+    return W.token_similarity(cands, keys, own.join(keys.select("key").distinct(), "key"), "query_id", "doc_id")
 
 
-@query("w3_token_similarity", _BASE + _WEIGHTS + _KEYS + " SELECT query_id, doc_id, round(tksim, 6) AS tksim FROM tk")
+@query("w3_token_similarity", _BASE + _WEIGHTS + _CANDIDATES + _KEYS + " SELECT query_id, doc_id, round(tksim, 6) AS tksim FROM tk")
 def token_similarity(t: Tables) -> DataFrame:
     return token_pairs(t).withColumn("tksim", F.round("tksim", 6))
 
@@ -93,7 +116,7 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-@query("w5_hybrid_similarity", _BASE + _WEIGHTS + _KEYS + _VECTORS + """,
+@query("w5_hybrid_similarity", _BASE + _WEIGHTS + _CANDIDATES + _KEYS + _VECTORS + """,
 p AS (SELECT tk.query_id, tk.doc_id, tksim, CASE WHEN tk.query_id % 2 = 0 THEN coalesce(vtsim, 0) ELSE 0 END AS vtsim FROM tk LEFT JOIN vt ON tk.query_id = vt.query_id AND tk.doc_id = vt.doc_id)
 SELECT query_id, doc_id, round(CASE WHEN bool_or(vtsim <> 0) OVER (PARTITION BY query_id) THEN 0.3 * tksim + 0.7 * vtsim ELSE tksim END, 6) AS sim FROM p""")
 def hybrid_similarity(t: Tables) -> DataFrame:
@@ -104,11 +127,6 @@ def hybrid_similarity(t: Tables) -> DataFrame:
     return W.hybrid_similarity(scored, "query_id").select("query_id", "doc_id", F.round("sim", 6).alias("sim"))
 
 
-_FULLTEXT = """,
-h AS (SELECT query_id, doc_id, sum(2 * ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score, count(*) AS found FROM qt JOIN dt USING (term) JOIN f USING (term), nn GROUP BY 1, 2),
-m AS (SELECT query_id, doc_id, score FROM h JOIN (SELECT query_id, count(*) AS size FROM qt GROUP BY 1) USING (query_id) WHERE found >= ceil(0.3 * size))"""
-
-
 def fulltext(t: Tables) -> DataFrame:
     return W.fulltext_search(doc_tokens(t), query_tokens(t), {"tokens": 2.0}, 0.3)
 
@@ -121,8 +139,8 @@ def fulltext_search(t: Tables) -> DataFrame:
 @query("w6_fulltext_top", _BASE + _FULLTEXT + """
 SELECT query_id, m.doc_id, source, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, m.doc_id) AS rank FROM m JOIN documents USING (doc_id) QUALIFY rank <= 5""")
 def fulltext_top(t: Tables) -> DataFrame:
-    top = R.top_n(fulltext(t).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("doc_id")], 5)
-    return top.join(t.documents.select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "source", "score", "rank")
+    """No document outside a query's candidates is scored."""
+    return text_top(t, 5).join(t.documents.select("doc_id", "source"), "doc_id").select("query_id", "doc_id", "source", "score", "rank")
 
 
 #: Fields with boosts: the first line stands for a title, the longest word for what is important.
@@ -181,31 +199,32 @@ def vector_topk(t: Tables) -> DataFrame:
 
 
 def text_list(t: Tables) -> DataFrame:
-    return fulltext(t).select("query_id", F.col("doc_id").alias("id"), F.round("score", 6).alias("text_score"))
+    return fulltext(t).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("text_score"))
 
 
 _SIDES = _FULLTEXT + _VECTORS + """,
-tl AS (SELECT query_id, doc_id AS id, round(score, 6) AS text_score FROM m),
-vl AS (SELECT query_id, doc_id AS id, round(vtsim, 6) AS sim FROM vt WHERE vtsim >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vtsim, 9) DESC, doc_id) <= 20)"""
+tl AS (SELECT query_id, doc_id AS id, score AS text_score FROM m),
+vl AS (SELECT query_id, doc_id AS id, vtsim AS sim FROM vt WHERE vtsim >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vtsim, 9) DESC, doc_id) <= 20)"""
 
 
 @query("r2_fuse", _BASE + _SIDES + """
 SELECT query_id, id, round(coalesce(text_score, 0) * (1 - 0.95::DOUBLE) + coalesce(sim, 0) * 0.95::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(text_score, 0) * (1 - 0.95::DOUBLE) + coalesce(sim, 0) * 0.95::DOUBLE, 9) DESC, id) AS rank
 FROM tl FULL JOIN vl USING (query_id, id) QUALIFY rank <= 10""")
 def fuse(t: Tables) -> DataFrame:
-    v = R.vector_topk(vectors(t), vector_queries(t), 20, 0.1).select("query_id", "id", F.round("sim", 6).alias("sim"))
+    v = R.vector_topk(vectors(t), vector_queries(t), 20, 0.1).select("query_id", "id", "sim")
     return R.fuse(text_list(t), v).withColumn("score", F.round("score", 6))
 
 
 @query("r3_fuse_text_first", _BASE + _SIDES + """,
-f3 AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, id) <= 15)
+f3 AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 6) DESC, id) <= 15)
 SELECT query_id, id, round(text_score * 0.05 + vtsim * 0.95, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(text_score * (1 - 0.95) + vtsim * 0.95, 9) DESC, id) AS rank
-FROM f3 JOIN vt ON vt.query_id = f3.query_id AND vt.doc_id = f3.id WHERE vtsim >= 0.0 QUALIFY rank <= 5""".replace("SELECT query_id, id", "SELECT f3.query_id, id").replace("PARTITION BY query_id ORDER BY round(text", "PARTITION BY f3.query_id ORDER BY round(text"))
+FROM f3 JOIN vt ON vt.query_id = f3.query_id AND vt.doc_id = f3.id WHERE vtsim >= 0.0 QUALIFY rank <= 5""".replace("SELECT query_id, id", "SELECT f3.query_id, id").replace("PARTITION BY query_id ORDER BY round(text_score *", "PARTITION BY f3.query_id ORDER BY round(text_score *"))
 def fuse_text_first(t: Tables) -> DataFrame:
     q = vector_queries(t).withColumnRenamed("vec", "qvec")
-    first = R.top_n(text_list(t), ["query_id"], [F.desc("text_score"), F.asc("id")], 15).drop("rank")
+    text = checkpoint(text_list(t))
+    first = R.top_n(text, ["query_id"], [F.round("text_score", 6).desc(), F.asc("id")], 15).drop("rank")
     sims = first.join(q, "query_id").join(vectors(t), "id").select("query_id", "id", W.cosine("qvec", "vec").alias("sim"))
-    return R.fuse_text_first(text_list(t), sims, 15, 0.95, 0.0, 5).withColumn("score", F.round("score", 6))
+    return R.fuse_text_first(text, sims, 15, 0.95, 0.0, 5).withColumn("score", F.round("score", 6))
 
 
 @query("r5_scatter_gather", """
@@ -217,8 +236,7 @@ def scatter_gather(t: Tables) -> DataFrame:
     return R.scatter_gather([a, b], 50)
 
 
-_RERANK = _BASE + _WEIGHTS + _KEYS + _FULLTEXT + """,
-cand AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM m) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
+_RERANK = _BASE + _WEIGHTS + _CANDIDATES.replace("<= 64", "<= 10") + _KEYS + """,
 bag AS (SELECT doc_id, key FROM dk UNION SELECT doc_id, lang FROM documents UNION SELECT doc_id, source FROM documents),
 hold AS (SELECT query_id, doc_id, coalesce(sum(w) FILTER (WHERE b.key IS NOT NULL), 0) AS held, sum(w) AS total FROM cand JOIN qk USING (query_id) LEFT JOIN bag b USING (doc_id, key) GROUP BY 1, 2),
 vec AS (SELECT c.query_id, c.doc_id, coalesce(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 0), 0) AS vtsim
@@ -232,7 +250,7 @@ FROM mixed JOIN documents USING (doc_id)"""
 @query("r6_rerank", _RERANK)
 def rerank(t: Tables) -> DataFrame:
     """The ten best of each query by text, by tokens, vectors and rank features together."""
-    first = R.top_n(fulltext(t).withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.asc("doc_id")], 10)
+    first = text_top(t, 10)
     d = t.documents.select("doc_id", X.tokenize(F.col("text")).alias("content"), F.array("lang").alias("title"), F.array("source").alias("important"), F.array().cast("array<string>").alias("question"),
         F.create_map(F.lit("lang:"), F.lit(0.0), F.col("lang"), F.lit(1.0), F.lit("third"), (F.col("doc_id") % 3).cast("double")).alias("tags"), (F.col("doc_id") % 5).cast("double").alias("pr"))
     cands = first.join(d, "doc_id").join(vectors(t).withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
@@ -251,14 +269,14 @@ def rank_features(t: Tables) -> DataFrame:
     return df.select("p_partkey", F.round(R.rank_feature_scores(df, "tags", "asked", "pr"), 6).alias("score"))
 
 
-@query("r8_retrieve_above", _BASE + _WEIGHTS + _KEYS + """
+@query("r8_retrieve_above", _BASE + _WEIGHTS + _CANDIDATES + _KEYS + """
 SELECT query_id, doc_id AS id, round(round(tksim, 9), 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 9) DESC, doc_id) AS rank FROM tk WHERE round(tksim, 9) >= 0.1 QUALIFY rank <= 5""")
 def retrieve_above(t: Tables) -> DataFrame:
     scored = token_pairs(t).select("query_id", F.col("doc_id").alias("id"), F.round("tksim", 9).alias("sim"))
     return R.retrieve(scored, 1, 5, threshold=0.1).withColumn("sim", F.round("sim", 6))
 
 
-@query("r8_retrieve", _BASE + _WEIGHTS + _KEYS + """
+@query("r8_retrieve", _BASE + _WEIGHTS + _CANDIDATES + _KEYS + """
 SELECT query_id, doc_id AS id, round(round(tksim, 9), 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(tksim, 9) DESC, doc_id) AS rank FROM tk QUALIFY rank BETWEEN 4 AND 6""")
 def retrieve(t: Tables) -> DataFrame:
     scored = token_pairs(t).select("query_id", F.col("doc_id").alias("id"), F.round("tksim", 9).alias("sim"))

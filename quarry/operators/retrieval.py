@@ -54,20 +54,20 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, min_sim: float, b
 
 def fuse(text: DataFrame, vectors: DataFrame, w: float = 0.95, topn: int = 10, pagerank: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) of text (query_id, id, text_score) and vector (query_id, id, sim) lists; a missing
-    side counts as 0, pagerank (id, pagerank) adds a hundredth of itself."""
+    side counts as 0, pagerank (id, pagerank) adds a hundredth of itself. Scores equal to nine places go by id."""
     both = text.join(vectors, ["query_id", "id"], "full_outer")
     if pagerank is not None:
         both = both.join(pagerank, "id", "left")
     bonus = F.coalesce(F.col("pagerank") / 100, F.lit(0.0)) if pagerank is not None else F.lit(0.0)
     score = F.coalesce("text_score", F.lit(0.0)) * (1 - w) + F.coalesce("sim", F.lit(0.0)) * w + bonus
-    return top_n(both.withColumn("score", score), ["query_id"], [F.desc("score"), F.asc("id")], topn).select("query_id", "id", "score", "rank")
+    return top_n(both.withColumn("score", score), ["query_id"], [F.round("score", 9).desc(), F.asc("id")], topn).select("query_id", "id", "score", "rank")
 
 
 def fuse_text_first(text: DataFrame, sims: DataFrame, k: int, w: float, min_sim: float, topn: int) -> DataFrame:
-    """The best ``k`` by text, then only those similar enough, by the weighted sum."""
-    first = top_n(text, ["query_id"], [F.desc("text_score"), F.asc("id")], k).drop("rank")
+    """The best ``k`` by text, to six places, then only those similar enough, by the weighted sum, to nine."""
+    first = top_n(text, ["query_id"], [F.round("text_score", 6).desc(), F.asc("id")], k).drop("rank")
     both = first.join(sims, ["query_id", "id"]).filter(F.col("sim") >= min_sim)
-    return top_n(both.withColumn("score", F.col("text_score") * (1 - w) + F.col("sim") * w), ["query_id"], [F.desc("score"), F.asc("id")], topn).select("query_id", "id", "score", "rank")
+    return top_n(both.withColumn("score", F.col("text_score") * (1 - w) + F.col("sim") * w), ["query_id"], [F.round("score", 9).desc(), F.asc("id")], topn).select("query_id", "id", "score", "rank")
 
 
 def normalize_weights(fields: dict[str, float]) -> dict[str, float]:
