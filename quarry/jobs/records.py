@@ -11,6 +11,7 @@ from ..lineage import shared_folder
 from ..operators import records as R
 from ..registry import Tables, query
 from ..sources import documents as S
+from ..sources.keyed import KeyedTable
 
 
 @query("s1_rows_to_documents", """
@@ -101,6 +102,17 @@ def upsert(t: Tables) -> DataFrame:
     return S.upsert(old, new, "doc_id", "version")
 
 
+@query("s11_keyed_table", """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN lang || '!' ELSE lang END AS lang, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 11 <> 0""")
+def keyed_table(t: Tables) -> DataFrame:
+    """Rows written to a keyed table, a seventh replaced and an eleventh deleted in its buckets."""
+    table = KeyedTable(t.spark, f"{shared_folder(t.spark)}/keyed-{uuid.uuid4().hex}", "doc_id", "doc_id long, lang string, version int", 32)
+    table.change(t.documents.select("doc_id", "lang", F.lit(1).alias("version")))
+    new = t.documents.filter("doc_id % 7 = 0 AND doc_id % 11 <> 0").select("doc_id", F.concat("lang", F.lit("!")).alias("lang"), F.lit(2).alias("version"))
+    table.change(new, deleted=t.documents.filter("doc_id % 11 = 0").select("doc_id"))
+    return table.read()
+
+
 @query("s12_write_table", "SELECT 'csv' AS format, doc_id, lang, n_chars FROM documents UNION ALL SELECT 'json', doc_id, lang, n_chars FROM documents UNION ALL SELECT 'parquet', doc_id, lang, n_chars FROM documents")
 def write_table(t: Tables) -> DataFrame:
     """The table written in each format and read again."""
