@@ -12,46 +12,129 @@ from pyspark.sql.window import Window
 
 from ..functions.running import running_total
 from ..functions.weights import cosine, hybrid_similarity
+from ..lineage import checkpoint
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, out: str = "rank") -> DataFrame:
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(out) <= n)
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, min_sim: float, block: int = 4096) -> DataFrame:
-    """(query_id, id, sim, rank): the ``k`` most similar vectors of each query at ``min_sim`` or more, by exact cosine.
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length one, or zero."""
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    ``queries`` (query_id, vec) go to the tasks in blocks of about ``block``, one pass over the vectors each. A task
-    multiplies its vectors by the block and keeps its own best k, so products never leave it.
-    """
-    context = chunks.sparkSession.sparkContext
-    blocks = queries.count() // block + 1
-    rows, found = chunks.select("id", "vec"), None
-    for b in range(blocks):
-        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vec").toPandas()
-        if not len(asked):
-            continue
-        shared = context.broadcast((asked["query_id"].to_numpy(), np.stack(asked["vec"].to_numpy()).astype(np.float64)))
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, min_sim: float) -> pd.DataFrame:
+    """The ``k`` best of ``m`` for each of ``q``, both of unit vectors; all that tie with the last of them."""
+    sims = m @ q.T
+    least = np.partition(sims, -k, axis=0)[-k] if len(m) > k else np.full(len(q), -np.inf)
+    i, j = np.nonzero(sims >= np.maximum(least, min_sim))
+    return pd.DataFrame({"query_id": names[j], "id": ids[i], "sim": sims[i, j]})
+
+
+def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["sim", "id"], ascending=[False, True]).groupby("query_id").head(k)
+
+
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, min_sim: float, block: int = 4096, pivots: int = 256) -> DataFrame:
+    """(query_id, id, sim, rank): the ``k`` most similar vectors of each query (query_id, vec) at ``min_sim`` or more, by exact
+    cosine; a zero vector's is 0, and rows without a vector are left out.
+
+    Up to ``block`` queries go to every task, which keeps its own best k, in one pass over the vectors. More are dealt out with the
+    vectors: see ``_celled_topk``."""
+    rows, asked = chunks.select("id", "vec").filter("vec IS NOT NULL"), queries.select("query_id", "vec").filter("vec IS NOT NULL")
+    few = asked.limit(block + 1).toPandas()  # ``block`` at most are used
+    if len(few) > block:
+        found = _celled_topk(rows, asked, k, min_sim, block, pivots)
+    elif not len(few):
+        found = rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).filter("false")
+    else:
+        shared = chunks.sparkSession.sparkContext.broadcast((few["query_id"].to_numpy(), _unit(few["vec"])))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, q = shared.value
             held = pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "sim": "float64"})
             for batch in batches:
-                m, ids = np.stack(batch["vec"].to_numpy()).astype(np.float64), batch["id"].to_numpy()
-                norm = np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(q, axis=1))
-                sims = np.divide(m @ q.T, norm, out=np.zeros_like(norm), where=norm > 0)
-                i, j = np.nonzero(sims >= min_sim)
-                both = pd.concat([held, pd.DataFrame({"query_id": names[j], "id": ids[i], "sim": sims[i, j]})])
-                held = both.sort_values(["sim", "id"], ascending=[False, True]).groupby("query_id").head(k)
+                held = _cut(pd.concat([held, _best(names, q, batch["id"].to_numpy(), _unit(batch["vec"]), k, min_sim)]), k)
             yield held
 
-        part = rows.mapInPandas(best, "query_id long, id long, sim double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).filter("false")
+        found = rows.mapInPandas(best, "query_id long, id long, sim double")
     return top_n(found, ["query_id"], [F.desc("sim"), F.asc("id")], k)
 
 
+def _celled_topk(rows: DataFrame, asked: DataFrame, k: int, min_sim: float, block: int, pivots: int) -> DataFrame:
+    """(query_id, id, sim): the best k and perhaps more, with both sides dealt to tasks.
+
+    Vectors lie in cells about ``pivots`` of them, each with the widest angle to its pivot. A query first meets its nearest cells,
+    as many as hold k vectors; the k-th best there bounds the rest: a cell whose pivot is further from the query than its width
+    and the bound's angle together holds nothing better. A task compares up to ``block`` vectors of a cell with up to ``block``
+    queries, so a cell or a query of any popularity is many tasks; only a row per cell comes to the driver."""
+    spark = rows.sparkSession
+    centre = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+    if not len(centre):
+        return rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).filter("false")
+    shared = spark.sparkContext.broadcast(_unit(centre["vec"]))
+
+    def angles(m: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(m @ shared.value.T, -1, 1))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            m = _unit(batch["vec"])
+            far = angles(m)
+            cell = far.argmin(axis=1)
+            yield pd.DataFrame({"id": batch["id"], "vec": list(m), "cell": cell.astype("int32"), "far": far[np.arange(len(m)), cell]})
+
+    placed = checkpoint(rows.mapInPandas(place, "id long, vec array<double>, cell int, far double"))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("width")).toPandas()
+    count, width = np.zeros(len(centre), dtype=np.int64), np.full(len(centre), -np.inf)
+    count[cells["cell"]], width[cells["cell"]] = cells["n"], cells["width"]
+    parts = np.maximum(1, -(-count // block))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)))
+    asked = asked.withColumn("bound", F.lit(None).cast("double"))
+
+    def visit(first: bool):
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                m = _unit(batch["vec"])
+                far = angles(m)
+                order = np.argsort(far, axis=1, kind="stable")
+                held = np.cumsum(count[order], axis=1) - count[order]
+                near = np.zeros_like(far, dtype=bool)
+                np.put_along_axis(near, order, held < k, axis=1)
+                if first:
+                    meets = near & (count > 0)
+                else:
+                    # a hair more, for what rounding does to angles
+                    reach = np.arccos(np.clip(np.fmax(batch["bound"].to_numpy(dtype=np.float64), min_sim) - 1e-9, -1, 1)) + 1e-6
+                    zero = ~m.any(axis=1)
+                    meets = ~near & (count > 0) & ((far - width <= reach[:, None]) | zero[:, None])
+                i, c = np.nonzero(meets)
+                i, c = np.repeat(i, parts[c]), np.concatenate([np.column_stack([np.full(parts[x], x), np.arange(parts[x])]) for x in c]) if len(c) else np.empty((0, 2), np.int64)
+                yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[i], "vec": list(m[i]), "cell": c[:, 0].astype("int32"), "part": c[:, 1].astype("int64")})
+
+        return go
+
+    def compare(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(queries):
+            return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "sim": "float64"})
+        return _cut(_best(queries["query_id"].to_numpy(), np.stack(queries["vec"].to_numpy()), vectors["id"].to_numpy(), np.stack(vectors["vec"].to_numpy()), k, min_sim), k)
+
+    def met(queries: DataFrame, first: bool) -> DataFrame:
+        visits = checkpoint(queries.select("query_id", "vec", "bound").mapInPandas(visit(first), "query_id long, vec array<double>, cell int, part long"))
+        sides = visits.groupBy("cell", "part").agg((F.floor(F.count(F.lit(1)) / block) + 1).alias("sides"))  # a row per part of a cell
+        v = visits.join(sides, ["cell", "part"]).withColumn("side", F.pmod(F.xxhash64("query_id"), F.col("sides"))).drop("sides")
+        m = placed.join(sides, ["cell", "part"]).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))).drop("sides")
+        keys = ["cell", "part", "side"]
+        return m.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(compare, "query_id long, id long, sim double")
+
+    tried = checkpoint(met(asked, True))
+    bounds = top_n(tried, ["query_id"], [F.desc("sim")], k).filter(F.col("rank") == k).select("query_id", F.col("sim").alias("bound"))
+    return tried.union(met(asked.drop("bound").join(bounds, "query_id", "left"), False))
+
+
 def fuse(text: DataFrame, vectors: DataFrame, w: float = 0.95, topn: int = 10, pagerank: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) of text (query_id, id, text_score) and vector (query_id, id, sim) lists; a missing
     side counts as 0, pagerank (id, pagerank) adds a hundredth of itself. Scores equal to nine places go by id."""
