@@ -32,9 +32,11 @@ def dealt_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Python workers get this package and, unless the session says otherwise, batches of 2,000 rows: rows hold whole texts,
-    and Spark's own 10,000 of them take much memory."""
+    """Python workers get this package and, unless the session says otherwise, batches of 2,000 rows and at most 16 MB: rows hold
+    whole texts, and Spark's own 10,000 of them take much memory."""
     ship(spark)
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2**24))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "2000")

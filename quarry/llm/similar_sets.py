@@ -25,6 +25,8 @@ WORDS, SEED = 5, 42
 SAMPLE, COMMON, MOST = 10_000, 5, 100_000
 #: Shingles of sets that a task keeps for the pairs to come; beyond that it starts anew.
 HELD = 4_000_000
+#: Buckets that shingles are counted in, a power of two.
+BUCKETS = 128
 #: Up to so many ids of candidates are sent to all tasks that read texts; more are shuffled.
 BROADCAST = 1_000_000
 
@@ -58,14 +60,45 @@ def reach(n: str, i: str, n_b: str, i_b: str) -> Column:
     return 9 * F.least(F.col(n) - F.col(i), F.col(n_b) - F.col(i_b)) >= 4 * (F.col(n) + F.col(n_b))
 
 
+def bucket_counts(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of ``BUCKETS``, 255 for that many or more."""
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose overlap could be enough: the sum over buckets of the smaller count bounds it, so none that is
+    similar goes. Counts move, texts don't."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [shingle_set(t) for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"], "n": [len(s) for s in found], "counts": [bucket_counts(s) for s in found]})
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            mine, its = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(-1, BUCKETS) for c in ("counts_a", "counts_b"))
+            least = np.minimum(mine, its)
+            most = np.where((least == 255).any(axis=1), np.iinfo(np.int64).max // 9, least.sum(axis=1, dtype=np.int64))
+            yield b.loc[9 * most >= 4 * (b["n_a"] + b["n_b"]), ["a", "b"]]
+
+    counts = checkpoint(map_batches(texts, count, "node long, n long, counts binary"))
+    both = pairs.join(counts.toDF("a", "n_a", "counts_a"), "a").join(counts.toDF("b", "n_b", "counts_b"), "b")
+    return map_batches(both.select("a", "b", "n_a", "n_b", "counts_a", "counts_b"), bound, "a long, b long")
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are similar, by exact comparison. ``texts``: node, text."""
+
+    def of_nodes(pairs: DataFrame) -> DataFrame:
+        nodes = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        count = nodes.count()
+        return texts.join(F.broadcast(nodes) if count <= BROADCAST else nodes, "node", "left_semi").select("node", F.col("text").cast("binary").alias("text"))
+
     pairs = checkpoint(pairs.distinct())
-    nodes = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    count = nodes.count()
-    if not count:
+    if pairs.isEmpty():
         return pairs
-    of = texts.join(F.broadcast(nodes) if count <= BROADCAST else nodes, "node", "left_semi").select("node", F.col("text").cast("binary").alias("text"))
+    pairs = checkpoint(may_be_similar(pairs, of_nodes(pairs)))
+    of = of_nodes(pairs)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}

@@ -68,3 +68,12 @@ def test_others_stay(case):
     texts, pairs, left = case
     root = find_all(texts, pairs)
     assert left == {k for k in texts if root[k] == k}
+
+
+def test_counts_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    for n, common in ((0, 0), (3, 2), (500, 480), (60_000, 55_000)):
+        a, b = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+        a = np.unique(np.concatenate([a, b[:common]]))
+        x, y = (np.frombuffer(similar_sets.bucket_counts(s), np.uint8).astype(int) for s in (a, b))
+        assert len(x) == similar_sets.BUCKETS and (np.minimum(x, y).sum() >= len(np.intersect1d(a, b)) or (np.minimum(x, y) == 255).any())
