@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a Python worker keeps with their ids, and their parts; of more words the half used last stays.
-HELD = 300_000
+HELD = 120_000
 
 #: Bytes of text encoded at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 _END = 0xFFFFFFFF  # no id; ends a word
 
