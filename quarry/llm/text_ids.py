@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a Python worker keeps with their ids, and their parts; of more words the half used last stays.
-HELD = 120_000
+HELD = 500_000
 
 #: Bytes of text encoded at once.
-SLICE = 2_000_000
+SLICE = 8_000_000
 
 _END = 0xFFFFFFFF  # no id; ends a word
 
@@ -83,7 +83,7 @@ class TextEncoder:
         flat = np.empty(0, "<u4")
         if len(odd) < len(words):
             found = self.cut(text.lower() + "\n")
-            if len(self.parts) > self.held // 2:
+            if len(self.parts) > self.held:
                 self.parts.clear()
             self.parts["\n"] = _END.to_bytes(4, "little")
             self.parts |= {p: self.part(p) for p in set(found) - self.parts.keys()}
@@ -108,7 +108,6 @@ class TextEncoder:
         self.batch += 1
         if len(self.words) > self.held:
             self.forget()
-            pa.default_memory_pool().release_unused()
         texts = pc.fill_null(texts, "")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are written in lower case
             texts = pc.ascii_lower(texts)
