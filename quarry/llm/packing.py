@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, hide_null, map_batches, rank_in, ready, show_null, table
 from .text_ids import encoded, tokenizer_file
 
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): cuts of ``max_tokens`` and a rest; the end id belongs to the last."""
 
