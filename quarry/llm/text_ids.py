@@ -20,6 +20,9 @@ HELD = 500_000
 #: Bytes of text encoded at once.
 SLICE = 8_000_000
 
+#: New words learned at once.
+LEARNED = 50_000
+
 _END = 0xFFFFFFFF  # no id; ends a word
 
 _workers: dict = {}
@@ -118,7 +121,8 @@ class TextEncoder:
         new = pc.is_null(place).to_numpy(zero_copy_only=False)
         place = pc.fill_null(place, 0).to_numpy().astype(np.int64)
         if new.any():
-            place[new] = self.learn(words.filter(pa.array(new)))
+            fresh = words.filter(pa.array(new))
+            place[new] = np.concatenate([self.learn(fresh.slice(k, LEARNED)) for k in range(0, len(fresh), LEARNED)])
         self.used[place] = self.batch
         at = place[coded.indices.to_numpy()]
         lengths = self.lengths[at]
@@ -142,7 +146,9 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int):
     texts = batch.column(batch.schema.get_field_index("text"))
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
     for first, n in slices(sizes, SLICE):
-        yield (batch.slice(first, n), *encoder(path)(texts.slice(first, n), end_id))
+        ids, bounds = encoder(path)(texts.slice(first, n), end_id)
+        pa.default_memory_pool().release_unused()  # Arrow keeps freed buffers otherwise, in every worker
+        yield batch.slice(first, n), ids, bounds
 
 
 def tokenizer_file() -> str:
