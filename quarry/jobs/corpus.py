@@ -119,7 +119,7 @@ def sync_summary(t: Tables) -> DataFrame:
 
 
 @query("i6_disambiguate_names", """
-WITH e AS (SELECT 'f' || doc_id % 50 || '.txt' AS name, count(*) AS held FROM documents WHERE doc_id < 60 GROUP BY 1), i AS (SELECT doc_id AS id, 'f' || doc_id % 50 || '.txt' AS name, 'f' || doc_id % 50 AS base FROM documents WHERE doc_id >= 60),
+WITH e AS (SELECT 'f' || doc_id % 50 || '.txt' AS name, 1 AS held FROM documents WHERE doc_id < 60 GROUP BY 1), i AS (SELECT doc_id AS id, 'f' || doc_id % 50 || '.txt' AS name, 'f' || doc_id % 50 AS base FROM documents WHERE doc_id >= 60),
 n AS (SELECT id, i.name, base, row_number() OVER (PARTITION BY i.name ORDER BY id) - 1 + coalesce(held, 0) AS n FROM i LEFT JOIN e ON e.name = i.name) SELECT id, CASE WHEN n > 0 THEN base || '(' || n || ').txt' ELSE name END AS name FROM n""")
 def disambiguate_names(t: Tables) -> DataFrame:
     named = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt")).alias("name"))
