@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,8 +75,9 @@ def strip_question_words(c: Column) -> Column:
 
 
 def space_latin_cjk(c: Column) -> Column:
-    for a, b in ((f"([A-Za-z0-9]+)([{CJK}]+)", "$1 $2"), (f"([{CJK}]+)([A-Za-z0-9]+)", "$1 $2")):
-        c = F.regexp_replace(c, a, b)
+    """A space where CJK meets a Latin letter, or follows digits that follow one; digits alone get none."""
+    for a in (f"([A-Za-z][0-9]*)([{CJK}])", f"([{CJK}])([A-Za-z])"):
+        c = F.regexp_replace(c, a, "$1 $2")
     return c
 
 
@@ -128,25 +130,41 @@ def is_garbled(c: Column, threshold: float = 0.5) -> Column:
 
 
 def highlight(c: Column, keywords: list[str]) -> Column:
-    """Sentences that hold a keyword as a word, keywords in <em>, joined by ``...``; null where none does."""
-    pattern = r"(?i)\b(" + "|".join(sorted(keywords, key=lambda k: (-len(k), k))) + r")\b"
-    sentences = F.split(F.regexp_replace(c, r"([.?!;\n])", "$1\u0001"), "\u0001")
-    marked = F.filter(F.transform(sentences, lambda s: F.regexp_replace(s, pattern, "<em>$1</em>")), lambda s: s.contains("<em>"))
-    return F.nullif(F.array_join(F.transform(marked, lambda s: F.btrim(s, F.lit(" \n"))), "..."), F.lit(""))
+    """As ``highlight_any``, with every sentence searched by words; null where no sentence holds one."""
+    marked = marked_sentences(c, keywords, by_words)
+    return F.when(F.size(marked) > 0, F.array_join(marked, "..."))
 
 
-def highlight_any(c: Column, keywords: list[str]) -> Column:
-    """As ``highlight``, but sentences that aren't English are searched for the keywords literally, also inside words,
-    longest first; the text on one line where no sentence holds one."""
-    either = "|".join(re.escape(k) for k in sorted(keywords, key=lambda k: (-len(k), k)))
-    # a keyword may end in a mark, where \b would ask for a letter
-    word, literal = rf"(?iu)(?<![\p{{L}}\p{{N}}_])({either})(?![\p{{L}}\p{{N}}_])", f"(?iu)({either})"
+#: Fixed value: what parts words in highlighting.
+WORD_EDGES = r"[ .?/'\"\(\)!,:;-]"
+
+
+def by_words(s: Column, keywords: list[str]) -> Column:
+    """Keywords in <em> where edges stand on both sides; an edge serves one of two keywords beside it."""
+    for k in keywords:
+        s = F.regexp_replace(s, f"(?iu)(^|{WORD_EDGES})({re.escape(k)})({WORD_EDGES}|$)", "$1<em>$2</em>$3")
+    return s
+
+
+def literally(s: Column, keywords: list[str]) -> Column:
+    """Keywords anywhere, the longest first, each written as it was given."""
+    for k in sorted(keywords, key=len, reverse=True):
+        s = F.regexp_replace(s, f"(?iu){re.escape(k)}", "<em>" + k.replace("\\", r"\\").replace("$", r"\$") + "</em>")
+    return s
+
+
+def marked_sentences(c: Column, keywords: list[str], mark: Callable[[Column, list[str]], Column]) -> Column:
+    """The sentences of a text, without the marks between them, in which ``mark`` marks a keyword."""
     line = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")
-    # sentences end at line ends too, which are gone from the text that is returned whole
-    sentences = F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"([.?!;\r\n])", "$1\u0001"), "\u0001"), lambda s: F.btrim(s, F.lit(" \r\n")))
-    held = F.filter(sentences, lambda s: F.when(is_english(s), s.rlike(word)).otherwise(s.rlike(literal)))
-    marked = F.transform(held, lambda s: F.when(is_english(s), F.regexp_replace(s, word, "<em>$1</em>")).otherwise(F.regexp_replace(s, literal, "<em>$1</em>")))
-    return F.when(F.size(marked) > 0, F.array_join(marked, "...")).otherwise(line)
+    sentences = F.transform(F.split(line, "[.?!;]", -1), lambda s: F.btrim(s, F.lit(" \t\f\x0b")))
+    return F.filter(F.transform(sentences, lambda s: mark(s, keywords)), lambda s: s.rlike("<em>[^<>]+</em>"))
+
+
+def highlight_any(c: Column, keywords: list[str]) -> Column:
+    """Sentences that hold a keyword, keywords in <em>, joined by ``...``: English ones by words, others literally, also
+    inside words. Marks and line ends between sentences go; the text on one line where no sentence holds a keyword."""
+    marked = marked_sentences(c, keywords, lambda s, ks: F.when(is_english(s), by_words(s, ks)).otherwise(literally(s, ks)))
+    return F.when(F.size(marked) > 0, F.array_join(marked, "...")).otherwise(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " "))
 
 
 def split_combined_values(c: Column) -> Column:

@@ -64,9 +64,9 @@ def strip_question_words(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.strip_question_words(asked).alias("q"))
 
 
-@query("t6_space_latin_cjk", rf"WITH x AS (SELECT doc_id, {_MIXED} AS text FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([A-Za-z0-9]+)([一-龥]+)', '\1 \2', 'g'), '([一-龥]+)([A-Za-z0-9]+)', '\1 \2', 'g')) AS h FROM x")
+@query("t6_space_latin_cjk", rf"WITH x AS (SELECT doc_id, {_MIXED} AS text FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' 2024年', '([A-Za-z]+[0-9]+)([一-龥]+)', '\1 \2', 'g'), '([A-Za-z])([一-龥]+)', '\1 \2', 'g'), '([一-龥]+)([A-Za-z]+[0-9]+)', '\1 \2', 'g'), '([一-龥]+)([A-Za-z])', '\1 \2', 'g')) AS h FROM x")
 def space_latin_cjk(t: Tables) -> DataFrame:
-    return mixed(t).select("doc_id", F.md5(X.space_latin_cjk(F.col("text"))).alias("h"))
+    return mixed(t).select("doc_id", F.md5(X.space_latin_cjk(F.concat("text", F.lit(" 2024年")))).alias("h"))
 
 
 @query("t7_clean_query", r"SELECT item_id, trim(regexp_replace(lower(text), '[ :|\r\n\t,，。？?/`!！&^%()\[\]{}<>]+', ' ', 'g')) AS q FROM benchmark")
@@ -105,19 +105,24 @@ def garbled(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.is_garbled(text).alias("garbled"))
 
 
-#: Each mark that isn't of a word stands between two chr(2), so words have one on either side.
-_EDGED = "chr(2) || regexp_replace({s}, '([^\\p{{L}}\\p{{N}}_])', chr(2) || '\\1' || chr(2), 'g') || chr(2)"
+_KEYS = ("tion", "ing", "of", "the")
+#: Keywords of English sentences between edges, of others anywhere with the longest first.
+_BY_WORDS, _LITERALLY = "s", "s"
+for _k in _KEYS:
+    _BY_WORDS = rf"""regexp_replace({_BY_WORDS}, '(^|[ .?/''"\(\)!,:;-])({_k})([ .?/''"\(\)!,:;-]|$)', '\1<em>\2</em>\3', 'gi')"""
+for _k in sorted(_KEYS, key=len, reverse=True):
+    _LITERALLY = f"regexp_replace({_LITERALLY}, '{_k}', '<em>{_k}</em>', 'gi')"
 
 
 @query("t13_highlight", rf"""
-WITH s AS (SELECT doc_id, trim(unnest(p), ' ' || chr(13) || chr(10)) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.?!;\r\n])', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
-e AS (SELECT doc_id, i, s, coalesce(len(regexp_extract_all(s, '[`a-zA-Z0-9\s.,'':;/"?<>!\(\)\-]'))::DOUBLE / nullif(length(s), 0) > 0.8, false) AS english, {_EDGED.format(s="s")} AS w FROM s),
-m AS (SELECT doc_id, i, CASE WHEN english THEN replace(regexp_replace(w, chr(2) || '((?i)tion|ing|der)' || chr(2), chr(2) || '<em>\1</em>' || chr(2), 'g'), chr(2), '') ELSE regexp_replace(s, '((?i)tion|ing|der)', '<em>\1</em>', 'g') END AS x FROM e),
+WITH s AS (SELECT doc_id, trim(unnest(p), ' ' || chr(9) || chr(11) || chr(12)) AS s, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '[\r\n]', ' ', 'g'), '[.?!;]') AS p FROM documents)),
+e AS (SELECT doc_id, i, s, coalesce(len(regexp_extract_all(s, '[`a-zA-Z0-9\s.,'':;/"?<>!\(\)\-]'))::DOUBLE / nullif(length(s), 0) > 0.8, false) AS english FROM s),
+m AS (SELECT doc_id, i, CASE WHEN english THEN {_BY_WORDS} ELSE {_LITERALLY} END AS x FROM e),
 j AS (SELECT doc_id, string_agg(x, '...' ORDER BY i) AS h FROM m WHERE contains(x, '<em>') GROUP BY 1)
 SELECT d.doc_id, md5(coalesce(j.h, regexp_replace(d.text, '[\r\n]', ' ', 'g'))) AS h FROM documents d LEFT JOIN j USING (doc_id)""")
 def highlight(t: Tables) -> DataFrame:
     """All documents, sentence by sentence: by words or literally."""
-    return t.documents.select("doc_id", F.md5(X.highlight_any(F.col("text"), ["tion", "ing", "der"])).alias("h"))
+    return t.documents.select("doc_id", F.md5(X.highlight_any(F.col("text"), list(_KEYS))).alias("h"))
 
 
 @query("t14_split_merge", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) || '/' || o_orderstatus AS merged FROM orders")

@@ -24,7 +24,13 @@ def test_text_functions(spark):
         X.highlight(F.lit("First one. Second has keyword here. No."), ["keyword"]).alias("h"), X.remove_redundant_spaces(F.lit("( a , b !)")).alias("s"), X.is_garbled(F.lit("ok (cid:1)")).alias("g"),
         F.concat_ws("|", X.strip_question_words(F.lit("什么")), X.strip_question_words(F.lit("What IS love")), X.strip_question_words(F.lit("请问谁在家吗"))).alias("q"), X.clean_str(F.lit('&lt;a&gt; "b"\u0001')).alias("c"), X.parse_tag_features(F.lit("not a dict")).alias("t"),
     ).first()
-    assert row.h == "Second has <em>keyword</em> here." and row.s == "(a , b!)" and row.g and row.q == "什么| love|在家" and row.c == "<a> b" and row.t == {}
+    assert row.h == "Second has <em>keyword</em> here" and row.s == "(a , b!)" and row.g and row.q == "什么| love|在家" and row.c == "<a> b" and row.t == {}
+
+
+def test_spaces_between_scripts(spark):
+    texts = ["2024年", "ABC123中文", "中文ABC", "A中B中2", "第3章", "x1中y"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "n int, x string").orderBy("n").select(X.space_latin_cjk(F.col("x"))).collect()]
+    assert got == ["2024年", "ABC123 中文", "中文 ABC", "A 中 B 中2", "第3章", "x1 中 y"]
 
 
 def test_meta_filter_reseeds(spark):
