@@ -171,7 +171,19 @@ heads AS (SELECT doc_id, k, list(d.x ORDER BY d.i) AS p FROM (SELECT doc_id, k,
 chunks AS (SELECT kept.doc_id, k, array_to_string(list_concat(coalesce(p, []), body), chr(10)) AS x FROM kept LEFT JOIN heads USING (doc_id, k))"""
 
 
-@query("c10_tree_chunks", _tree(2) + _DIGEST)
+_RAW = "CASE " + " ".join(f"WHEN family = {k} AND regexp_matches(z, '^(?:{p})') THEN {n}" for k, f in enumerate(C.HEADINGS) for n, p in enumerate(f, 1)) + " ELSE 0 END"
+
+
+@query("c10_tree_chunks", f"""{_LEVELS},
+z AS (SELECT doc_id, i, family, trim(replace(x, '　', ' '), {_WHITE}) AS z FROM l JOIN fam USING (doc_id) WHERE family >= 0),
+v AS (SELECT doc_id, i, z, {_RAW} AS level FROM z WHERE length(trim(split_part(z, '@', 1), {_WHITE})) > 1 AND NOT regexp_full_match(trim(split_part(z, '@', 1), {_WHITE}), '[0-9]+')),
+k AS (SELECT doc_id, i, z, CASE WHEN level > 0 AND rank <= 2 THEN rank ELSE 0 END AS level FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, level > 0 ORDER BY level) AS rank FROM v)),
+p AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM k),
+t AS (SELECT doc_id, part, max(level) AS level, string_agg(z, chr(10) ORDER BY i) AS x FROM p GROUP BY 1, 2),
+u AS (SELECT *, lead(level) OVER w AS below, last_value(CASE WHEN level = 1 THEN x END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS above FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY part)),
+c AS (SELECT doc_id, part, CASE WHEN level = 2 THEN coalesce(above || chr(10), '') ELSE '' END || x AS x FROM u WHERE level = 0 OR below IS NULL OR below <= level
+  UNION ALL SELECT doc_id, i, x FROM l JOIN fam USING (doc_id) WHERE family < 0 AND y <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS chunk_order, md5(x) AS h FROM c""")
 def tree_chunks(t: Tables) -> DataFrame:
     return digest(C.tree_chunks(outlined(t), 2))
 
@@ -183,12 +195,21 @@ def hierarchical_chunks(t: Tables) -> DataFrame:
     return digest(C.hierarchical_chunks(outlined(t), 2))
 
 
-@query("c12_drop_contents", "SELECT doc_id, 0 AS chunk_order, md5(CASE doc_id % 3 WHEN 0 THEN 'Intro one again' || chr(10) || text WHEN 1 THEN 'before' || chr(10) || 'Xyz' || chr(10) || 'Part two' || chr(10) || 'end' ELSE text END) AS h FROM documents")
+@query("c12_drop_contents", rf"""
+WITH o AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat_ws(chr(10), 'Contents', l[1], l[2], text) WHEN 1 THEN concat_ws(chr(10), l[1], '目 录', ' ', 'Xyz', text) ELSE text END AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+a AS (SELECT doc_id, string_split(text, chr(10)) AS l, coalesce(len(regexp_extract_all(text, '[`a-zA-Z0-9\s.,'':;/"?<>!\(\)\-]'))::DOUBLE / nullif(length(text), 0) > 0.8, false) AS english FROM o),
+b AS (SELECT *, list_filter(range(1, len(l) + 1), lambda k: list_contains(['contents', '目录'], lower(replace(l[k], ' ', ''))))[1] AS top FROM a),
+c AS (SELECT *, list_filter(range(top + 1, len(l) + 1), lambda k: trim(l[k], {_WHITE}) <> '')[1] AS entry FROM b),
+d AS (SELECT *, CASE WHEN english THEN array_to_string(string_split_regex(trim(l[entry], {_WHITE}), '[ \t]+')[1:2], ' ') ELSE trim(l[entry], {_WHITE})[1:3] END AS head FROM c),
+e AS (SELECT *, coalesce(list_filter(range(entry + 1, least(entry + 128, len(l)) + 1), lambda k: starts_with(trim(l[k], {_WHITE}), head))[1], entry + 1) AS again FROM d)
+SELECT doc_id, 0 AS chunk_order, md5(array_to_string(CASE WHEN top IS NULL THEN l WHEN entry IS NULL THEN l[1:top - 1] ELSE list_concat(l[1:top - 1], l[again:]) END, chr(10))) AS h FROM e""")
 def drop_contents(t: Tables) -> DataFrame:
-    """A third with a table whose first entry comes again, a third with one whose first entry does not, a third without."""
-    own = F.concat(F.lit("Contents\nIntro one\nPart two\nIntro one again\n"), "text")
-    text = F.when(F.col("doc_id") % 3 == 0, own).when(F.col("doc_id") % 3 == 1, F.lit("before\n目 录\n \nXyz\nPart two\nend")).otherwise(F.col("text"))
-    return digest(C.drop_contents(t.documents.select("doc_id", text.alias("text"))))
+    """A third with a table of its own first lines, a third with one whose entry hardly comes again, a third without."""
+    first = lambda k: F.get(F.split("text", "\n"), F.lit(k))
+    own = F.concat_ws("\n", F.lit("Contents"), first(0), first(1), "text")
+    other = F.concat_ws("\n", first(0), F.lit("目 录\n \nXyz"), "text")
+    text = F.when(F.col("doc_id") % 3 == 0, own).when(F.col("doc_id") % 3 == 1, other).otherwise(F.col("text"))
+    return digest(C.drop_contents(t.documents.filter("text IS NOT NULL").select("doc_id", text.alias("text"))))
 
 
 #: Documents as Markdown: fences, lists, quotes and blank lines put among their lines.
@@ -220,10 +241,25 @@ def markdown_blocks(t: Tables) -> DataFrame:
     return C.markdown_blocks(markdown(t)).select("doc_id", "n", "kind", "first", "last", F.md5("text").alias("h"))
 
 
-@query("c14_markdown_tables", r"SELECT page_id AS doc_id, len(regexp_extract_all(html, '(<table[^>]*>[\s\S]*?</table>)')) AS n FROM pages")
+#: Documents as tables, bordered, borderless, HTML or (a line between bars) none, with a line before and one after.
+_TABLES = "'before' || chr(10) || CASE doc_id % 4 WHEN 0 THEN '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || replace(text, chr(10), ' | x |' || chr(10) || '| ') || ' | y |' WHEN 1 THEN 'a | b' || chr(10) || '--- | ---' || chr(10) || replace(text, chr(10), ' | x' || chr(10)) || ' | y' WHEN 2 THEN '<table class=x><tr><td>' || replace(text, chr(10), '</td></tr>' || chr(10) || '<tr><td>') || '</td></tr></table>' ELSE '| ' || text || ' |' END || chr(10) || 'after'"
+_BORDERED = r"(?:\n|^)(?:\|.*?\|.*?\|.*?\n)(?:\|(?:\s*[:-]+[-| :]*\s*)\|.*?\n)(?:\|.*?\|.*?\|.*?\n)+"
+_BORDERLESS = r"(?:\n|^)(?:\S.*?\|.*?\n)(?:(?:\s*[:-]+[-| :]*\s*).*?\n)(?:\S.*?\|.*?\n)+"
+
+
+@query("c14_markdown_tables", rf"""
+WITH a AS (SELECT doc_id, {_TABLES} AS x FROM documents), b AS (SELECT doc_id, regexp_extract_all(x, '{_BORDERED}') AS t1, regexp_replace(x, '{_BORDERED}', chr(10) || chr(10), 'g') AS x FROM a),
+c AS (SELECT doc_id, t1, regexp_extract_all(x, '{_BORDERLESS}') AS t2, regexp_replace(regexp_replace(x, '{_BORDERLESS}', chr(10) || chr(10), 'g'), '<(table|td|tr)[^>]*>', '<\1>', 'g') AS x FROM b),
+d AS (SELECT doc_id, t1, t2, regexp_extract_all(x, '(?s:(?:\n|^)\s*<table>.*?</table>)') AS t3, regexp_replace(x, '(?s:(?:\n|^)\s*<table>.*?</table>)', chr(10) || chr(10), 'g') AS x FROM c)
+SELECT doc_id, len(t1) + len(t2) + len(t3) AS n, md5(array_to_string(list_transform(list_concat(t1, t2, t3), lambda v: trim(v, chr(10))), '#')) AS t, md5(x) AS h FROM d""")
 def markdown_tables(t: Tables) -> DataFrame:
-    out = C.markdown_tables(t.pages.select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", "\\|", "/").alias("text")))
-    return out.select("doc_id", F.size("tables").alias("n"))
+    k = F.col("doc_id") % 4
+    bordered = F.concat(F.lit("| a | b |\n|---|:-:|\n| "), F.replace("text", F.lit("\n"), F.lit(" | x |\n| ")), F.lit(" | y |"))
+    borderless = F.concat(F.lit("a | b\n--- | ---\n"), F.replace("text", F.lit("\n"), F.lit(" | x\n")), F.lit(" | y"))
+    tagged = F.concat(F.lit("<table class=x><tr><td>"), F.replace("text", F.lit("\n"), F.lit("</td></tr>\n<tr><td>")), F.lit("</td></tr></table>"))
+    text = F.when(k == 0, bordered).when(k == 1, borderless).when(k == 2, tagged).otherwise(F.concat(F.lit("| "), "text", F.lit(" |")))
+    out = C.markdown_tables(t.documents.select("doc_id", F.concat(F.lit("before\n"), text, F.lit("\nafter")).alias("text")))
+    return out.select("doc_id", F.size("tables").alias("n"), F.md5(F.array_join("tables", "#")).alias("t"), F.md5("text").alias("h"))
 
 
 _MATCH = lambda t: f"<{t}[ \\t\\n>/][^>]*>.*?</{t}[ ]*>|<{t}>.*?</{t}[ ]*>"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.runs import run_starts, run_texts
-from ..functions.text import num_tokens
+from ..functions.text import is_english, num_tokens
 
 WHITE = " \t\n\r\f\v"
 
@@ -149,11 +149,15 @@ def heading_family(df: DataFrame) -> DataFrame:
     return with_family(df).select("doc_id", "family")
 
 
+def heading_level(family: Column, line: Column) -> Column:
+    """The place in the family of the first pattern that fits, 0 if none does."""
+    return F.coalesce(*[F.when((family == k) & fits(line, (p,)), n) for k, f in enumerate(HEADINGS) for n, p in enumerate(f, 1)], F.lit(0))
+
+
 def heading_levels(df: DataFrame) -> DataFrame:
     """(doc_id, i, line, level): the level of a heading of the document's family (1 is the highest), 0 for other lines."""
     rows = with_family(df).select("doc_id", "family", F.posexplode("lines").alias("i", "line")).withColumn("_x", trim(F.col("line")))
-    level = F.coalesce(*[F.when((F.col("family") == k) & F.col("_x").rlike("^(?:" + p + ")"), n) for k, f in enumerate(HEADINGS) for n, p in enumerate(f, 1)], F.lit(0))
-    return rows.select("doc_id", "i", "line", F.when(fits(F.col("_x"), NO_HEADING), 0).otherwise(level).alias("level"))
+    return rows.select("doc_id", "i", "line", F.when(fits(F.col("_x"), NO_HEADING), 0).otherwise(heading_level(F.col("family"), F.col("_x"))).alias("level"))
 
 
 def outline(lines: DataFrame, depth: int, title: Column) -> DataFrame:
@@ -171,7 +175,7 @@ def outline(lines: DataFrame, depth: int, title: Column) -> DataFrame:
     return marked.withColumn("path", F.array_compact(F.array(*open_))).drop(*[f"_h{k}" for k in range(1, depth + 1)])
 
 
-def tree_chunks(df: DataFrame, depth: int) -> DataFrame:
+def outline_chunks(df: DataFrame, depth: int) -> DataFrame:
     """Bodies under the headings above them, down to ``depth`` levels; a heading without a body, and without a deeper
     heading next, gives its own path."""
     lines = heading_levels(df).withColumn("level", F.when(F.col("level") <= depth, F.col("level")).otherwise(0))
@@ -185,14 +189,37 @@ def tree_chunks(df: DataFrame, depth: int) -> DataFrame:
     return kept.select("doc_id", order.alias("chunk_order"), F.array_join(F.concat("path", "body"), "\n").alias("text"))
 
 
+def tree_chunks(df: DataFrame, depth: int) -> DataFrame:
+    """A chunk for each heading, of the ``depth`` highest levels that the document has, with none below it: the headings
+    above with their bodies, then its own. Lines before the first heading are a chunk. Lines are trimmed; those of one
+    character, of digits alone or with nothing else before an @ go. Documents without headings give their lines."""
+    rows = with_family(df).select("doc_id", "family", F.posexplode("lines").alias("i", "line"))
+    plain = rows.filter("family < 0").filter(trim(F.col("line")) != "").select("doc_id", F.col("i").alias("part"), F.col("line").alias("text"))
+    z = rows.filter("family >= 0").withColumn("line", trim(F.translate("line", "　", " ")))
+    said = trim(F.substring_index("line", "@", 1))
+    z = z.filter((F.length(said) > 1) & ~said.rlike("^[0-9]+$")).withColumn("_level", heading_level(F.col("family"), F.col("line")))
+    present = F.array_sort(F.collect_set(F.when(F.col("_level") > 0, F.col("_level"))).over(Window.partitionBy("doc_id")))
+    rank = F.array_position(present, F.col("_level")).cast("int")
+    sofar = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = z.withColumn("level", F.when(rank <= depth, rank).otherwise(0)).withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(sofar))
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("i", "line")))["line"], "\n")
+    parts = ranked.groupBy("doc_id", "part").agg(F.max("level").alias("level"), body.alias("text")).withColumnRenamed("part", "i")
+    below = F.lead("level").over(Window.partitionBy("doc_id").orderBy("i"))
+    most = min(depth, max(len(f) for f in HEADINGS))
+    leaves = outline(parts.withColumn("_below", below), most, F.col("text")).filter((F.col("level") == 0) | F.col("_below").isNull() | (F.col("_below") <= F.col("level")))
+    found = leaves.select("doc_id", F.col("i").alias("part"), F.when(F.col("level") == 0, F.col("text")).otherwise(F.array_join("path", "\n")).alias("text"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1
+    return found.unionByName(plain).select("doc_id", order.alias("chunk_order"), "text")
+
+
 def gathered(chunks: DataFrame) -> DataFrame:
     """(doc_id, texts): the chunks of each document in order."""
     return chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_order", "text")))["text"].alias("texts"))
 
 
 def hierarchical_chunks(df: DataFrame, depth: int, small: int = 218) -> DataFrame:
-    """Tree chunks; neighbours of one line are packed below ``small`` tokens."""
-    whole = gathered(tree_chunks(df, depth))
+    """Outline chunks; neighbours of one line are packed below ``small`` tokens."""
+    whole = gathered(outline_chunks(df, depth))
     long = lambda t: t.contains("\n")
     counts = F.transform("texts", lambda t: F.when(long(t), small).otherwise(num_tokens(t)))
     cut = whole.withColumn("starts", run_starts(counts, small, False, F.transform("texts", long)))
@@ -210,19 +237,28 @@ CONTENTS = ("contents", "目录", "目次", "tableofcontents", "致谢", "acknow
 
 
 def drop_contents(df: DataFrame, reach: int = 128) -> DataFrame:
-    """Without a table of contents: from its heading to where, within ``reach`` lines, its first entry's start comes again;
-    the heading and blank lines below it alone if that doesn't come."""
-    at = F.array_position(F.transform("lines", lambda x: F.lower(F.regexp_replace(x, "[ 　\t\r]+", "")).isin(*CONTENTS)), True)
-    lines = df.filter("text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("lines")).withColumn("_at", at)
-    below = F.slice("lines", F.col("_at") + 1, F.size("lines"))
-    rest = lines.withColumn("_below", below).withColumn("_first", F.array_position(F.transform("_below", lambda x: trim(x) != ""), True))
-    rest = rest.withColumn("_rest", F.when(F.col("_first") > 0, F.slice("_below", F.col("_first"), F.size("_below"))).otherwise(F.array().cast("array<string>")))
-    entry = trim(F.get("_rest", F.lit(0)))
-    head = F.when(entry.contains(" "), F.array_join(F.slice(F.split(entry, "[ \t]+"), 1, 2), " ")).otherwise(F.left(entry, F.lit(3)))
-    rest = rest.withColumn("_head", head)
-    again = rest.withColumn("_again", F.array_position(F.transform("_rest", lambda x, j: (j > 0) & (j < reach) & F.startswith(trim(x), F.col("_head"))), True))
-    left = F.concat(F.slice("lines", 1, F.col("_at") - 1), F.slice("_rest", F.when(F.col("_again") > 0, F.col("_again")).otherwise(1), F.size("_rest")))
-    return again.select("doc_id", F.lit(0).alias("chunk_order"), F.array_join(F.when(F.col("_at") > 0, left).otherwise(F.col("lines")), "\n").alias("text"))
+    """Without tables of contents: the heading, blank lines below it and the first entry go, and what comes between that
+    and the next line, of ``reach`` at most, that starts as the entry does, if there is one: with its first two words in
+    English texts, its first three characters in others. Each heading that is left is treated so, in order."""
+    headings = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.lower(F.regexp_replace(x, "[ 　\t\r]+", "")).isin(*CONTENTS), i)), lambda i: i.isNotNull())
+    lines = df.filter("text IS NOT NULL").select("doc_id", is_english(F.col("text")).alias("_eng"), F.split("text", "\n", -1).alias("lines"))
+    marked = lines.withColumn("_at", headings(F.col("lines"))).withColumn("n", F.size("lines"))
+
+    def cut(state: Column, at: Column) -> Column:
+        """``state``: the lines dropped so far, as (first, next) pairs, and the line to go on at."""
+        below = F.slice("lines", at + 2, F.col("n"))
+        entry_at = at + F.array_position(F.transform(below, lambda x: trim(x) != ""), True).cast("int")
+        entry = trim(F.get("lines", entry_at))
+        start = F.when(F.col("_eng"), F.array_join(F.slice(F.split(entry, "[ \t]+"), 1, 2), " ")).otherwise(F.left(entry, F.lit(3)))
+        again = F.array_position(F.transform(F.slice("lines", entry_at + 2, F.lit(reach)), lambda x: F.startswith(trim(x), start)), True).cast("int")
+        to = F.when(entry_at == at, F.col("n")).otherwise(entry_at + F.greatest(again, F.lit(1)))
+        return F.when(at < state.next, state).otherwise(F.struct(F.array_append(state.gone, F.struct(at.alias("first"), to.alias("next"))).alias("gone"), to.alias("next")))
+
+    none = F.struct(F.array().cast("array<struct<first:int,next:int>>").alias("gone"), F.lit(0).alias("next"))
+    gone = F.aggregate("_at", none, cut).gone
+    left = F.filter("lines", lambda x, i: ~F.exists("_gone", lambda g: (i >= g["first"]) & (i < g["next"])))
+    kept = F.when(F.size("_gone") == 0, F.col("lines")).otherwise(left)
+    return marked.withColumn("_gone", F.when(F.size("_at") > 0, gone).otherwise(none.gone)).select("doc_id", F.lit(0).alias("chunk_order"), F.array_join(kept, "\n").alias("text"))
 
 
 FENCE = r"^[ \t]*```"
@@ -264,12 +300,25 @@ def markdown_qa(df: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1).alias("n"), "question", "answer")
 
 
-TABLES = r"(?:^|\n)((?:\|[^\n]*\|[ \t]*(?:\n|$))+)|(<table[^>]*>[\s\S]*?</table>)"
+#: Tables stand on lines of their own: a head, a line of dashes, rows. Rows repeat possessively, so that long tables need no
+#: deep recursion. Bordered lines hold three bars or more and begin with one; others begin without a blank and hold one.
+BORDERED = r"(?:\n|^)(?:\|(?:[^\n|]*\|){2}[^\n]*\n)\|\s*[:-]+[-| :]*\s*\|[^\n]*\n(?:\|(?:[^\n|]*\|){2}[^\n]*\n)++"
+BORDERLESS = r"(?:\n|^)\S[^\n]*?\|[^\n]*\n\s*[:-]+[-| :]*\s*[^\n]*\n(?:\S[^\n]*?\|[^\n]*\n)++"
+WRAPPED = r"<html[^>]*>\s*<body[^>]*>\s*<table[^>]*>.*?</table>\s*</body>\s*</html>|<body[^>]*>\s*<table[^>]*>.*?</table>\s*</body>|<table[^>]*>.*?</table>"
+HTML_TABLE = rf"(?is)(?:\n|^)\s*(?:{WRAPPED})\s*(?=\n|$)"
+TABLE_ATTRIBUTES = r"(?i)<((?:table|td|tr|th|tbody|thead|div)\w*)[^>]*>"
 
 
 def markdown_tables(df: DataFrame) -> DataFrame:
-    """(doc_id, tables, text): bordered and HTML tables, and the text without them."""
-    return df.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(TABLES), F.lit(0)), lambda t: F.btrim(t, F.lit("\n"))).alias("tables"), F.regexp_replace("text", TABLES, "\n").alias("text"))
+    """(doc_id, tables, text): bordered, then borderless, then HTML tables, and the text with a blank line for each; tags of
+    HTML tables lose their attributes. A table's last row ends with a line feed; a line between bars alone is none."""
+    out = df.select("doc_id", "text", F.array().cast("array<string>").alias("tables"))
+    for pattern in (BORDERED, BORDERLESS, HTML_TABLE):
+        if pattern is HTML_TABLE:
+            out = out.withColumn("text", F.regexp_replace("text", TABLE_ATTRIBUTES, "<$1>"))
+        found = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda t: F.btrim(t, F.lit("\n")))
+        out = out.select("doc_id", F.regexp_replace("text", pattern, "\n\n").alias("text"), F.concat("tables", found).alias("tables"))
+    return out.select("doc_id", "tables", "text")
 
 
 #: HTML elements.

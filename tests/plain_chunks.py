@@ -100,7 +100,7 @@ def choose_family(lines: list[str]) -> int:
     return hits.index(max(hits)) if max(hits) else -1
 
 
-def tree_chunks(lines: list[str], depth: int) -> list[str]:
+def outline_chunks(lines: list[str], depth: int) -> list[str]:
     """Bodies under the headings above them, down to ``depth`` levels; a heading without a body gives its own path."""
     family = choose_family(lines)
     path: dict[int, str] = {}
@@ -128,11 +128,37 @@ def tree_chunks(lines: list[str], depth: int) -> list[str]:
     return out
 
 
+def tree_chunks(lines: list[str], depth: int) -> list[str]:
+    """A chunk per heading with none below it, under the headings above with their bodies; levels are those that occur."""
+    family = choose_family(lines)
+    if family < 0:
+        return [x for x in lines if x.strip()]
+    rows = []
+    for x in lines:
+        x = x.replace("　", " ").strip()
+        said = x.split("@")[0].strip()
+        if len(said) > 1 and not re.fullmatch("[0-9]+", said):
+            rows.append((next((k for k, p in enumerate(HEADINGS[family], 1) if re.match(p, x)), 0), x))
+    levels = sorted({k for k, _ in rows if k})[:depth]
+    parts: list[tuple[int, list[str]]] = []
+    for k, x in rows:
+        if k in levels or not parts:
+            parts.append((k if k in levels else 0, [x]))
+        else:
+            parts[-1][1].append(x)
+    out, open_ = [], []
+    for n, (k, body) in enumerate(parts):
+        open_ = [p for p in open_ if 0 < p[0] < k] + [(k, body)]
+        if k == 0 or n + 1 == len(parts) or parts[n + 1][0] <= k:
+            out.append("\n".join(x for _, b in open_ for x in b))
+    return out
+
+
 def hierarchical_chunks(lines: list[str], depth: int, small: int = 218) -> list[str]:
     """Each line under the nearest headings above it; neighbours of one line are packed below ``small`` tokens."""
     out: list[str] = []
     n = small
-    for c in tree_chunks(lines, depth):
+    for c in outline_chunks(lines, depth):
         if "\n" not in c and out and n + count_tokens(c) < small:
             out[-1] += "\n" + c
             n += count_tokens(c)
@@ -143,20 +169,21 @@ def hierarchical_chunks(lines: list[str], depth: int, small: int = 218) -> list[
 
 
 def drop_contents(lines: list[str], reach: int = 128) -> list[str]:
-    """Without a table of contents: from its heading to where its first entry's start comes again."""
-    for i, line in enumerate(lines):
-        if re.fullmatch(r"(contents|目录|目次|table of contents|致谢|acknowledge(ments)?)", re.sub(r"[ 　]+", "", line).lower()) or line.strip().lower() == "table of contents":
-            rest = lines[i + 1 :]
-            while rest and not rest[0].strip():
-                rest = rest[1:]
-            if not rest:
-                return lines[:i]
-            head = " ".join(rest[0].split()[:2]) if " " in rest[0].strip() else rest[0].strip()[:3]
-            for j in range(1, min(reach, len(rest))):
-                if rest[j].strip().startswith(head):
-                    return lines[:i] + rest[j:]
-            return lines[:i] + rest
-    return lines
+    """Without tables of contents, heading by heading."""
+    text = "\n".join(lines)
+    english = len(re.findall(r"""[`a-zA-Z0-9\s.,':;/"?<>!()-]""", text)) / max(len(text), 1) > 0.8
+    out, i = [], 0
+    while i < len(lines):
+        if not re.fullmatch("contents|目录|目次|tableofcontents|致谢|acknowledge(ments)?", re.sub(r"[ 　\t\r]+", "", lines[i]).lower()):
+            out.append(lines[i])
+            i += 1
+            continue
+        entry = next((k for k in range(i + 1, len(lines)) if lines[k].strip()), None)
+        if entry is None:
+            break
+        head = " ".join(lines[entry].split()[:2]) if english else lines[entry].strip()[:3]
+        i = next((k for k in range(entry + 1, min(entry + 1 + reach, len(lines))) if lines[k].strip().startswith(head)), entry + 1)
+    return out
 
 
 def markdown_blocks(text: str) -> list[tuple[str, int, int, str]]:

@@ -15,7 +15,7 @@ WORDS = ["one", "two.", "three!", "Four", "五", "六。", "- item", "> said", "
 
 def documents():
     rng = random.Random(3)
-    out = ["", "\n", "a", "```\ncode", "# only", "Contents", "contents\n\n", "x\n目 录\n\nAb c d\nmore\nAb c again\nend"]
+    out = ["", "\n", "a", "```\ncode", "# only", "Contents", "contents\nAa\ntext\nAcknowledge\nBb\nrest\nBb", "contents\n\n", "x\n目 录\n\nAb c d\nmore\nAb c again\nend"]
     for _ in range(60):
         lines = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 4))) if rng.random() < 0.7 else rng.choice(WORDS) for _ in range(rng.randint(1, 40))]
         out.append("\n".join(lines))
@@ -61,6 +61,29 @@ def test_tree_and_hierarchical(docs, depth):
     hold(texts(C.hierarchical_chunks(docs, depth, 12)), lambda x: plain.hierarchical_chunks(x.split("\n"), depth, 12))
 
 
+def test_levels_are_those_that_occur(spark):
+    df = spark.createDataFrame([(1, "## Aa\nbody\n#### Bb\nmore\n#### Cc\nend"), (2, "no\nheading")], "doc_id long, text string")
+    assert texts(C.tree_chunks(df, 2)) == {1: ["## Aa\nbody\n#### Bb\nmore", "## Aa\nbody\n#### Cc\nend"], 2: ["no", "heading"]}
+    assert texts(C.tree_chunks(df, 1)) == {1: ["## Aa\nbody\n#### Bb\nmore\n#### Cc\nend"], 2: ["no", "heading"]}
+
+
+def test_tables_in_markdown(spark):
+    long = "| h | i |\n|---|---|\n" + "| 1 | 2 |\n" * 20_000
+    cases = {
+        "x\n| a | b |\n|---|---|\n| 1 | 2 |\ny": (["| a | b |\n|---|---|\n| 1 | 2 |"], "x\n\ny"),
+        "x\n| line |\ny": ([], "x\n| line |\ny"),
+        "x\n| a | b |\n| 1 | 2 |\ny": ([], "x\n| a | b |\n| 1 | 2 |\ny"),
+        "a | b\n--- | ---\n1 | 2\n3 | 4\nend": (["a | b\n--- | ---\n1 | 2\n3 | 4"], "\n\nend"),
+        "x\n<TABLE id=1><tr><td>1</td></tr></TABLE>\ny": (["<TABLE><tr><td>1</td></tr></TABLE>"], "x\n\n\ny"),
+        "a <table><tr></tr></table>": ([], "a <table><tr></tr></table>"),
+        long + "z": ([long.strip("\n")], "\n\nz"),
+        "": ([], ""),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: (r.tables, r.text) for r in C.markdown_tables(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_family(docs):
     got = {r.doc_id: r.family for r in C.heading_family(docs).collect()}
     assert got == {k: plain.choose_family(x.split("\n")) for k, x in enumerate(documents())}
