@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import communities as M
 from ..operators import graph as G
 from ..registry import Tables, query
 
@@ -212,7 +213,7 @@ def components(t: Tables) -> DataFrame:
 @query("g14_communities")
 def communities(t: Tables) -> DataFrame:
     edges = part_edges(t).select("src", "dst", "weight")
-    return G.communities(edges, G.degrees(edges)).withColumn("weight", F.round("weight", 6))
+    return M.communities(edges, G.degrees(edges)).withColumn("weight", F.round("weight", 6))
 
 
 @query("g15_community_context", _EDGES + """, m AS (SELECT 'P' || p_partkey AS name, p_brand AS community FROM part)

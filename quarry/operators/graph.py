@@ -226,33 +226,6 @@ def label_rounds(edges: DataFrame, rounds: int) -> DataFrame:
     return now
 
 
-def communities(edges: DataFrame, ranks: DataFrame, max_size: int = 12, levels: int = 3, rounds: int = 6) -> DataFrame:
-    """(level, community, name, weight): label propagation, once more inside communities above ``max_size``; weights
-    are summed ranks over the level's largest."""
-    found, inside, parent = [], edges.select("src", "dst", "weight"), None
-    for level in range(levels):
-        labels = label_rounds(inside, rounds)
-        if parent is not None:
-            labels = labels.join(parent, "name").select("name", F.concat_ws("/", "up", "label").alias("label"))
-        labels = checkpoint(labels)
-        sums = labels.join(ranks, "name", "left").groupBy("label").agg(F.sum(F.coalesce("rank", F.lit(1))).alias("w"), F.count(F.lit(1)).alias("n"))
-        top = sums.agg(F.max("w")).first()[0]
-        found.append(labels.join(sums, "label").select(F.lit(level).alias("level"), F.col("label").alias("community"), "name", (F.col("w") / F.lit(top)).alias("weight")))
-        big = labels.join(sums.filter(F.col("n") > max_size), "label", "left_semi")
-        if big.isEmpty():
-            break
-        parent = big.select("name", F.col("label").alias("up"))
-        a, b = big.select(F.col("name").alias("src"), F.col("label").alias("la")), big.select(F.col("name").alias("dst"), F.col("label").alias("lb"))
-        # the weakest links inside go first, so that the next level can part what hung together
-        kept = inside.join(a, "src").join(b, "dst").filter("la = lb")
-        mean = kept.groupBy("la").agg(F.avg("weight").alias("_m"))
-        inside = checkpoint(kept.join(mean, "la").filter("weight >= _m").select("src", "dst", "weight"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
-
-
 def community_context(members: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(community, kind, a, b, description): entities of communities of two or more, and edges inside, heaviest first."""
     sized = members.join(members.groupBy("community").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2"), "community", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import aggregates as A
 from quarry.operators import chunking as C
+from quarry.operators import communities as M
 from quarry.operators import graph as G
 from quarry.operators import records as P
 from quarry.operators import retrieval as R
@@ -71,7 +72,7 @@ def test_components_of_a_path(spark):
 def test_communities_cover_and_scale(spark):
     rows = [(f"a{i}", f"a{j}", 2.0) for i in range(5) for j in range(i)] + [(f"b{i}", f"b{j}", 2.0) for i in range(5) for j in range(i)] + [("a0", "b0", 0.1)]
     edges = spark.createDataFrame(rows, "src string, dst string, weight double")
-    got = G.communities(edges, G.degrees(edges)).filter("level = 0").collect()
+    got = M.communities(edges, G.degrees(edges)).filter("level = 0").collect()
     assert {r.name for r in got} == {f"{c}{i}" for c in "ab" for i in range(5)} and max(r.weight for r in got) == 1.0
     assert len({r.community for r in got if r.name[0] == "a"}) == 1
 
