@@ -98,3 +98,11 @@ def test_highlight_of_every_script(spark, tmp_path):
     assert got == ["Second has a <em>KEY</em> here, <em>key</em> key", "我爱<em><em>中国</em>人</em>。他在<em>中国</em>...没有 <em>key</em>", "no match here", "größen<em>schlüssel</em> über <em>schlüssel</em> äöüß", "", "", "<em>c++</em> is it"]
     put(spark, tmp_path, "documents", [(1, "中国的TION人"), (2, "Straße")], "doc_id long, text string")
     assert {r["doc_id"]: r["h"] for r in QUERIES["t13_highlight"](spark, str(tmp_path)).collect()} == {1: md5("中国的<em>tion</em>人".encode()).hexdigest(), 2: md5("Straße".encode()).hexdigest()}
+
+
+def test_every_vector_asks_for_messages(spark, tmp_path):
+    """Conversation 2 begins at turn 1 and 3 has no turn at all, yet their vectors ask."""
+    put(spark, tmp_path, "conversations", [(1, 0, "user", "alpha beta"), (2, 1, "user", "gamma"), (4, 0, "user", "delta")], "conv_id long, turn long, role string, text string")
+    put(spark, tmp_path, "embeddings", [(k, [1.0, 0.1 * k]) for k in range(1, 5)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.id) for r in QUERIES["m3_search_messages"](spark, str(tmp_path)).collect()}
+    assert got == {(q * 1000, d) for q in range(1, 5) for d in (1000, 4000)}
