@@ -56,7 +56,7 @@ _FULLTEXT = """,
 h AS (SELECT query_id, doc_id, sum(2 * ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)) AS score, count(*) AS found FROM qt JOIN dt USING (term) JOIN f USING (term), nn GROUP BY 1, 2),
 m AS (SELECT query_id, doc_id, score FROM h JOIN (SELECT query_id, count(*) AS size FROM qt GROUP BY 1) USING (query_id) WHERE found >= ceil(0.3 * size))"""
 
-#: Documents of a query that token and hybrid scores are worked out for: the best by text.
+#: Documents of a query that pages of token scores are worked out for: the best by text.
 WINDOW = 64
 _CANDIDATES = _FULLTEXT + f""",
 cand AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM m) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {WINDOW})"""
@@ -78,20 +78,35 @@ dk AS (SELECT DISTINCT doc_id, term AS key FROM dt UNION SELECT DISTINCT doc_id,
 tk AS (SELECT query_id, doc_id, (1e-9 + sum(w)) / (1e-9 + any_value(total)) AS tksim FROM cand JOIN qk USING (query_id) JOIN dk USING (doc_id, key) JOIN (SELECT query_id, sum(w) AS total FROM qk GROUP BY 1) USING (query_id) GROUP BY 1, 2)"""
 
 
+#: The same for all documents that share a key with a query.
+_ALL_KEYS = _KEYS.replace("FROM cand JOIN qk USING (query_id) JOIN dk USING (doc_id, key)", "FROM qk JOIN dk USING (key)")
+
+
+def doc_keys(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, key): terms and neighbouring pairs of documents, of those that ``keys`` holds."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.concat_ws(" ", F.element_at("tokens", i), F.element_at("tokens", i + 1)))
+    own = tokens.select("doc_id", F.explode(F.array_distinct(F.when(F.size("tokens") > 1, F.concat("tokens", pairs)).otherwise(F.col("tokens")))).alias("key"))
+    return own.join(keys.select("key").distinct(), "key")
+
+
+def all_token_pairs(t: Tables) -> DataFrame:
+    """Similarities of all queries and documents that share a key."""
+    keys = checkpoint(W.weighted_keys(query_weights(t), "query_id"))
+    return W.token_similarity(keys, doc_keys(doc_tokens(t), keys), "query_id", "doc_id")
+
+
 def token_pairs(t: Tables) -> DataFrame:
     """Similarities of each query and its window of documents. Of the documents, only those of windows are cut into keys, and
     only keys of queries are kept."""
     cands = checkpoint(text_top(t, WINDOW).select("query_id", "doc_id"))
     keys = checkpoint(W.weighted_keys(query_weights(t), "query_id"))
     tokens = doc_tokens(t).join(cands.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.concat_ws(" ", F.element_at("tokens", i), F.element_at("tokens", i + 1)))
-    own = tokens.select("doc_id", F.explode(F.array_distinct(F.when(F.size("tokens") > 1, F.concat("tokens", pairs)).otherwise(F.col("tokens")))).alias("key"))
-    return W.token_similarity(cands, keys, own.join(keys.select("key").distinct(), "key"), "query_id", "doc_id")
+    return W.token_similarity(keys, doc_keys(tokens, keys), "query_id", "doc_id", cands)
 
 
-@query("w3_token_similarity", _BASE + _WEIGHTS + _CANDIDATES + _KEYS + " SELECT query_id, doc_id, round(tksim, 6) AS tksim FROM tk")
+@query("w3_token_similarity", _BASE + _WEIGHTS + _ALL_KEYS + " SELECT query_id, doc_id, round(tksim, 6) AS tksim FROM tk")
 def token_similarity(t: Tables) -> DataFrame:
-    return token_pairs(t).withColumn("tksim", F.round("tksim", 6))
+    return all_token_pairs(t).withColumn("tksim", F.round("tksim", 6))
 
 
 @query("w4_cosine", """

@@ -106,3 +106,19 @@ def test_every_vector_asks_for_messages(spark, tmp_path):
     put(spark, tmp_path, "embeddings", [(k, [1.0, 0.1 * k]) for k in range(1, 5)], "vec_id long, embedding array<float>")
     got = {(r.query_id, r.id) for r in QUERIES["m3_search_messages"](spark, str(tmp_path)).collect()}
     assert got == {(q * 1000, d) for q in range(1, 5) for d in (1000, 4000)}
+
+
+def similar_texts(spark, folder):
+    """More documents than any window share a word with the query, most of them one word in four."""
+    words = ["quartz", "amber", "cobalt", "indigo"]
+    docs = [(d, words[d % 4] + " other" if d % 5 else " ".join(words)) for d in range(1, 101)] + [(200, "nothing here"), (201, None)]
+    put(spark, folder, "documents", docs, "doc_id long, text string")
+    put(spark, folder, "benchmark", [(2, "quartz amber cobalt indigo"), (3, "absent")], "item_id long, text string")
+    put(spark, folder, "embeddings", [(k, [1.0, 0.5]) for k in (2, 3, 7)], "vec_id long, embedding array<float>")
+    return {(2, d): len(words) if d % 5 == 0 else 1 for d in range(1, 101)}
+
+
+def test_token_similarity_of_all_pairs(spark, tmp_path):
+    want = similar_texts(spark, tmp_path)
+    got = {(r.query_id, r.doc_id): r.tksim for r in QUERIES["w3_token_similarity"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all((got[k] > 0.99) == (n == 4) for k, n in want.items())
