@@ -131,13 +131,13 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-@query("w5_hybrid_similarity", _BASE + _WEIGHTS + _CANDIDATES + _KEYS + _VECTORS + """,
+@query("w5_hybrid_similarity", _BASE + _WEIGHTS + _ALL_KEYS + _VECTORS + """,
 p AS (SELECT tk.query_id, tk.doc_id, tksim, CASE WHEN tk.query_id % 2 = 0 THEN coalesce(vtsim, 0) ELSE 0 END AS vtsim FROM tk LEFT JOIN vt ON tk.query_id = vt.query_id AND tk.doc_id = vt.doc_id)
 SELECT query_id, doc_id, round(CASE WHEN bool_or(vtsim <> 0) OVER (PARTITION BY query_id) THEN 0.3 * tksim + 0.7 * vtsim ELSE tksim END, 6) AS sim FROM p""")
 def hybrid_similarity(t: Tables) -> DataFrame:
     """Texts and vectors of the same id; every other query has no vector."""
     asked = vector_queries(t).filter("query_id % 2 = 0").withColumnRenamed("vec", "_q")
-    pairs = token_pairs(t).join(asked, "query_id", "left").join(vectors(t).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    pairs = all_token_pairs(t).join(asked, "query_id", "left").join(vectors(t).withColumnRenamed("id", "doc_id"), "doc_id", "left")
     scored = pairs.select("query_id", "doc_id", "tksim", F.coalesce(W.cosine("_q", "vec"), F.lit(0.0)).alias("vtsim"))
     return W.hybrid_similarity(scored, "query_id").select("query_id", "doc_id", F.round("sim", 6).alias("sim"))
 

@@ -122,3 +122,9 @@ def test_token_similarity_of_all_pairs(spark, tmp_path):
     want = similar_texts(spark, tmp_path)
     got = {(r.query_id, r.doc_id): r.tksim for r in QUERIES["w3_token_similarity"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all((got[k] > 0.99) == (n == 4) for k, n in want.items())
+
+
+def test_hybrid_similarity_of_all_pairs(spark, tmp_path):
+    want = similar_texts(spark, tmp_path)
+    got = {(r.query_id, r.doc_id): r.sim for r in QUERIES["w5_hybrid_similarity"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and got[2, 7] > 0.7 and got[2, 9] < 0.1 and abs(got[2, 10] - 0.3) < 1e-3
