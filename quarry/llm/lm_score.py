@@ -27,17 +27,19 @@ is the unknown one, of probability 1. Columns besides id and text are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod, hide_null, map_batches, show_null, table
+from .common import checkpoint, crc_mod, hide_null, ready, show_null, table
+from .text_ids import slices
 
 END = b""
 #: Stands before a text.
@@ -46,8 +48,8 @@ START = -1
 HELD = 400_000
 #: Floats in a block of summed gradients, and parts that one group adds up.
 BLOCK, FAN_IN = 1 << 16, 16
-#: Tokens a batch holds.
-SLICE = 1 << 14
+#: Tokens a batch holds; bytes of text cut into tokens at once.
+SLICE, CUT = 1 << 14, 1 << 21
 BUCKET, TYPES_A_WEIGHT, READ = 1024, 8, 16
 #: Classes, with that of rare tokens; how far back the features of classes and of nodes look.
 CLASSES = 16
@@ -59,21 +61,56 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def cut_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, places, lengths): the distinct tokens, each token's place among them, and the tokens of each text, as ``tokens``
+    has them. ``texts``: binary."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    coded, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+    words, index = coded.dictionary, coded.indices.to_numpy()
+    end = pc.index(words, "").as_py()  # blanks at both ends of a text leave empty words
+    if end < 0:
+        words, end = pa.concat_arrays([words, pa.array([""])]), len(words)
+    full = index != end
+    upto = np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]]
+    held, n = np.diff(upto), len(texts)
+    places = np.full(upto[-1] + n, end, np.int64)
+    places[np.arange(upto[-1]) + np.repeat(np.arange(n), held)] = index[full]
+    return words.view(pa.binary()), places, held + 1
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(rows, words, places, lengths) of runs of rows of about ``CUT`` bytes of text."""
+    for b in batches:
+        texts = b.column(b.schema.get_field_index("text"))
+        for first, n in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), CUT):
+            yield b.slice(first, n), *cut_tokens(texts.slice(first, n))
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, with the workers made ready."""
+    ready(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     """(token binary, c long) over all rows."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for b in batches:
-            for text in b["text"]:
-                held.update(tokens(text))
-                if len(held) > HELD:
-                    yield pd.DataFrame({"token": list(held), "c": list(held.values())})
-                    held.clear()
-        yield pd.DataFrame({"token": list(held), "c": list(held.values())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, words, places, _ in cut_batches(batches):
+            held.append(pa.table({"token": words, "c": np.bincount(places, minlength=len(words))}))
+            size += len(words)
+            if size > HELD:
+                held = [pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["token", "c"])]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        for t in held:
+            yield from t.to_batches()
 
     plain = docs.select(F.col(text_col).cast("binary").alias("text"))
-    return checkpoint(map_batches(plain, count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    return checkpoint(map_arrow(plain, count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
 
 
 def frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
@@ -95,8 +132,12 @@ def frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
 class Codes(dict):
     """Tokens to codes: frequent ones by rank; a rare one to its hash, behind those."""
 
-    def __missing__(self, token: bytes) -> int:
-        return len(self) + zlib.crc32(token)
+    def of(self, words: pa.Array) -> np.ndarray:
+        words = words.to_numpy(zero_copy_only=False)
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        rare = words[found < 0]
+        found[found < 0] = len(self) + np.fromiter(map(zlib.crc32, rare), np.int64, len(rare))
+        return found
 
 
 class Leaves:
@@ -196,7 +237,8 @@ class Step:
         self.who, node, self.right = leaves.paths(self.leaf)
         self.bias = leaves.bias[node]
         spread = node.view(np.uint64) * np.uint64(0x94D049BB133111EB)
-        self.cells = [cells(k[self.who] ^ spread, len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
+        n = leaves.lengths[self.leaf]
+        self.cells = [cells(np.repeat(k, n) ^ spread, len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
         self.leaves, self.w = leaves, w
 
     def log_classes(self) -> np.ndarray:
@@ -295,20 +337,12 @@ def merge_parts(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
     return out
 
 
-def streams(words: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+def streams(words: pa.Array, places: np.ndarray, lengths: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """(codes with three start marks before each text, the places of tokens)."""
-    a = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
-    ends = np.cumsum([len(w) for w in words])
-    a = np.insert(a, np.repeat(ends - [len(w) for w in words], 3), START)
-    return a, (a != START).nonzero()[0]
-
-
-def some_texts(b: pd.DataFrame, size: int = SLICE * 6) -> Iterator[pd.DataFrame]:
-    """Runs of rows of about ``size`` bytes of text."""
-    at = b["text"].map(len, na_action="ignore").fillna(0).to_numpy(np.int64).cumsum() // size
-    for lo, hi in zip(cuts := [0, *((at[1:] != at[:-1]).nonzero()[0] + 1).tolist(), len(b)], cuts[1:], strict=False):
-        if lo < hi:
-            yield b.iloc[lo:hi]
+    at = np.arange(len(places)) + np.repeat(3 * np.arange(1, len(lengths) + 1), lengths)
+    a = np.full(len(places) + 3 * len(lengths), START, np.int64)
+    a[at] = codes.of(words)[places]
+    return a, at
 
 
 @dataclass
@@ -347,20 +381,19 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = 2, rate: float = 0.3
     for turn in range(rounds if n else 0):
         first, shared = turn == 0, docs.sparkSession.sparkContext.broadcast(w)
 
-        def learn(batches: Iterator[pd.DataFrame], shared=shared, first=first) -> Iterator[pd.DataFrame]:
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             sums = new_sums(shared.value, first)
-            for b in batches:
-                for some in some_texts(b):
-                    s, at = streams([tokens(t) for t in some["text"]], shared_codes.value)
-                    for k in range(0, len(at), SLICE):
-                        sums.add(Step(shared_leaves.value, shared.value, s, at[k : k + SLICE]))
+            for _, words, places, lengths in cut_batches(batches):
+                s, at = streams(words, places, lengths, shared_codes.value)
+                for k in range(0, len(at), SLICE):
+                    sums.add(Step(shared_leaves.value, shared.value, s, at[k : k + SLICE]))
             flat, task = sums.flat(), TaskContext.get().partitionId()
             for k in range(0, len(flat), BLOCK):
-                yield pd.DataFrame({"task": [task], "block": [k // BLOCK], "payload": [flat[k : k + BLOCK].tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([k // BLOCK], pa.int32()), pa.array([flat[k : k + BLOCK].tobytes()])], names=["task", "block", "payload"])
 
-        total = merge_parts(map_batches(dealt, learn, "task int, block int, payload binary"), tasks, len(new_sums(w, first).flat()))
+        total = merge_parts(map_arrow(dealt, learn, "task int, block int, payload binary"), tasks, len(new_sums(w, first).flat()))
         w = update(w, total, leaves, first, rate, ridge)
     return Model(codes, c, leaves, mass, w, n, v)
 
@@ -369,35 +402,34 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     """Per row: id, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def known_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         k = len(m.codes)
         log_counts = np.append(np.log10(m.counts + 1), 0.0)
         in_bucket = np.append(np.zeros(k), -np.log10(m.bucket_mass))
-        for b in batches:
-            for some in some_texts(b):
-                words = [tokens(t) for t in some["text"]]
-                s, at = streams(words, m.codes)
-                owner = np.cumsum(s == START) // 3 - 1
-                sums = np.zeros((3, len(words)))
-                for j in range(0, len(at), SLICE):
-                    places = at[j : j + SLICE]
-                    word, step = s[places], Step(m.leaves, m.weights, s, places)
-                    lp = step.log_probability() + in_bucket[step.leaf]
-                    for row, x in enumerate((word < k, log_counts[np.minimum(word, k)], lp)):
-                        sums[row] += np.bincount(owner[places], weights=x, minlength=len(words))
-                tails = [Counter() for _ in words]
-                first = np.cumsum([0, *map(len, words)]) + 3 * np.arange(1, len(words) + 2)  # where texts begin
-                rare = (s >= k).nonzero()[0]
-                for text, place in zip(owner[rare].tolist(), (rare - first[owner[rare]]).tolist(), strict=True):
-                    tails[text][words[text][place]] += 1
-                yield pd.DataFrame({
-                    "id": some["id"], "n_tokens": np.bincount(owner[at], minlength=len(words)), "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2],
-                    "tail": [list(t) for t in tails], "tail_n": [list(t.values()) for t in tails],
-                })
+        for some, words, spots, lengths in cut_batches(batches):
+            s, at = streams(words, spots, lengths, m.codes)
+            n = len(lengths)
+            owner = np.repeat(np.arange(n), lengths)
+            sums = np.zeros((3, n))
+            for j in range(0, len(at), SLICE):
+                places = at[j : j + SLICE]
+                word, step, lo = s[places], Step(m.leaves, m.weights, s, places), owner[j]
+                lp = step.log_probability() + in_bucket[step.leaf]
+                for row, x in enumerate((word < k, log_counts[np.minimum(word, k)], lp)):
+                    found = np.bincount(owner[j : j + SLICE] - lo, weights=x)
+                    sums[row, lo : lo + len(found)] += found
+            rare = s[at] >= k
+            pair, times = np.unique(owner[rare] * len(words) + spots[rare], return_counts=True)
+            ends = np.concatenate(([0], np.bincount(pair // len(words), minlength=n).cumsum()))
+            tail = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (words.take(pa.array(pair % len(words))), pa.array(times, pa.int32())))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array(lengths, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *tail],
+                names=["id", "n_tokens", "known", "base", "score", "tail", "tail_n"],
+            )
 
     plain = docs.select(hide_null(F.col(id_col)).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = map_batches(plain, known_part, "id long, n_tokens long, known long, base double, score double, tail array<binary>, tail_n array<int>")
+    parts = map_arrow(plain, known_part, "id long, n_tokens long, known long, base double, score double, tail array<binary>, tail_n array<int>")
     parts = checkpoint(parts.withColumn("row", F.monotonically_increasing_id()))
     rare = parts.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.tail_n").alias("tf"))
     joined = rare.join(counts, "token").select("row", "tf", "c")
