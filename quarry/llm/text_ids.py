@@ -14,11 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words that a Python worker keeps with their ids, and their parts; of more words the half used last stays.
+#: Distinct words that a Python worker keeps with their ids; of more the half used last stays.
 HELD = 500_000
 
+#: Parts of words kept. Words kept don't ask for theirs again, so few are enough.
+PARTS = 50_000
+
 #: Bytes of text encoded at once.
-SLICE = 8_000_000
+SLICE = 2_000_000
 
 #: New words learned at once.
 LEARNED = 50_000
@@ -86,7 +89,7 @@ class TextEncoder:
         flat = np.empty(0, "<u4")
         if len(odd) < len(words):
             found = self.cut(text.lower() + "\n")
-            if len(self.parts) > self.held:
+            if len(self.parts) > min(self.held, PARTS):
                 self.parts.clear()
             self.parts["\n"] = _END.to_bytes(4, "little")
             self.parts |= {p: self.part(p) for p in set(found) - self.parts.keys()}
