@@ -29,7 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -130,13 +130,17 @@ def frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
 
 
 class Codes(dict):
-    """Tokens to codes: frequent ones by rank; a rare one to its hash, behind those."""
+    """Tokens to codes: frequent ones by rank, in which order they stand here; a rare one to its hash, behind those."""
+
+    @cached_property
+    def frequent(self) -> pa.Array:
+        return pa.array(list(self), pa.binary())
 
     def of(self, words: pa.Array) -> np.ndarray:
-        words = words.to_numpy(zero_copy_only=False)
-        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
-        rare = words[found < 0]
-        found[found < 0] = len(self) + np.fromiter(map(zlib.crc32, rare), np.int64, len(rare))
+        known = pc.index_in(words, value_set=self.frequent)
+        found, rare = known.fill_null(0).to_numpy().astype(np.int64), known.is_null()
+        hashes = map(zlib.crc32, words.filter(rare).to_numpy(zero_copy_only=False))
+        found[rare.to_numpy(zero_copy_only=False)] = len(self) + np.fromiter(hashes, np.int64)
         return found
 
 
@@ -154,8 +158,8 @@ class Leaves:
         self.leaf_class = np.concatenate((of, np.full(len(buckets), self.classes - 1))).astype(np.int64)
         share = np.bincount(self.leaf_class, weights=mass, minlength=self.classes)
         self.prior = share / share.sum()
-        #: Twice the node, and 1 if the path goes right, for each step from a root to a leaf.
-        steps, lengths, bias, base = [], [], [], 0
+        #: How deep each leaf lies, its place in its class's tree, and what comes before that tree's nodes.
+        depths, places, bases, bias, base = [], [], [], [], 0
         for k in range(self.classes):
             m = mass[self.leaf_class == k]
             depth = int(len(m) - 1).bit_length()
@@ -167,26 +171,39 @@ class Leaves:
             inner = np.arange(1 << depth)
             left, right = sums[2 * inner], sums[2 * inner + 1]
             with np.errstate(divide="ignore", invalid="ignore"):
-                bias.append(np.where((left > 0) & (right > 0), np.log(right / left), 0))
-            leaf = (1 << depth) + np.arange(len(m))
-            at = np.stack([leaf >> (depth - level) for level in range(depth)], axis=1) if depth else np.zeros((len(m), 0), np.int64)
-            right_turn = np.stack([leaf >> (depth - level - 1) & 1 for level in range(depth)], axis=1) if depth else at
-            free = sums[2 * at + 1] > 0  # a node with one child decides nothing
-            lengths.append(free.sum(axis=1))
-            steps.append((2 * (base + at) + right_turn)[free])
+                bias.append(np.where(left > 0, np.log(right / left), 0))  # a node with one child, the left, goes there for certain
+            places.append((1 << depth) + np.arange(len(m)))
+            depths.append(np.full(len(m), depth, np.uint8))
+            bases.append(np.full(len(m), base))
             base += 1 << depth
-        self.lengths, self.steps, self.bias = np.concatenate(lengths), np.concatenate(steps), np.concatenate(bias).astype(np.float32)
-        self.starts = self.lengths.cumsum() - self.lengths
+        self.depths, self.places, self.bases = np.concatenate(depths), np.concatenate(places), np.concatenate(bases)
+        self.bias = np.concatenate(bias).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.concatenate(bias)))
+        #: What each node adds to gradient and curvature (the imaginary part) before any round; going right adds 1.
+        self.first = (p * (1 - p) * 1j - p).astype(np.complex64)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < self.frequent, codes, self.frequent + ((codes - self.frequent) & (self.buckets - 1)))
 
     def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into ``leaf``, node, goes right) of every step to each of ``leaf``."""
-        n = self.lengths[leaf]
-        who = np.repeat(np.arange(len(leaf)), n)
-        step = self.steps[np.arange(len(who)) + np.repeat(self.starts[leaf] - (n.cumsum() - n), n)]
-        return who, step >> 1, step & 1
+        """(index into ``leaf``, node, goes right) of every step to each of ``leaf``; steps of equally deep leaves lie together, level
+        by level."""
+        depth = self.depths[leaf]
+        groups = [(d, np.flatnonzero(depth == d)) for d in np.flatnonzero(np.bincount(depth)).tolist()]
+        n = sum(d * len(g) for d, g in groups)
+        who, node, right = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+        first = 0
+        for d, g in groups:
+            part, shape = slice(first, first + d * len(g)), (d, len(g))
+            who[part].reshape(shape)[:] = g
+            down = np.arange(d - 1, -1, -1)[:, None]
+            child = right[part].reshape(shape)
+            np.right_shift(self.places[leaf[g]], down, out=child)
+            np.right_shift(child, 1, out=node[part].reshape(shape))
+            node[part].reshape(shape)[:] += self.bases[leaf[g]]
+            first += d * len(g)
+        right &= 1
+        return who, node, right
 
 
 def mix(x: np.ndarray, k: int) -> np.ndarray:
@@ -234,74 +251,81 @@ class Step:
         self.leaf = leaves.of(stream[at])
         self.kind = leaves.leaf_class[self.leaf]
         self.rows = [cells(k, w.by_class.shape[1]) for k in keys(stream, at, CLASS_FEATURES)]
-        self.who, node, self.right = leaves.paths(self.leaf)
-        self.bias = leaves.bias[node]
-        spread = node.view(np.uint64) * np.uint64(0x94D049BB133111EB)
-        n = leaves.lengths[self.leaf]
-        self.cells = [cells(np.repeat(k, n) ^ spread, len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
+        self.who, self.node, self.right = leaves.paths(self.leaf)
+        spread = self.node.view(np.uint64) * np.uint64(0x94D049BB133111EB)
+        self.cells = [cells(k.take(self.who) ^ spread, len(w.by_node)) for k in keys(stream, at, NODE_FEATURES)]
         self.leaves, self.w = leaves, w
 
-    def log_classes(self) -> np.ndarray:
-        """[token, class] natural logarithms; what goes into the softmax is held within -80 and 60."""
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """([token, class] z, exp(z), their sums [token, 1]); z, of which the softmax is taken, is held within -80 and 60."""
         z = self.w.by_class[0].take(self.rows[0], axis=0)
         for k in range(1, len(self.rows)):
             z += self.w.by_class[k].take(self.rows[k], axis=0)
         z += np.log(self.leaves.prior).astype(np.float32)
         np.clip(z, -80, 60, out=z)
-        z -= np.log(np.exp(z) @ np.ones((z.shape[1], 1), np.float32))
-        return z
+        e = np.exp(z)
+        return z, e, e @ np.ones((e.shape[1], 1), np.float32)
 
-    def slopes(self, prior: bool = False) -> np.ndarray:
-        """The log odds of going right at each step, by the prior alone or with the weights."""
-        z = self.bias.copy()
-        for c in () if prior else self.cells:
+    def slopes(self) -> np.ndarray:
+        """The log odds of going right at each step."""
+        z = self.leaves.bias.take(self.node)
+        for c in self.cells:
             z += self.w.by_node.take(c)
         return z
 
     def log_probability(self) -> np.ndarray:
         """Of each token's leaf, to base 10."""
         z = self.slopes()
-        np.clip(np.where(self.right, -z, z), None, 80, out=z)
-        steps = -np.log(1 + np.exp(z))
-        out = self.log_classes()[np.arange(len(self.kind)), self.kind] + np.bincount(self.who, weights=steps, minlength=len(self.kind))
+        z *= 1 - 2 * self.right.astype(np.float32)
+        np.clip(z, None, 80, out=z)
+        np.exp(z, out=z)
+        z += 1
+        np.log(z, out=z)
+        own, _, total = self.classes()
+        out = own[np.arange(len(self.kind)), self.kind] - np.log(total[:, 0]) - np.bincount(self.who, weights=z, minlength=len(self.kind))
         return out / np.log(10)
 
 
 @dataclass
 class Sums:
-    """Gradients, and in the first round curvatures: p (1 - p) summed over the tokens that meet a weight. For classes the
-    first round needs no more than counts, as probabilities are then the prior everywhere."""
+    """Gradients, and in the first round curvatures: p (1 - p) summed over the tokens that meet a weight, as imaginary parts. For
+    classes the first round needs no more than counts, as probabilities are then the prior everywhere."""
 
-    by_class: np.ndarray
+    by_class: np.ndarray  # [feature, class, row]
     by_node: np.ndarray
-    node_curve: np.ndarray | None
+    first: bool
 
     def add(self, s: Step) -> None:
-        shape = self.by_class.shape
-        if self.node_curve is not None:
+        _, classes, size = self.by_class.shape
+        if self.first:
             for k, rows in enumerate(s.rows):
-                np.add.at(self.by_class[k].reshape(-1), rows * shape[2] + s.kind, 1.0)
+                np.add.at(self.by_class[k].reshape(-1), s.kind * size + rows, 1.0)
+            g = np.empty(len(s.node), np.complex64)  # what take returns has the dtype as unpickled, with which add.at is ten times slower
+            g[:] = s.leaves.first.take(s.node)
+            g.real += s.right
         else:
-            g = -np.exp(s.log_classes())
-            g[np.arange(len(s.kind)), s.kind] += 1
-            g = np.ascontiguousarray(g.T).astype(np.float64)
+            _, e, total = s.classes()
+            e /= -total
+            e[np.arange(len(s.kind)), s.kind] += 1
+            by_kind = np.ascontiguousarray(e.T).astype(np.float64)
             for k, rows in enumerate(s.rows):
-                for c in range(shape[2]):
-                    self.by_class[k, :, c] += np.bincount(rows, weights=g[c], minlength=shape[1])
-        p = 1 / (1 + np.exp(-s.slopes(self.node_curve is not None)))
-        g = s.right.astype(np.float32) - p
-        h = p * (1 - p) if self.node_curve is not None else None
+                for c in range(classes):
+                    self.by_class[k, c] += np.bincount(rows, weights=by_kind[c], minlength=size)
+            z = s.slopes()
+            np.exp(np.clip(z, None, 80, out=z), out=z)
+            g = s.right.astype(np.float32)
+            g -= z / (1 + z)
         for c in s.cells:
             np.add.at(self.by_node, c, g)
-            if self.node_curve is not None:
-                np.add.at(self.node_curve, c, h)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in (self.by_class, self.by_node, self.node_curve) if x is not None]).astype(np.float32)
+        parts = (self.by_class.transpose(0, 2, 1).reshape(-1), self.by_node.real, *([self.by_node.imag] if self.first else []))
+        return np.concatenate(parts, dtype=np.float32, casting="same_kind")
 
 
 def new_sums(w: Weights, first: bool) -> Sums:
-    return Sums(np.zeros(w.by_class.shape), np.zeros(len(w.by_node), np.float32), np.zeros(len(w.by_node), np.float32) if first else None)
+    features, size, classes = w.by_class.shape
+    return Sums(np.zeros((features, classes, size)), np.zeros(len(w.by_node), np.complex64 if first else np.float32), first)
 
 
 def update(w: Weights, sums: np.ndarray, leaves: Leaves, first: bool, rate: float, ridge: float) -> Weights:
