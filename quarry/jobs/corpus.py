@@ -271,9 +271,14 @@ def add_questions(t: Tables) -> DataFrame:
     return U.add_questions(df, "q").select("item_id", F.size("question_kwd").alias("n"), F.array_join("question_tks", "|").alias("tks"))
 
 
+def upper_letter(c: str) -> str:
+    """One letter for one, as SQL's ``upper``: Python's would make two of some."""
+    return next((u for u in ("ẞ" if c == "ß" else c.upper(), c.title()) if len(u) == 1), c)
+
+
 @query("u4_extract_field", "SELECT doc_id, upper(substr(text, 1, 1)) AS initial FROM documents")
 def extract_field(t: Tables) -> DataFrame:
-    return U.extract_field(t.documents, "initial", lambda s: s[:1].upper()).select("doc_id", "initial")
+    return U.extract_field(t.documents, "initial", lambda s: upper_letter(s[:1])).select("doc_id", "initial")
 
 
 @query("u5_section_ranges", """
