@@ -62,6 +62,11 @@ def part_edges(t: Tables) -> DataFrame:
     return a.join(b, "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))).alias("source_id"))
 
 
+def members(t: Tables) -> DataFrame:
+    """(group, name): the parts of each order, by number."""
+    return t.lineitem.select(F.col("l_orderkey").alias("group"), F.col("l_partkey").alias("name"))
+
+
 def part_nodes(t: Tables) -> DataFrame:
     return t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("type"), F.col("p_name").alias("description"), F.array(F.col("p_type")).alias("source_id"))
 
@@ -147,12 +152,18 @@ p0 AS (SELECT 'P' || p_partkey AS name, o.w IS NULL AS dangling, 1.0::DOUBLE / n
 @query("g9_pagerank_rounds", _pagerank_sql(8))
 def pagerank_rounds(t: Tables) -> DataFrame:
     """Eight rounds, whether or not that is enough."""
-    return G.pagerank(part_nodes(t), part_edges(t), tolerance=0.0, rounds=8).withColumn("pagerank", F.round("pagerank", 8))
+    return ranks(t, tolerance=0.0, rounds=8)
+
+
+def ranks(t: Tables, **how) -> DataFrame:
+    """Parts by number, named last."""
+    found = G.group_pagerank(t.part.select(F.col("p_partkey").alias("name")), members(t), **how)
+    return found.select(F.concat(F.lit("P"), F.col("name").cast("string")).alias("name"), F.round("pagerank", 8).alias("pagerank"))
 
 
 @query("g9_pagerank")
 def pagerank(t: Tables) -> DataFrame:
-    return G.pagerank(part_nodes(t), part_edges(t)).withColumn("pagerank", F.round("pagerank", 8))
+    return ranks(t)
 
 
 #: Names of customers: letters, letters with accents, and names with digits, by turns.
