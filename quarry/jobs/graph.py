@@ -211,7 +211,8 @@ def _least_sql(edges: str, rounds: int = 14) -> str:
 @query("g13_largest_component", _least_sql(_EDGES + ", ee AS (SELECT src, dst FROM e)") + """
 SELECT upper(name) AS name FROM lab WHERE component = (SELECT component FROM lab GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""")
 def largest_component(t: Tables) -> DataFrame:
-    return G.largest_component(part_nodes(t), part_edges(t))
+    found = G.largest_component(t.part.select(F.col("p_partkey").alias("name")), G.group_links(members(t)))
+    return found.select(F.concat(F.lit("P"), "name").alias("name"))
 
 
 @query("g13_components", _least_sql("WITH ee AS (SELECT DISTINCT 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)") + " SELECT name, component FROM lab")
