@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import weights as W
+from ..functions.scores import shared_sums
 from ..operators import postings as P
 from ..operators import retrieval as R
-from ..lineage import checkpoint, shared_folder
+from ..lineage import checkpoint, shared_folder, written
 from ..registry import Tables, query
 from .text import COUNT_SQL, TOKENS_SQL
 
@@ -89,10 +90,21 @@ def doc_keys(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     return own.join(keys.select("key").distinct(), "key")
 
 
-def all_token_pairs(t: Tables) -> DataFrame:
-    """Similarities of all queries and documents that share a key."""
-    keys = checkpoint(W.weighted_keys(query_weights(t), "query_id"))
-    return W.token_similarity(keys, doc_keys(doc_tokens(t), keys), "query_id", "doc_id")
+def all_token_pairs(t: Tables, asked: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, tksim, vtsim): all queries and documents that share a key, with the cosine of vectors that ``asked``
+    (query_id, vec) and ``answers`` (doc_id, vec) have for them."""
+    keys = written(W.weighted_keys(query_weights(t), "query_id"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.concat_ws(" ", F.element_at("tokens", i), F.element_at("tokens", i + 1)))
+    own = F.array_distinct(F.when(F.size("tokens") > 1, F.concat("tokens", pairs)).otherwise(F.col("tokens")))
+    docs = doc_tokens(t).select("doc_id", F.transform(own, lambda x: F.xxhash64(x)).alias("keys"))
+    docs = docs.withColumn("in_fields", F.array_repeat(F.lit(1), F.size("keys")))
+    sizes = keys.groupBy("query_id").agg(F.lit(1).alias("least"), F.sum("w").alias("_total"))
+    if asked is not None:
+        docs, sizes = docs.join(answers, "doc_id", "left"), sizes.join(asked, "query_id", "left")
+    hits = shared_sums(docs, keys.select("query_id", F.xxhash64("key").alias("key"), F.col("w").alias("w0")), sizes, 1)
+    share = (F.lit(1e-9) + F.col("s0")) / (F.lit(1e-9) + F.col("_total"))
+    # a row for each query
+    return hits.join(F.broadcast(sizes.select("query_id", "_total")), "query_id").select("query_id", "doc_id", share.alias("tksim"), F.col("cosine").alias("vtsim"))
 
 
 def token_pairs(t: Tables) -> DataFrame:
@@ -106,7 +118,7 @@ def token_pairs(t: Tables) -> DataFrame:
 
 @query("w3_token_similarity", _BASE + _WEIGHTS + _ALL_KEYS + " SELECT query_id, doc_id, round(tksim, 6) AS tksim FROM tk")
 def token_similarity(t: Tables) -> DataFrame:
-    return all_token_pairs(t).withColumn("tksim", F.round("tksim", 6))
+    return all_token_pairs(t).select("query_id", "doc_id", F.round("tksim", 6).alias("tksim"))
 
 
 @query("w4_cosine", """
@@ -136,10 +148,11 @@ p AS (SELECT tk.query_id, tk.doc_id, tksim, CASE WHEN tk.query_id % 2 = 0 THEN c
 SELECT query_id, doc_id, round(CASE WHEN bool_or(vtsim <> 0) OVER (PARTITION BY query_id) THEN 0.3 * tksim + 0.7 * vtsim ELSE tksim END, 6) AS sim FROM p""")
 def hybrid_similarity(t: Tables) -> DataFrame:
     """Texts and vectors of the same id; every other query has no vector."""
-    asked = vector_queries(t).filter("query_id % 2 = 0").withColumnRenamed("vec", "_q")
-    pairs = all_token_pairs(t).join(asked, "query_id", "left").join(vectors(t).withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    scored = pairs.select("query_id", "doc_id", "tksim", F.coalesce(W.cosine("_q", "vec"), F.lit(0.0)).alias("vtsim"))
-    return W.hybrid_similarity(scored, "query_id").select("query_id", "doc_id", F.round("sim", 6).alias("sim"))
+    asked = vector_queries(t).filter("query_id % 2 = 0")
+    scored = written(all_token_pairs(t, asked, vectors(t).withColumnRenamed("id", "doc_id")))
+    seen = scored.groupBy("query_id").agg(F.max(F.col("vtsim") != 0).alias("any_vector"))  # a row for each query
+    sim = F.when(F.col("any_vector"), 0.3 * F.col("tksim") + 0.7 * F.col("vtsim")).otherwise(F.col("tksim"))
+    return scored.join(F.broadcast(seen), "query_id").select("query_id", "doc_id", F.round(sim, 6).alias("sim"))
 
 
 def fulltext(t: Tables) -> DataFrame:
