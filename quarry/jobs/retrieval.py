@@ -178,7 +178,7 @@ _LINE1 = "text[1:strpos(text || chr(10), chr(10)) - 1]"
 
 def fielded(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", X.tokenize(F.substring_index("text", "\n", 1)).alias("title"), X.tokenize(F.col("text")).alias("tokens"))
-    return d.withColumn("important", F.slice(F.reverse(F.array_sort(F.transform("tokens", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))["w"], 1, 1))
+    return d.withColumn("important", F.array_compact(F.array(F.array_max(F.transform("tokens", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])))
 
 
 _MANY = f""",
