@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import written
 from ..operators import communities as M
 from ..operators import graph as G
 from ..registry import Tables, query
@@ -257,6 +258,7 @@ def graph_retrieve_relations(t: Tables) -> DataFrame:
 
 def _retrieve(t: Tables) -> tuple[DataFrame, DataFrame]:
     hit = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("query_id"), "l_partkey").agg(F.max("l_quantity").alias("sim"))
+    hit = written(hit)
     found = hit.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("query_id", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"), F.col("p_brand").alias("type"), "sim", (F.col("p_retailprice") / 1000).alias("pagerank"))
     types = found.select("query_id", F.lit("Brand#12").alias("type")).distinct()
     one = lambda c: F.concat(F.lit("P"), c.cast("string"))
