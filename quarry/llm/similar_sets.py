@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.lineage import written
+
 from .common import checkpoint, components, map_batches
 
 WORDS, SEED = 5, 42
@@ -160,13 +162,13 @@ def similar_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     As in SimHash groups, what is filed under a shingle is first compared with two only, the smallest and one that differs
     from shingle to shingle; then pairs whose components still differ are compared."""
-    filed = checkpoint(prefixes(texts))
+    filed = written(prefixes(texts))  # tables and not checkpoints: hashes by column take less
 
     every = filed.join(nodes, "node").select("node", "component", "n", F.posexplode("keys").alias("i", "key"))
     every = every.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     one = F.struct("node", "component", "n", "i")
     live = every.groupBy("key").agg(F.min(one).alias("x"), F.min_by(one, F.xxhash64("node", "key")).alias("y"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    met = checkpoint(every.join(live.filter("_lo < _hi").select("key", "x", "y"), "key"))
+    met = written(every.join(live.filter("_lo < _hi").select("key", "x", "y"), "key"))
     stars = met.select("node", "component", "n", "i", F.explode(F.array("x", "y")).alias("z")).filter("component <> z.component").filter(reach("n", "i", "z.n", "z.i"))
     links = checkpoint(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(similar(stars.select(F.greatest("node", "z.node").alias("a"), F.least("node", "z.node").alias("b")), texts)))
 
